@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,29 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of whole groups, with each group's first row and the row after its last one.
+
+    The rows of a partition must be in the order of the keys; only the last group of what has
+    been read is held back. Keys are numbers without nulls.
+    """
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        new = np.zeros(t.num_rows, bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        begin = np.concatenate([[0], np.flatnonzero(new)])
+        if begin[-1]:
+            yield t.slice(0, begin[-1]), begin[:-1], begin[1:]
+        held = t.slice(begin[-1])
+    if held is not None:
+        yield held, np.array([0]), np.array([held.num_rows])
+
+
 def bytes_of(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, minhash
 from .common import table
 
 
@@ -13,5 +13,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents: three-word shingles, 85 % or more in common."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op10_minhash": op10_minhash}
 ORACLE: dict[str, str] = {}
