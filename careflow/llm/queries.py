@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash
+from . import bpe, minhash, quality
 from .common import table
 
 
@@ -18,5 +18,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op10_minhash": op10_minhash}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base quality rules and robust outliers by language and source."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_quality": op2_quality, "op3_byte_bpe": op3_byte_bpe, "op10_minhash": op10_minhash}
 ORACLE: dict[str, str] = {}
