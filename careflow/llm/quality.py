@@ -24,15 +24,14 @@ from .common import SPACES
 COVER, CONSISTENCY = 0.75, 1.4113
 #: Concentration steps.
 STEPS = 3
-#: Squared distance beyond which a document is an outlier: far outside the chi-square's range with
-#: five degrees (1e-6 lies at 35.9), since real statistics have heavier tails.
-CUTOFF = 100.0
+#: Squared distance beyond which a document is an outlier: the 1 - 1e-6 quantile of the chi-square with five degrees.
+CUTOFF = 35.89
 #: Smaller groups (by documents that pass the base rules) get no verdict: their documents are kept.
 LEAST_GROUP = 40
 #: Up to so many groups (a few hundred bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_GROUPS = 20_000
 #: The transformed statistics, and the least standard deviation that each is given: variation of this size is never odd.
-FLOORS = {"z_length": 0.5, "z_word": 0.05, "z_symbols": 0.05, "z_lines": 0.05, "z_repeats": 0.1}
+FLOORS = {"z_length": 0.5, "z_word": 0.05, "z_symbols": 0.05, "z_lines": 0.1, "z_repeats": 0.2}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
