@@ -216,3 +216,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     out = drawn.select("doc_id", "n_shingles", "class").join(final, "class", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_distinct(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of ``near_duplicates`` (the one with the least id), with its own columns whatever their names.
+
+    Rows that share an id are one document; the row with the least text stays. Documents without
+    shingles are in no group and all stay. Of equal sets without any id one row stays.
+    """
+    names = docs.columns
+    rows = docs.toDF(*(f"_d{i}" for i in range(len(names))))
+    own_id, text = f"_d{names.index(id_col)}", f"_d{names.index(text_col)}"
+    kept = near_duplicates(rows, width, percent, own_id, text).filter("kept and doc_id is not null").select("doc_id").distinct()
+    held = rows.join(kept, rows[own_id].cast("long") == kept["doc_id"], "left_semi")
+    # The join has put the rows of an id together, so this is done in place.
+    held = held.groupBy(own_id).agg(F.min_by(F.struct(*rows.columns), text).alias("r"), F.first(F.struct(*rows.columns)).alias("f")).select(F.coalesce("r", "f").alias("r")).select("r.*")
+    lone = rows.filter(F.col(own_id).isNull())
+    lone = lone.filter(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(common.SPACES)) == "").unionByName(lone.filter(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(common.SPACES)) != "").dropDuplicates([text]))
+    return held.unionByName(lone).toDF(*names)

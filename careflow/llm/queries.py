@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, quality
+from . import bpe, minhash, mixing, quality, toxicity
 from .common import table
 
 
@@ -23,5 +23,16 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_byte_bpe": op3_byte_bpe, "op10_minhash": op10_minhash}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a mixture of its sources by the square roots of their sizes."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumnsRenamed({"mixed_id": "doc_id", "mixed_source": "source"})
+
+
+QUERIES = {"op2_quality": op2_quality, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op3_byte_bpe": op3_byte_bpe, "op10_minhash": op10_minhash}
 ORACLE: dict[str, str] = {}
