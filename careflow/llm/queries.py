@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, quality, toxicity
+from . import bpe, brown, minhash, mixing, quality, tokenfile, toxicity
 from .common import table
 
 
@@ -34,5 +34,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumnsRenamed({"mixed_id": "doc_id", "mixed_source": "source"})
 
 
-QUERIES = {"op2_quality": op2_quality, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op3_byte_bpe": op3_byte_bpe, "op10_minhash": op10_minhash}
+def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every whole document under a class-based bigram model."""
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
+def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole document, written in bit-plane blocks and read back."""
+    return tokenfile.store(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_brown": op5_brown, "op9_token_blocks": op9_token_blocks, "op2_quality": op2_quality, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op3_byte_bpe": op3_byte_bpe, "op10_minhash": op10_minhash}
 ORACLE: dict[str, str] = {}

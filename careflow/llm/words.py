@@ -77,6 +77,16 @@ def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(last) + 1
 
 
+def endings(texts: pa.Array, groups: int) -> np.ndarray:
+    """For each word of a batch, a group by its last two bytes (A-Z in lower case)."""
+    data, at = buffers(texts)
+    begin, end = spans(data, at)
+    if not len(begin):
+        return np.empty(0, np.int64)
+    last, before = _LOWER[data[end - 1]].astype(np.int64), np.where(end - begin > 1, _LOWER[data[np.maximum(end - 2, 0)]], 0).astype(np.int64)
+    return (last * 251 + before * 7) % groups
+
+
 def hash_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a batch, and where each text's words begin and end in them."""
     data, at = buffers(texts)
