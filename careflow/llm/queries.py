@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, minhash, mixing, quality, tokenfile, toxicity
+from . import bpe, brown, ego, minhash, mixing, quality, tokenfile, toxicity
 from .common import table
 
 
@@ -44,5 +44,10 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.store(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_brown": op5_brown, "op9_token_blocks": op9_token_blocks, "op2_quality": op2_quality, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op3_byte_bpe": op3_byte_bpe, "op10_minhash": op10_minhash}
+def op1_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of one label, cosine 0.93 or more."""
+    return ego.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+QUERIES = {"op1_grid_order": op1_grid_order, "op5_brown": op5_brown, "op9_token_blocks": op9_token_blocks, "op2_quality": op2_quality, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op3_byte_bpe": op3_byte_bpe, "op10_minhash": op10_minhash}
 ORACLE: dict[str, str] = {}
