@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, brown, ego, minhash, mixing, quality, tokenfile, toxicity
+from . import bpe, brown, edits, ego, minhash, mixing, quality, tokenfile, toxicity, wrapper
 from .common import table
 
 
@@ -49,5 +50,19 @@ def op1_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
-QUERIES = {"op1_grid_order": op1_grid_order, "op5_brown": op5_brown, "op9_token_blocks": op9_token_blocks, "op2_quality": op2_quality, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op3_byte_bpe": op3_byte_bpe, "op10_minhash": op10_minhash}
+def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole document before and after three edits at places set by its id."""
+    docs = table(spark, sf_dir, "documents")
+    place = lambda k: F.pmod(F.crc32(F.concat_ws("/", F.col("doc_id").cast("string"), F.lit(k)).cast("binary")), F.length(F.coalesce("text", F.lit(""))) + 1)
+    edit = lambda k, delete, insert: F.struct(place(k).alias("at"), F.lit(delete).cast("long").alias("delete"), F.lit(insert).alias("insert"))
+    docs = docs.withColumn("edits", F.array(edit("a", 0, " inserted words"), edit("b", 7, ""), edit("c", 3, "\n\nA new line: it's 2024. ")))
+    return edits.apply(edits.plant(docs, edits_col="edits")).select("doc_id", "n_tokens_before", "n_edits", "n_tokens", "n_chars", "n_encoded_chars")
+
+
+def op6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_grid_order": op1_grid_order, "op4_edit_counts": op4_edit_counts, "op6_wrappers": op6_wrappers, "op5_brown": op5_brown, "op9_token_blocks": op9_token_blocks, "op2_quality": op2_quality, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op3_byte_bpe": op3_byte_bpe, "op10_minhash": op10_minhash}
 ORACLE: dict[str, str] = {}
