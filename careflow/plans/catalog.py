@@ -1,6 +1,322 @@
-"""The registered queries of the engine's own operators, and their SQL twins."""
+"""The registered queries of the engine's own operators, and their SQL twins.
+
+The tables hold no marker of a high-risk request, so the safety queries write markers into the
+texts by a rule on the key, in Spark and in SQL alike. Vector searches ask with every vector
+whose id is divisible by 50 against all vectors.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from careflow.functions.identity import bucket, pseudonymize, split_of
+from careflow.functions.text import MARKERS
+from careflow.operators import audit, curate, evaluate, flow, records, retrieve, safety
+from careflow.sources.tables import table
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL twin if there is one."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- the pieces that the SQL twins share ------------------------------------------------------
+
+_RULE = "CASE {k} % 10 WHEN 0 THEN text || ' PRESCREVA agora' WHEN 1 THEN 'Dose EXATA ' || text WHEN 2 THEN text || ' sem validação médica' WHEN 3 THEN text || ' receita' ELSE text END"
+_FOLD = "lower(replace(replace(replace(replace({t}, 'ß', 'ss'), 'ẞ', 'ss'), 'ſ', 's'), 'ẚ', 'aʾ'))"
+_RISKY = "(" + " OR ".join(f"contains(n, '{m}')" for m in MARKERS) + ")"
+_DOCS = f"docs AS (SELECT doc_id, lang, source, {_RULE.format(k='doc_id')} AS text FROM documents), folded AS (SELECT *, {_FOLD.format(t='text')} AS n FROM docs)"
+_DECISION = f"CASE WHEN n IS NULL THEN NULL WHEN {_RISKY} THEN 'human_review' ELSE 'allow' END"
+_REASON = f"CASE WHEN n IS NULL THEN NULL WHEN {_RISKY} THEN '{safety.REASON_REVIEW}' ELSE '{safety.REASON_ALLOW}' END"
+_BUCKET = "('0x' || substr(sha256(CAST({k} AS VARCHAR)), 1, 8))::UBIGINT % 10"
+_SPLIT = f"CASE WHEN {_BUCKET} < 8 THEN 'train' WHEN {_BUCKET} < 9 THEN 'validation' ELSE 'test' END"
+_STANDARD = "trim(regexp_replace(regexp_replace({t}, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'))"
+_NEAR = """near AS (SELECT query_id, neighbour, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour) AS rank FROM (
+    SELECT q.vec_id AS query_id, v.vec_id AS neighbour, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score
+    FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 5)"""
+
+
+def injected(df: DataFrame, key: Column) -> DataFrame:
+    """Texts with the markers that the rule gives their key."""
+    k, t = key % 10, F.col("text")
+    text = F.when(k == 0, F.concat(t, F.lit(" PRESCREVA agora"))).when(k == 1, F.concat(F.lit("Dose EXATA "), t)).when(k == 2, F.concat(t, F.lit(" sem validação médica"))).when(k == 3, F.concat(t, F.lit(" receita"))).otherwise(t)
+    return df.withColumn("text", text)
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return injected(table(spark, sf_dir, "documents"), F.col("doc_id"))
+
+
+# --- safety -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {_DOCS} SELECT lang, {_DECISION} AS decision, count(*) AS n FROM folded GROUP BY ALL")
+def safety_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return safety.assess(_docs(spark, sf_dir)).groupBy("lang", "decision").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, {_DECISION} AS decision, {_REASON} AS reason FROM folded")
+def safety_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return safety.assess(_docs(spark, sf_dir)).select("doc_id", "decision", "reason")
+
+
+@query(f"WITH turns AS (SELECT conv_id, turn, {_RULE.format(k='(conv_id * 100 + turn)')} AS text FROM conversations WHERE role = 'user'), folded AS (SELECT *, {_FOLD.format(t='text')} AS n FROM turns) SELECT conv_id, turn, {_DECISION} AS decision FROM folded")
+def safety_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    return safety.assess(injected(turns, F.col("conv_id") * 100 + F.col("turn"))).select("conv_id", "turn", "decision")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, marker FROM folded JOIN (SELECT unnest([{', '.join(repr(m) for m in MARKERS)}]) AS marker) ON contains(n, marker)")
+def safety_markers_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return safety.markers_hit(_docs(spark, sf_dir), "doc_id")
+
+
+# --- audit ------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 16) AS patient_id_hash FROM customer")
+def pseudonymize_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", pseudonymize(F.col("c_custkey")).alias("patient_id_hash"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.concat(F.lit("trace-"), F.col("event_id").cast("string")).alias("trace_id"),
+        F.col("event_type").alias("route"),
+        F.when(F.col("user_id") % 7 != 0, F.col("user_id").cast("string")).alias("patient_id"),
+        F.when(F.col("event_id") % 3 == 0, F.array(F.lit("protocol-a"), F.concat(F.lit('p"'), F.col("event_type")))).alias("sources"),
+        F.when(F.col("event_id") % 2 == 0, "allow").alias("safety_status"),
+        (F.col("event_id") % 5 == 0).alias("human_review"),
+        F.col("ts").cast("timestamp").alias("at"),
+    )
+
+
+_EVENTS = """ev AS (SELECT CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' AS timestamp, 'trace-' || event_id AS trace_id, event_type AS route,
+    CASE WHEN user_id % 7 <> 0 THEN substr(sha256(CAST(user_id AS VARCHAR)), 1, 16) END AS patient_id_hash, event_id % 3 = 0 AS has, CASE WHEN event_id % 2 = 0 THEN 'allow' END AS safety_status, event_id % 5 = 0 AS human_review FROM events)"""
+
+
+@query(f"WITH {_EVENTS} SELECT timestamp, trace_id, route, patient_id_hash, CASE WHEN has THEN 'protocol-a|p\"' || route ELSE '' END AS sources, safety_status, human_review FROM ev")
+def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_events(_events(spark, sf_dir), "at").withColumn("sources", F.array_join("sources", "|"))
+
+
+@query(
+    f"""WITH {_EVENTS} SELECT '{{"human_review": ' || human_review || ', "patient_id_hash": ' || coalesce('"' || patient_id_hash || '"', 'null') || ', "route": "' || route || '", "safety_status": ' || coalesce('"' || safety_status || '"', 'null')
+    || ', "sources": ' || CASE WHEN has THEN '["protocol-a", "p\\"' || route || '"]' ELSE '[]' END || ', "timestamp": "' || timestamp || '", "trace_id": "' || trace_id || '"}}' AS line FROM ev"""
+)
+def audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.json_lines(audit.audit_events(_events(spark, sf_dir), "at"))
+
+
+# --- curation ---------------------------------------------------------------------------------
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.dedup_exact(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT d.doc_id, d.lang, d.source FROM documents d LEFT JOIN labels l USING (doc_id) WHERE length(d.text) >= 50 AND trim(d.text) <> '' AND coalesce(l.quality, 1) = 1")
+def curate_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.valid(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "lang", "source")
+
+
+@query(f"SELECT doc_id, sha256({_STANDARD.format(t='text')}) AS text_hash FROM documents")
+def standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.standardise(table(spark, sf_dir, "documents")).select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
+@query(
+    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<email>', 'g'),
+    '\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b', '<ip>', 'g'), '\b[0-9]{4}([ -]?[0-9]{4}){3}\b', '<number>', 'g')) AS text_hash FROM documents"""
+)
+def mask_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.masked(table(spark, sf_dir, "documents")).select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
+@query(f"SELECT doc_id, source, {_SPLIT.format(k='source')} AS split FROM documents")
+def split_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.split(table(spark, sf_dir, "documents"), "source").select("doc_id", "source", "split")
+
+
+@query(f"SELECT {_SPLIT.format(k='doc_id')} AS split, ({_BUCKET.format(k='doc_id')})::BIGINT::INT AS bucket, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY ALL")
+def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", split_of(F.col("doc_id")).alias("split"), bucket(F.col("doc_id"), 10).alias("bucket"))
+    return rows.groupBy("split", "bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query(f"WITH s AS (SELECT doc_id, lower({_STANDARD.format(t='text')}) AS t, {_SPLIT.format(k='doc_id')} AS split FROM documents) SELECT doc_id FROM s WHERE split = 'test' AND t IN (SELECT t FROM s WHERE split = 'train')")
+def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.overlap(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
+def leakage_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("SELECT conv_id, sha256(string_agg('<' || coalesce(role, '') || '> ' || coalesce(text, ''), chr(10) ORDER BY turn)) AS chat_hash, count(*) AS n_turns FROM conversations GROUP BY conv_id")
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.chat_rows(table(spark, sf_dir, "conversations")).select("conv_id", F.sha2("chat", 256).alias("chat_hash"), "n_turns")
+
+
+# --- retrieval --------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, ((pos - pos % 160) / 160)::BIGINT AS chunk_no, sha256(substring(text, (pos + 1)::BIGINT, 200)) AS chunk_hash FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 160)) AS pos FROM documents WHERE length(text) > 0)")
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.chunks(table(spark, sf_dir, "documents")).select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("chunk_hash"))
+
+
+def _asked(vectors: DataFrame) -> DataFrame:
+    return vectors.filter("vec_id % 50 = 0")
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieve.topk(_asked(vectors), vectors)
+
+
+@query(f"WITH {_NEAR} SELECT query_id, rank::INT AS rank, neighbour, round(score, 6) AS score FROM near")
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query()
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieve.approximate_topk(_asked(vectors), vectors)
+
+
+@query()
+def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieve.mmr(_asked(vectors), vectors)
+
+
+@query(
+    f"""WITH {_NEAR}, two AS (SELECT near.*, CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END::DOUBLE AS second FROM near JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = neighbour)
+    SELECT query_id, neighbour, rank::INT AS rank, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, score DESC, neighbour)::INT AS new_rank FROM two"""
+)
+def rerank_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = _with_labels(spark, sf_dir)
+    return retrieve.rerank(two, F.when(F.col("query_label") == F.col("label"), 1.0).otherwise(0.0)).select("query_id", "neighbour", "rank", "new_rank")
+
+
+def _with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    labels = vectors.select(F.col("vec_id").alias("neighbour"), "label")
+    asked = _asked(vectors).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
+    return _nearest(spark, sf_dir).join(labels, "neighbour").join(asked, "query_id")
+
+
+@query(f"WITH {_NEAR} SELECT query_id, array_to_string(list_sort(list(DISTINCT neighbour)), ',') AS sources FROM near GROUP BY query_id")
+def source_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.sources(_nearest(spark, sf_dir)).withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
+
+
+@query(
+    f"""WITH {_NEAR}, r AS (SELECT query_id, rank, a.label = b.label AS ok FROM near JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = neighbour),
+    q AS (SELECT query_id, min(CASE WHEN ok THEN rank END) AS first, avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM r GROUP BY query_id)
+    SELECT count(*) AS n_queries, round(avg((first IS NOT NULL)::INT::DOUBLE), 6) AS hit_at_k, round(avg(share), 6) AS precision_at_k, round(avg(coalesce(1.0::DOUBLE / first, 0.0::DOUBLE)), 6) AS mrr FROM q"""
+)
+def hit_at_k_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.retrieval(_with_labels(spark, sf_dir), F.col("query_label") == F.col("label"))
+
+
+# --- records ----------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, o_orderkey, o_totalprice, o_orderpriority FROM customer JOIN orders ON o_custkey = c_custkey")
+def patient_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.lookup(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+    return found.select("c_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@query(
+    """SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) o ON o_custkey = c_custkey AND r = 1"""
+)
+def patient_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.latest(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_totalprice"])
+    return found.select("c_custkey", "c_mktsegment", "o_orderkey", "o_totalprice")
+
+
+@query(
+    """SELECT c_mktsegment AS variant, count(*) AS n, round(avg(o_totalprice), 4) AS score FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL"""
+)
+def variant_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.lookup(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+    return evaluate.by_variant(found.withColumn("variant", F.col("c_mktsegment")), "variant", F.col("o_totalprice")).withColumn("score", F.round("score", 4))
+
+
+@query(
+    """WITH newest AS (SELECT o_custkey, max_by(o_orderpriority, o_orderkey) AS got FROM orders GROUP BY 1), first AS (SELECT o_custkey, min_by(o_orderpriority, o_orderkey) AS want FROM orders GROUP BY 1)
+    SELECT count(*) AS n, round(avg((want IS NOT DISTINCT FROM got)::INT::DOUBLE), 6) AS exact_rate FROM first LEFT JOIN newest USING (o_custkey)"""
+)
+def exact_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey")
+    want, got = (orders.agg(f("o_orderpriority", "o_orderkey").alias("value")) for f in (F.min_by, F.max_by))
+    return evaluate.exact_rate(want, got, "o_custkey", "value")
+
+
+# --- flow and routing -------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS steps FROM conversations GROUP BY conv_id")
+def processing_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("said"))
+    return said.select("conv_id", F.array_join(F.col("said.role"), ">").alias("steps"))
+
+
+@query(
+    f"WITH {_DOCS}, r AS (SELECT CASE WHEN doc_id % 10 IN (0, 1, 2) THEN 'human_review' ELSE 'allow' END AS expected, {_DECISION} AS got FROM folded) SELECT expected, count(*) AS n, round(avg((expected = got)::INT::DOUBLE), 6) AS accuracy FROM r GROUP BY expected"
+)
+def routing_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = safety.assess(_docs(spark, sf_dir))
+    return evaluate.routing(docs, F.when((F.col("doc_id") % 10).isin(0, 1, 2), "human_review").otherwise("allow"), F.col("decision"))
+
+
+@query(f"WITH {_DOCS} SELECT CASE WHEN doc_id % 10 IN (0, 1, 2) THEN 'human_review' ELSE 'allow' END AS expected, {_DECISION} AS got, count(*) AS n FROM folded GROUP BY ALL")
+def routing_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = safety.assess(_docs(spark, sf_dir))
+    return evaluate.confusion(docs, F.when((F.col("doc_id") % 10).isin(0, 1, 2), "human_review").otherwise("allow"), F.col("decision"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as requests; two of three have a patient, every fifth of those an unknown one."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    key = F.col("conv_id") * 100 + F.col("turn")
+    turns = injected(turns, key).withColumn("k", key)
+    return turns.select(F.concat(F.lit("t-"), F.col("k").cast("string")).alias("trace_id"), F.col("text").alias("question"), F.when(F.col("k") % 3 != 0, F.when(F.col("k") % 5 == 0, "unknown").otherwise((F.col("k") % 100 + 1).cast("string"))).alias("patient_id"), "conv_id")
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id * 100 + turn AS k, conv_id, {_RULE.format(k='(conv_id * 100 + turn)')} AS text FROM conversations WHERE role = 'user'),
+    r AS (SELECT *, {_FOLD.format(t='text')} AS n, CASE WHEN k % 3 <> 0 THEN CASE WHEN k % 5 = 0 THEN 'unknown' ELSE CAST(k % 100 + 1 AS VARCHAR) END END AS pid FROM t),
+    c AS (SELECT r.*, p.c_mktsegment AS ctx, d.doc_id AS src FROM r LEFT JOIN customer p ON CAST(p.c_custkey AS VARCHAR) = pid LEFT JOIN documents d ON d.doc_id = r.conv_id AND r.k % 2 = 0),
+    s AS (SELECT *, {_DECISION} AS safety_status, coalesce(trim(text) <> '', false) AS valid FROM c),
+    v AS (SELECT *, CASE WHEN src IS NULL AND ctx IS NULL THEN 'no_context' WHEN src IS NULL THEN 'no_protocol' ELSE 'none' END AS fallback FROM s),
+    w AS (SELECT *, safety_status IS DISTINCT FROM 'allow' OR NOT valid OR fallback = 'no_context' AS review FROM v)
+    SELECT 't-' || k AS trace_id, CASE WHEN NOT valid THEN 'invalid' WHEN pid IS NOT NULL THEN 'clinical_question' ELSE 'protocol_question' END AS route, safety_status, fallback, review AS requires_human_review,
+    CASE WHEN review THEN 'pending' ELSE 'not_needed' END AS verdict, CASE WHEN NOT review THEN 'Sources: ' || coalesce('doc-' || src, '') END AS response,
+    'validate_input>classify_request' || CASE WHEN ctx IS NOT NULL THEN '>retrieve_patient' ELSE '' END || CASE WHEN src IS NOT NULL THEN '>retrieve_protocol' ELSE '' END || '>build_context>generate_answer>validate_answer' || CASE WHEN review THEN '>human_review' ELSE '' END || '>format_response' AS steps FROM w"""
+)
+def flow_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = requests(spark, sf_dir)
+    patients = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("patient_id"), F.col("c_mktsegment").alias("patient_context"))
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    protocols = asked.filter("try_cast(substring(trace_id, 3) as long) % 2 = 0").join(docs, F.col("conv_id") == docs["doc_id"]).select("trace_id", F.array(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("sources"))
+    done = flow.run(asked.drop("conv_id"), patients, protocols)
+    return done.select("trace_id", "route", "safety_status", "fallback", "requires_human_review", "verdict", "response", F.array_join("processing_steps", ">").alias("steps"))
