@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from careflow.functions.identity import pseudonymize
 from careflow.functions.serial import iso_utc, json_boolean, json_string, json_strings
@@ -47,7 +48,7 @@ def audit_events(df: DataFrame, event_time: str | None = None) -> DataFrame:
     return df.select(*(c.alias(n) for n, c in columns.items()), F.col("extra"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _merged(line: pd.Series, extra: pd.Series) -> pd.Series:
     fixed = set(FIELDS)
     return pd.Series([json.dumps(json.loads(a) | {k: v for k, v in (json.loads(b) if b else {}).items() if k not in fixed or k in ("timestamp", "patient_id_hash")}, ensure_ascii=False, sort_keys=True) for a, b in zip(line, extra)])

@@ -63,15 +63,20 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id"
 def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, planes: int = 6, tables: int = 12, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Like ``topk`` by random hyperplanes: only vectors that share one of ``tables`` codes with the query are scored.
 
-    Codes are built-in expressions, buckets meet by an equi-join; AQE splits the large ones.
+    Codes are computed in Arrow batches, buckets meet by an equi-join; AQE splits the large ones.
     """
-    dims = len(vectors.select(vector).first()[0]) if vectors.head(1) else 0
-    rng = np.random.default_rng(seed)
-    normals = F.lit([[float(x) for x in n] for n in rng.normal(size=(tables * planes, max(1, dims)))])
-    bits = F.transform(normals, lambda n: F.when(dot(F.col("v"), n) >= 0, "1").otherwise("0"))
-    codes = lambda: F.array(*(F.concat(F.lit(f"{t}:"), F.array_join(F.slice("bits", t * planes + 1, planes), "")) for t in range(tables)))
-    coded = lambda df, name: df.select(F.col(key).alias(name), F.col(vector).cast("array<double>").alias("v")).withColumn("bits", bits).select(name, "v", F.explode(codes()).alias("code"))
-    met = coded(queries, "query_id").select("query_id", "code").join(coded(vectors, "neighbour").select("neighbour", "code"), "code").filter("query_id <> neighbour").select("query_id", "neighbour").distinct()
+    first = vectors.filter(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    normals = np.random.default_rng(seed).normal(size=(max(1, first[0] if first else 1), tables * planes))
+
+    def codes(batches):
+        for pdf in batches:
+            if len(pdf):
+                bits = (np.array(pdf["v"].tolist(), dtype=float) @ normals >= 0).reshape(len(pdf), tables, planes)
+                number = bits @ (1 << np.arange(planes)) + (np.arange(tables) << planes)
+                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), tables), "code": number.reshape(-1)})
+
+    coded = lambda df, name: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(codes, "id long, code long").withColumnRenamed("id", name)
+    met = coded(queries, "query_id").join(coded(vectors, "neighbour"), "code").filter("query_id <> neighbour").select("query_id", "neighbour").distinct()
     q, v = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q")), vectors.select(F.col(key).alias("neighbour"), F.col(vector).alias("_v"))
     scored = met.join(q, "query_id").join(v, "neighbour").select("query_id", "neighbour", F.round(dot(F.col("_q"), F.col("_v")), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "neighbour")
