@@ -210,7 +210,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     total = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     full = full.join(total, "component")
     links = _block_pairs(full, "component").mapInArrow(_confirm(size, least, percent), "a long, b long")
-    found = connected(links)
+    # Rows that share an id and differ in their sets: the id stands for all their classes.
+    several = drawn.filter("class is not null").groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("doc_id")
+    same_id = drawn.join(several, "doc_id").select("doc_id", "class").join(classes.select("class", "node"), "class").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = connected(links.unionByName(same_id))
 
     final = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     out = drawn.select("doc_id", "n_shingles", "class").join(final, "class", "left")

@@ -9,19 +9,38 @@ from . import bpe, brown, edits, ego, minhash, mixing, quality, tokenfile, toxic
 from .common import table
 
 
+def op1_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of one label, cosine 0.93 or more."""
+    return ego.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base quality rules and robust outliers by language and source."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every whole document, encoded and decoded."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
-def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate documents: three-word shingles, 85 % or more in common."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole document before and after three edits at places set by its id."""
+    docs = table(spark, sf_dir, "documents")
+    place = lambda k: F.pmod(F.crc32(F.concat_ws("/", F.col("doc_id").cast("string"), F.lit(k)).cast("binary")), F.length(F.coalesce("text", F.lit(""))) + 1)
+    edit = lambda k, delete, insert: F.struct(place(k).alias("at"), F.lit(delete).cast("long").alias("delete"), F.lit(insert).alias("insert"))
+    docs = docs.withColumn("edits", F.array(edit("a", 0, " inserted words"), edit("b", 7, ""), edit("c", 3, "\n\nA new line: it's 2024. ")))
+    return edits.apply(edits.plant(docs, edits_col="edits")).select("doc_id", "n_tokens_before", "n_edits", "n_tokens", "n_chars", "n_encoded_chars")
 
 
-def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base quality rules and robust outliers by language and source."""
-    return quality.judge(table(spark, sf_dir, "documents"))
+def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every whole document under a class-based bigram model."""
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
+def op6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,34 +54,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumnsRenamed({"mixed_id": "doc_id", "mixed_source": "source"})
 
 
-def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-likelihood of every whole document under a class-based bigram model."""
-    return brown.score(table(spark, sf_dir, "documents"))
-
-
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole document, written in bit-plane blocks and read back."""
     return tokenfile.store(table(spark, sf_dir, "documents"))
 
 
-def op1_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate vectors of one label, cosine 0.93 or more."""
-    return ego.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
-
-
-def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every whole document before and after three edits at places set by its id."""
-    docs = table(spark, sf_dir, "documents")
-    place = lambda k: F.pmod(F.crc32(F.concat_ws("/", F.col("doc_id").cast("string"), F.lit(k)).cast("binary")), F.length(F.coalesce("text", F.lit(""))) + 1)
-    edit = lambda k, delete, insert: F.struct(place(k).alias("at"), F.lit(delete).cast("long").alias("delete"), F.lit(insert).alias("insert"))
-    docs = docs.withColumn("edits", F.array(edit("a", 0, " inserted words"), edit("b", 7, ""), edit("c", 3, "\n\nA new line: it's 2024. ")))
-    return edits.apply(edits.plant(docs, edits_col="edits")).select("doc_id", "n_tokens_before", "n_edits", "n_tokens", "n_chars", "n_encoded_chars")
-
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents: three-word shingles, 85 % or more in common."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
-def op6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
-    return wrapper.main_text(table(spark, sf_dir, "pages"))
 
+QUERIES = {f.__name__: f for f in (op1_grid_order, op2_quality, op3_byte_bpe, op4_edit_counts, op5_brown, op6_wrappers, op7_toxicity, op8_mixing, op9_token_blocks, op10_minhash)}
 
-QUERIES = {"op1_grid_order": op1_grid_order, "op4_edit_counts": op4_edit_counts, "op6_wrappers": op6_wrappers, "op5_brown": op5_brown, "op9_token_blocks": op9_token_blocks, "op2_quality": op2_quality, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op3_byte_bpe": op3_byte_bpe, "op10_minhash": op10_minhash}
+#: Learned, iterative or byte-level results; SQL has no twin for them, tests/llm has plain versions.
 ORACLE: dict[str, str] = {}

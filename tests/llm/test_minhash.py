@@ -38,7 +38,7 @@ def brute(rows, width, percent):
 def corpus():
     rng = random.Random(1)
     words = [f"w{i}" for i in range(3000)]
-    rows = [(1, None), (2, ""), (3, "  \n"), (4, "one two"), (5, "One two"), (6, "one"), (None, "one two"), (7, "one two three"), (7, "zz yy xx ww"), (None, "only here")]
+    rows = [(1, None), (2, ""), (3, "  \n"), (4, "one two"), (5, "One two"), (6, "one"), (None, "one two"), (7, "one two three"), (7, "zz yy xx ww"), (None, "only here"), (6, "aa bb cc dd ee"), (7, "AA bb cc dd ee"), (8, "zz yy xx ww")]
     base = [rng.choice(words) for _ in range(120)]
     for i in range(60):
         x = list(base)
