@@ -201,9 +201,15 @@ class _Shard:
 NULL_ID = -(2**63)
 
 
+@functools.lru_cache(maxsize=1)
+def _known(path: str) -> Pieces:
+    """The pieces that a worker process keeps from task to task."""
+    return Pieces(path)
+
+
 def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard_no, shard, known, end = TaskContext.get().partitionId(), _Shard(), Pieces(path), np.array([END], np.uint32)
+        shard_no, shard, known, end = TaskContext.get().partitionId(), _Shard(), _known(path), np.array([END], np.uint32)
 
         def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([shard_no] * len(found), pa.int32()), *(pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary())))], ["shard", "block", "n_ids", "payload"])
