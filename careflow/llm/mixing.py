@@ -21,8 +21,8 @@ from . import common
 
 #: Documents of a block; slots of a period; parts of a source that are counted and numbered apart.
 BLOCK, PERIOD, PARTS = 32, 1_000, 512
-#: Up to so many sources (a few dozen bytes each) are scheduled; the driver holds one row for each.
-MAX_SOURCES = PERIOD
+#: Most sources: the driver holds a row for each, and a period has at least four slots for each. More raise an error, none is left out.
+MAX_SOURCES = 20_000
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -56,11 +56,11 @@ def schedule(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def _plan(spark, plan: list[tuple[str, int, int, int, int]]) -> DataFrame:
-    """The period as a frame of literals: no Python rows go to executors."""
-    kind = "array<struct<g_source:string,k:int,p_slot:long,p_release:long,p_deadline:long>>"
-    rows = F.from_json(F.lit(json.dumps([dict(zip(("g_source", "k", "p_slot", "p_release", "p_deadline"), x)) for x in plan])), kind)
-    return spark.range(1).select(F.inline(rows))
+def _literal(spark, rows: list[tuple], kind: str) -> DataFrame:
+    """Rows as a frame of literals: no Python rows go to executors."""
+    names = [c.split(":")[0] for c in kind.split(",")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD, carry: list[str] | None = None) -> DataFrame:
@@ -82,17 +82,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     # Rows are numbered within hashed parts of their source, so a source of any size is spread over PARTS tasks.
     counts = rows.groupBy("g_source", "part").agg(F.count("*").alias("n"))
     before = common.stash(counts.selectExpr("g_source", "part", "n", "sum(n) over (partition by g_source order by part rows between unbounded preceding and current row) - n as before"), "mix-parts")
-    sizes = {r[0]: r[1] for r in before.groupBy("g_source").agg(F.sum("n").alias("n")).limit(period + 1).collect()}
-    target = {s: float((weights or {}).get(s[1:] if s != "null" else None, n**power)) for s, n in sizes.items()}
+    totals = before.groupBy("g_source").agg(F.sum("n").alias("n"))
+    found = totals.limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    target = {s: float((weights or {}).get(s[1:] if s != "null" else None, n**power)) for s, n in found}
+    period = max(period, 4 * len(found))
     share = shares(target, period)
-    plan = _plan(spark, schedule(share))
-    whole = F.create_map(*(x for s, n in share.items() for x in (F.lit(s), F.lit(n)))) if share else F.lit(None).cast("map<string,int>")
+    plan = _literal(spark, schedule(share), "g_source:string,k:int,p_slot:long,p_release:long,p_deadline:long")
+    whole = _literal(spark, list(share.items()), "g_source:string,share:int")
 
     numbered = rows.selectExpr("*", "row_number() over (partition by g_source, part order by m_id) - 1 as at").join(before.drop("n"), ["g_source", "part"])
     numbered = numbered.withColumn("rank", F.col("before") + F.col("at")).withColumn("block", F.floor(F.col("rank") / block)).withColumn("place", (F.col("rank") % block).cast("int"))
-    share_of = F.element_at(whole, F.col("g_source"))
-    numbered = numbered.withColumn("k", (F.col("block") % share_of).cast("int")).withColumn("round", F.floor(F.col("block") / share_of))
-    out = numbered.join(F.broadcast(plan), ["g_source", "k"])  # at most PERIOD rows
+    numbered = numbered.join(F.broadcast(whole), "g_source").withColumn("k", (F.col("block") % F.col("share")).cast("int")).withColumn("round", F.floor(F.col("block") / F.col("share")))
+    out = numbered.join(F.broadcast(plan), ["g_source", "k"])  # both have at most a period's rows
     times = [(F.col("round") * period + F.col(f"p_{c}")).cast("long").alias(c) for c in ("slot", "release", "deadline")]
     own = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]
     return out.select(F.col("m_id").alias("mixed_id"), F.col("m_source").alias("mixed_source"), F.col("block").cast("long").alias("block"), *times, "place", *own)

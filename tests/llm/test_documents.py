@@ -188,3 +188,11 @@ def test_mixing(spark, with_clashes):
     assert mixing.mix(df.limit(0)).count() == 0
     plan = mixing.mix(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("MapInArrow|FlatMapGroups|EvalPython", plan)
+
+
+def test_many_sources_get_a_longer_period_and_too_many_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "t", "en", f"s{i % 300}") for i in range(900)], KIND)
+    assert mixing.mix(df, block=1, period=10).select("slot").distinct().count() == 900
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 299)
+    with pytest.raises(ValueError):
+        mixing.mix(df)
