@@ -28,7 +28,7 @@ DIRECTIONS, BLOCK, LEAF = 6, 512, 64
 #: Slack for rounding in the bounds that skip blocks.
 SLACK = 1e-6
 
-_BLOCKS = "label long, dims int, block long, low int, high int, ids binary, vectors binary"
+_BLOCKS = "label long, dims int, first int, ids binary, vectors binary, low array<double>, high array<double>"
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray | None]:
@@ -94,17 +94,25 @@ def _cells(base, width: float):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sequence intervals of one label, dimension and first cell, at most ``BLOCK`` vectors each."""
-    for part, begin, end in common.sorted_groups(batches, ["label", "dims", "first"]):
-        out = []
-        ids, units = part.column("vec_id").to_numpy(), part.column("unit")
-        for low, high in zip(begin.tolist(), end.tolist()):
-            for at in range(low, high, BLOCK):
-                to = min(high, at + BLOCK)
-                first = part.column("first")[low].as_py()
-                out.append((part.column("label")[low].as_py(), part.column("dims")[low].as_py(), int(ids[at]), first, first, ids[at:to].astype("<i8").tobytes(), b"".join(units[at:to].to_pylist())))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], [c.split()[0] for c in _BLOCKS.split(", ")])
+def _cut(base):
+    """Sequence intervals of one label, dimension and first cell, at most ``BLOCK`` vectors each, with their boxes."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    names = [c.split()[0] for c in _BLOCKS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, begin, end in common.sorted_groups(batches, ["label", "dims", "first"]):
+            out = []
+            ids, units = part.column("vec_id").to_numpy(), part.column("unit")
+            for start, stop in zip(begin.tolist(), end.tolist()):
+                label, dims, first = (part.column(c)[start].as_py() for c in ("label", "dims", "first"))
+                for at in range(start, stop, BLOCK):
+                    to = min(stop, at + BLOCK)
+                    raw = b"".join(units[at:to].to_pylist())
+                    low, high = _box(_points(np.frombuffer(raw).reshape(-1, dims), base.value[dims]))
+                    out.append((label, dims, first, ids[at:to].astype("<i8").tobytes(), raw, low.tolist(), high.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names)
+
+    return run
 
 
 def _near(a: tuple, b: tuple, epsilon2: float) -> bool:
@@ -211,14 +219,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     cells = linked.mapInArrow(_cells(base, math.sqrt(2 - 2 * cosine)), "vec_id long, label long, dims int, cells array<int>, unit binary").filter("dims is not null")
     cells = common.stash(cells.withColumn("first", F.element_at("cells", 1)), "ego-cells")
     keys = ["label", "dims", "first", "cells", "vec_id"]
-    blocks = common.stash(cells.repartitionByRange(common.shuffle_partitions(vectors), *keys).sortWithinPartitions(*keys).mapInArrow(_cut, _BLOCKS), "ego-blocks")
-    blocks = blocks.drop("high").withColumn("block", F.struct("block", F.xxhash64("ids").alias("h"))).withColumnRenamed("low", "first")
-
-    # Sequence intervals meet if their first cells are the same or next to each other; each pair once.
-    left = blocks.withColumn("cell", F.explode(F.array("first", F.col("first") + 1)))
-    right = blocks.select("label", "dims", F.col("first").alias("cell"), F.col("block").alias("block_b"), F.col("ids").alias("ids_b"), F.col("vectors").alias("vectors_b"))
+    blocks = cells.repartitionByRange(common.shuffle_partitions(vectors), *keys).sortWithinPartitions(*keys).mapInArrow(_cut(base), _BLOCKS)
+    blocks = common.stash(blocks.withColumn("block", F.monotonically_increasing_id()), "ego-blocks")  # numbers are fixed once written
+
+    # Boxes of intervals meet if their first cells are the same or next to each other, each pair once;
+    # the vectors are moved only for pairs whose boxes come within epsilon.
+    boxes = blocks.select("label", "dims", "first", "block", "low", "high")
+    left = boxes.withColumn("cell", F.explode(F.array("first", F.col("first") + 1)))
+    right = boxes.select("label", "dims", F.col("first").alias("cell"), F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    gaps = F.zip_with(F.zip_with("low", "high_b", lambda a, b: a - b), F.zip_with("low_b", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
     met = left.join(right, ["label", "dims", "cell"]).filter((F.col("cell") > F.col("first")) | (F.col("block") <= F.col("block_b")))
-    met = met.select("dims", ((F.col("cell") == F.col("first")) & (F.col("block") == F.col("block_b"))).alias("same"), "ids", "vectors", "ids_b", "vectors_b")
+    met = met.filter(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x) <= 2 - 2 * cosine + SLACK).select("label", "dims", "block", "block_b")
+    data = blocks.select("label", "dims", "block", "ids", "vectors")
+    met = met.join(data, ["label", "dims", "block"])
+    met = met.join(data.toDF("label", "dims", "block_b", "ids_b", "vectors_b"), ["label", "dims", "block_b"])
+    met = met.select("dims", (F.col("block") == F.col("block_b")).alias("same"), "ids", "vectors", "ids_b", "vectors_b")
     found = common.stash(met.mapInArrow(_join(base, cosine), "vec_id long, n long, other long"), "ego-links")
     counts = found.filter("other is null").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     components = connected(found.filter("other is not null"), "vec_id", "other").withColumnRenamed("node", "vec_id")
