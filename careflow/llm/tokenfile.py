@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import array
 import functools
+import gc
 import itertools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -203,7 +205,8 @@ NULL_ID = -(2**63)
 
 @functools.lru_cache(maxsize=1)
 def _known(path: str) -> Pieces:
-    """The pieces that a worker process keeps from task to task."""
+    """The pieces that a worker process keeps from task to task. It has one core, so the library's own threads only cost."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Pieces(path)
 
 
@@ -214,17 +217,21 @@ def _write(path: str):
         def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([shard_no] * len(found), pa.int32()), *(pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary())))], ["shard", "block", "n_ids", "payload"])
 
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                out: list = []
-                for doc_id, raw in zip(part.column(0).to_pylist(), known.batch(part.column(1).to_pylist())):
-                    ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
-                    out += shard.add(NULL_ID if doc_id is None else doc_id, ids)
-                if out:
-                    yield rows(out)
-        if shard.held:
-            yield rows([shard.flush()])
+        gc.disable()  # it would look for cycles among a million pieces again and again
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 500):
+                    part = b.slice(at, 500)
+                    out: list = []
+                    for doc_id, raw in zip(part.column(0).to_pylist(), known.batch(part.column(1).to_pylist())):
+                        ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
+                        out += shard.add(NULL_ID if doc_id is None else doc_id, ids)
+                    if out:
+                        yield rows(out)
+            if shard.held:
+                yield rows([shard.flush()])
+        finally:
+            gc.enable()
 
     return run
 
