@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -37,11 +38,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that stages of the pipeline have written to the shared folder and that aren't deleted yet.
+_scoped: list[str] = []
+_open_scopes = 0
+
+
+@contextlib.contextmanager
+def scope(docs: DataFrame) -> Iterator[None]:
+    """Tables stashed within belong to one stage; those of earlier stages are deleted unless ``docs`` still reads them.
+
+    A stage's result must be written before the next stage begins, as the pipeline does.
+    """
+    global _open_scopes
+    spark = docs.sparkSession
+    used = docs.inputFiles()
+    for path in _scoped[:]:
+        if not any(path.rpartition("/")[2] in f for f in used):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _scoped.remove(path)
+    _open_scopes += 1
+    try:
+        yield
+    finally:
+        _open_scopes -= 1
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: lineage ends there, and no executor's disk is needed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open_scopes:
+        _scoped.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
