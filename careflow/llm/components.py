@@ -30,6 +30,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     null end is ignored. Without links the result is empty.
     """
     ends = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u is not null and v is not null")
+    ends = stash(ends, "cc-ends")  # read twice below, so what makes the links runs once
     nodes = stash(ends.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "cc-nodes")
     now = stash(ends.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-links")
     mark = _mark(now)
