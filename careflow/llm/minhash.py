@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from . import common, sketch
 from .common import sorted_groups
 from .components import connected
+from .words import slices
 
 #: Coordinates of a band, and classes of a block.
 ROWS, BLOCK = 6, 256
@@ -46,8 +47,7 @@ def plan(percent: int) -> tuple[int, float]:
 def _sketch_rows(width: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in slices(b, 1):
                 sets = sketch.shingle_sets(part.column(1), width)
                 coords = (sketch.fast_sketch(sets, size) & np.uint64(0xFFFF)).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
@@ -157,8 +157,7 @@ def _confirm(size: int, least: float, percent: int):
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in slices(b, 1):
                 sets = sketch.shingle_sets(part.column(1), width)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch.digest(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "class", "members"])
 

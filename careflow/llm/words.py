@@ -9,6 +9,7 @@ Python object is made for it.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``most`` bytes of text (or one row), so that the arrays of a part stay small."""
+    _, at = buffers(batch.column(column))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(at, at[low] + most, side="right")) - 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of every word in the bytes; a word never crosses two texts."""
     n = len(data)

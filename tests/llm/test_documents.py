@@ -136,7 +136,7 @@ def test_language_model(spark, with_clashes, monkeypatch):
         w = [*(t or "").encode().lower().split(), "END"]
         want.append((d, crc_mod_py(d, 7) == 2, len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 4)))
     df = with_clashes(spark.createDataFrame(rows, KIND).repartition(4))
-    for known in (30, 250_000):
+    for known in (0, 30, 250_000):
         monkeypatch.setattr(brown, "KNOWN", known)
         got = brown.score(df).collect()
         assert sorted(((*tuple(r)[:5], round(r["base_score"], 4)) for r in got), key=str) == sorted(want, key=str)
