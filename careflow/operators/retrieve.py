@@ -30,6 +30,11 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id"
     and batch, never all pairs. Scores are rounded to 9 digits before ranking, so that summation
     order can't decide a tie.
     """
+    return _best_of(queries, vectors, k, key, vector)
+
+
+def _best_of(queries: DataFrame, vectors: DataFrame, k: int, key: str, vector: str, codes=None) -> DataFrame:
+    """``topk`` of the vectors that share one of a query's ``codes`` (a function of vectors; None: of all)."""
     spark = vectors.sparkSession
     q = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
     n = q.count()
@@ -43,13 +48,20 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id"
 
         def best(batches, sent=sent):
             ids, matrix = sent.value
+            asked = codes(matrix) if codes and len(ids) else None
             for pdf in batches:
                 if not len(pdf) or not len(ids):
                     continue
                 own, rows = pdf["id"].to_numpy(), np.array(pdf["v"].tolist(), dtype=float)
+                coded = codes(rows) if codes else None
                 for low in range(0, len(ids), 256):
                     score = np.round(matrix[low : low + 256] @ rows.T, 9)
                     score[ids[low : low + 256, None] == own[None, :]] = -np.inf
+                    if codes:
+                        met = np.zeros(score.shape, bool)
+                        for a, b in zip(asked[low : low + 256].T, coded.T):
+                            met |= a[:, None] == b[None, :]
+                        score[~met] = -np.inf
                     m = min(k, score.shape[1])
                     order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :m]
                     yield pd.DataFrame({"query_id": np.repeat(ids[low : low + 256], m), "neighbour": own[order].reshape(-1), "score": np.take_along_axis(score, order, 1).reshape(-1)}).query("score > -inf")
@@ -60,27 +72,21 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id"
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbour", "score")
 
 
-def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, planes: int = 6, tables: int = 12, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Like ``topk`` by random hyperplanes: only vectors that share one of ``tables`` codes with the query are scored.
+def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, planes: int = 4, tables: int = 24, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Like ``topk`` by random hyperplanes: only vectors that share one of ``tables`` codes with the query are ranked.
 
-    Codes are computed in Arrow batches, buckets meet by an equi-join; AQE splits the large ones.
+    Codes are compared in Arrow batches; every batch keeps its best k for each query, and the
+    pairs that share a code are never moved. The defaults find 0.9 or more of the true five
+    neighbours where these have cosines of about 0.3, at the price of ranking three quarters of all pairs.
     """
     first = vectors.filter(F.col(vector).isNotNull()).select(F.size(vector)).first()
     normals = np.random.default_rng(seed).normal(size=(max(1, first[0] if first else 1), tables * planes))
 
-    def codes(batches):
-        for pdf in batches:
-            if len(pdf):
-                bits = (np.array(pdf["v"].tolist(), dtype=float) @ normals >= 0).reshape(len(pdf), tables, planes)
-                number = bits @ (1 << np.arange(planes)) + (np.arange(tables) << planes)
-                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), tables), "code": number.reshape(-1)})
-
-    coded = lambda df, name: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(codes, "id long, code long").withColumnRenamed("id", name)
-    met = coded(queries, "query_id").join(coded(vectors, "neighbour"), "code").filter("query_id <> neighbour").select("query_id", "neighbour").distinct()
-    q, v = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q")), vectors.select(F.col(key).alias("neighbour"), F.col(vector).alias("_v"))
-    scored = met.join(q, "query_id").join(v, "neighbour").select("query_id", "neighbour", F.round(dot(F.col("_q"), F.col("_v")), 9).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "neighbour")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbour", "score")
+    def codes(rows):
+        bits = (rows @ normals >= 0).reshape(len(rows), tables, planes)
+        return bits @ (1 << np.arange(planes))
+
+    return _best_of(queries, vectors, k, key, vector, codes)
 
 
 def mmr(queries: DataFrame, vectors: DataFrame, k: int = 5, pool: int = 20, weight: float = 0.5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

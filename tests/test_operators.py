@@ -1,7 +1,11 @@
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from careflow.operators import curate, evaluate, flow, records, retrieve
+from careflow.plans import catalog
 from careflow.settings import Settings
 
 
@@ -62,6 +66,13 @@ def test_approximate_topk_finds_most(spark):
     assert len(found & want) / len(want) >= 0.9
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data here")
+def test_registered_approximate_query_reaches_its_recall(spark):
+    pairs = lambda name: {(r["query_id"], r["neighbour"]) for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect()}
+    want = pairs("knn_topk")
+    assert len(want) == 50 and len(pairs("ann_topk") & want) / len(want) >= 0.9
+
+
 def test_mmr_starts_with_the_nearest_and_repeats_nothing(spark):
     v, df = vectors(spark)
     got = retrieve.mmr(df.filter("vec_id = 0"), df).orderBy("rank").collect()
