@@ -350,7 +350,8 @@ def induce(rows: DataFrame) -> DataFrame:
     """(host, wrapper) of the hosts with enough different pages, from rows (host, page_id, html)."""
     trees = common.stash(rows.select("host", "page_id", "html").filter("html is not null").mapInArrow(_trees, _TREE), "wrapper-trees")
     tree = F.struct("depth", "label", "hash", "size")
-    reference = trees.groupBy("host").agg(F.min_by(tree, F.struct("n", "digest")).alias("ref"), F.approx_count_distinct("digest").alias("different")).filter(F.col("different") >= LEAST_PAGES)
+    trees = trees.dropDuplicates(["host", "digest"])  # copies of a page vote once
+    reference = trees.groupBy("host").agg(F.min_by(tree, F.struct("n", "digest")).alias("ref"), F.count("*").alias("different")).filter(F.col("different") >= LEAST_PAGES)
     votes = trees.join(reference.select("host", "ref"), "host").mapInArrow(_align, "host string, kind int, key string, a long, b long, most long")
     votes = common.stash(votes.groupBy("host", "kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("most").alias("most")), "wrapper-votes")
     pages = votes.filter("kind = 2").select("host", F.col("a").alias("varying"), F.col("b").alias("pages"))
@@ -368,7 +369,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     A null or empty page has an empty text and takes no part in the induction. Pages without a
     host (null or odd urls) form a host of their own. Repeated rows each give their row; copies of a
-    page count once when a host's different pages are counted. Other columns aren't read; an
+    page count and vote once. Other columns aren't read; an
     empty table gives an empty result.
     """
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))

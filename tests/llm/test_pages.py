@@ -27,6 +27,17 @@ def test_template_is_told_from_content_without_names(spark):
     assert got[3] == ("story 3 " * 5).strip() + "\n\nmore 9"
 
 
+@pytest.mark.parametrize("copied", ["<p>{n}</p>", "<p>{n}</p><p>and {n}</p><p>again {n}</p>"])
+def test_copies_of_a_page_vote_once(spark, copied):
+    """95 rows of one page, which is the reference (fewest nodes) or not, and 5 other pages."""
+    page = "<body><div>Shop</div><article>{a}</article></body>"
+    texts = [copied.format(n="the copied story " * 3)] * 95 + [f"<p>{'other story ' * 3}{i}</p><p>its end {i * i}</p>" for i in range(5)]
+    rows = [(i, f"http://c.example.org/{i}", page.format(a=t)) for i, t in enumerate(texts)]
+    got = {r["page_id"]: r["text"] for r in W.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    want = {i: "\n\n".join(x.strip() for x in t.replace("</p>", "").split("<p>")[1:]) for i, t in enumerate(texts)}
+    assert got == want
+
+
 def test_matching_is_the_largest_in_order():
     a = ([0, 1, 1, 1, 2], ["r", "x", "y", "x", "z"])
     b = ([0, 1, 1, 2], ["r", "y", "x", "z"])
