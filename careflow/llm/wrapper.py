@@ -5,8 +5,9 @@ host (its page with the fewest nodes) by simple tree matching: the largest order
 match of equal labels, by dynamic programming over lists of children. Summed over the host's
 pages, a node of the reference whose text is the same nearly everywhere is template, all other
 text is a varying slot; the deepest element that holds nearly all varying text, once a page,
-is the host's content. Then every page is read again: the text of its content element, less
-template nodes and elements that are boilerplate by name, block by block. Hosts with too few
+is the host's content. Then every page is read again: the text of its content element (of the
+article or main element around it, if there is one), less template nodes, and all other varying text
+outside, in page order, both less elements that are boilerplate by name, block by block. Hosts with too few
 different pages to tell take the content element that most hosts have, or a page's own
 article or main element, or its body.
 
@@ -32,8 +33,10 @@ from . import common
 LEAST_PAGES, SURE_PAGES = 3, 10
 #: Share of pages in which a template node has the same text; share of varying text that the content element holds.
 SAME, HOLDS = 0.9, 0.8
-#: Nodes of a tree that are aligned; what lies behind them in a larger page varies by definition and is still extracted.
+#: Nodes of a tree that are aligned by matching; those behind them in a larger page are the same if the reference has their text at their path.
 ALIGNED = 4_000
+#: Elements deeper than this count as children of the last one above, as browsers do.
+DEEPEST = 512
 #: Up to so many hosts (a few hundred bytes each) have their wrappers broadcast; beyond, both sides are shuffled.
 BROADCAST_HOSTS = 20_000
 
@@ -151,13 +154,13 @@ def flat(root: Node) -> tuple[list[int], list[str], list[int], list[int]]:
     """Depth, label, text hash and text length of each node that isn't inside junk, in page order."""
     out: tuple[list[int], list[str], list[int], list[int]] = ([], [], [], [])
     todo = [(c, 0) for c in reversed(root.children)]
-    while todo and len(out[0]) < ALIGNED:
+    while todo:
         node, depth = todo.pop()
         if node.junk:
             continue
         for x, v in zip(out, (depth, node.label, int.from_bytes(hashlib.blake2b(node.text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little") if node.text else 0, len(node.text))):
             x.append(v)
-        todo += [(c, depth + 1) for c in reversed(node.children)]
+        todo += [(c, min(depth + 1, DEEPEST)) for c in reversed(node.children)]
     return out
 
 
@@ -260,26 +263,33 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for r in batch.to_pylist():
             ref = r["ref"]
-            pairs = dict(match((r["depth"], r["label"]), (ref["depth"], ref["label"])))
+            pairs = dict(match((r["depth"][:ALIGNED], r["label"][:ALIGNED]), (ref["depth"][:ALIGNED], ref["label"][:ALIGNED])))
             paths = _paths(r["depth"], r["label"])
             ref_paths = _paths(ref["depth"], ref["label"])
-            host, varying, times = r["host"], {}, {}
-            for i, path in enumerate(paths):
-                if not r["hash"][i]:
+            behind = set(zip(ref_paths, ref["hash"])) if len(paths) > ALIGNED else ()
+            host, varying, times, within, above = r["host"], {}, {}, [0] * len(paths), []
+            for i, (path, hashed, depth) in enumerate(zip(paths, r["hash"], r["depth"])):
+                del above[depth:]
+                above.append(i)
+                if not hashed:
                     times[path] = times.get(path, 0) + 1
                     continue
                 j = pairs.get(i)
-                same = j is not None and ref["hash"][j] == r["hash"][i]
+                same = ref["hash"][j] == hashed if j is not None else i >= ALIGNED and (path, hashed) in behind
                 if j is not None:
                     vote(host, 0, f"{ref_paths[j]} {ref['hash'][j]}", int(same), 1)
+                elif same:
+                    vote(host, 0, f"{path} {hashed}", 1, 1)
                 if not same:
-                    parts = path.split("/")
-                    for n in range(1, len(parts)):
-                        p = "/".join(parts[:n])
-                        varying[p] = varying.get(p, 0) + r["size"][i]
+                    for n in above[:-1]:
+                        within[n] += r["size"][i]
+                    vote(host, 2, "", r["size"][i], 0)
+            for path, n in zip(paths, within):
+                if n:
+                    varying[path] = varying.get(path, 0) + n
             for p, n in times.items():
                 vote(host, 1, p, varying.get(p, 0), n)
-            vote(host, 2, "", sum(s for i, s in enumerate(r["size"]) if r["hash"][i] and not (pairs.get(i) is not None and ref["hash"][pairs[i]] == r["hash"][i])), 1)
+            vote(host, 2, "", 0, 1)
         keys = list(votes)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), *(pa.array([votes[k][i] for k in keys], pa.int64()) for i in range(3))], ["host", "kind", "key", "a", "b", "most"])
 
@@ -311,32 +321,33 @@ def _main_nodes(root: Node) -> list[Node]:
 
 
 def extract(page: str | None, wrapper: str | None) -> str:
-    """A page's main text under a wrapper (JSON: content, template, other)."""
+    """A page's main text under a wrapper (JSON: content, template, constant, other)."""
     root, w = parse(page), _loaded(wrapper)
-    nodes = []
-    for path in (w.get("content"), w.get("other")):
-        if path and not nodes:
-            nodes = _find(root, path)
-    nodes = nodes or _main_nodes(root)
+    content, template, constant = w.get("content") or "", w["template"], w["constant"]
+    own = bool(content and _find(root, content))
+    nodes = [root] if own else (_find(root, w["other"]) if w.get("other") else []) or _main_nodes(root)
     out: list[str] = []
-    template = w["template"]
-    todo = [(n, w.get("content") or "") for n in reversed(nodes)]
+    # With a content element the whole page is read: within the element less the template, outside less all constant text.
+    todo = [(n, "" if own else content, not own) for n in reversed(nodes)]
     while todo:
-        n, path = todo.pop()
+        n, path, inside = todo.pop()
         if n.junk:
             continue
         if n.text:
-            if not template or f"{path} {int.from_bytes(hashlib.blake2b(n.text.encode('utf-8', 'surrogatepass'), digest_size=7).digest(), 'little')}" not in template:
+            left_out = template if inside else constant
+            if not left_out or f"{path} {int.from_bytes(hashlib.blake2b(n.text.encode('utf-8', 'surrogatepass'), digest_size=7).digest(), 'little')}" not in left_out:
                 out.append(n.text)
             continue
-        todo += [(c, f"{path}/{c.label}") for c in reversed(n.children)]
+        for c in reversed(n.children):
+            at = f"{path}/{c.label}" if path else c.label
+            todo.append((c, at, inside or at == content or (c.main and content.startswith(at + "/"))))
     return "\n\n".join(out)
 
 
 @functools.lru_cache(maxsize=2_000)
 def _loaded(wrapper: str | None) -> dict:
     w = json.loads(wrapper) if wrapper else {}
-    w["template"] = frozenset(w.get("template") or ())
+    w["template"], w["constant"] = (frozenset(w.get(x) or ()) for x in ("template", "constant"))
     return w
 
 
@@ -360,8 +371,11 @@ def induce(rows: DataFrame) -> DataFrame:
     content = content.groupBy("host").agg(F.max_by("key", F.struct(F.size(F.split("key", "/")), "a", "key")).alias("content"))
     template = votes.filter("kind = 0").join(pages, "host").filter((F.col("b") >= SAME * F.col("pages")) & (F.col("a") >= SAME * F.col("b")) & (F.col("pages") >= SURE_PAGES))
     template = template.select("host", F.expr("regexp_replace(key, '/#( [0-9]+)$', '/#$1')").alias("key")).groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("template"))
-    wrappers = pages.join(content, "host", "left").join(template, "host", "left")
-    return common.stash(wrappers.select("host", F.to_json(F.struct("content", "template")).alias("wrapper"), "content"), "wrappers")
+    # Outside the content element a text is left out if it is the same in enough of the pages that have its node.
+    constant = votes.filter("kind = 0").join(content, "host").filter((F.col("a") >= SAME * F.col("b")) & (F.col("b") >= LEAST_PAGES) & ~F.expr("startswith(key, concat(content, '/'))"))
+    constant = constant.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("constant"))
+    wrappers = pages.join(content, "host", "left").join(template, "host", "left").join(constant, "host", "left")
+    return common.stash(wrappers.select("host", F.to_json(F.struct("content", "template", "constant")).alias("wrapper"), "content"), "wrappers")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -38,6 +38,29 @@ def test_copies_of_a_page_vote_once(spark, copied):
     assert got == want
 
 
+def texts(spark, pages):
+    rows = [(i, f"http://w.example.org/{i}", x) for i, x in enumerate(pages)]
+    got = W.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+@pytest.mark.parametrize("tag", ["article", "section"])
+@pytest.mark.parametrize("pages", [5, 15])
+def test_varying_text_outside_the_largest_element_is_kept(spark, tag, pages):
+    page = "<body><div>Shop</div><{tag}><h1>title {i}</h1><p>lead {i}</p><div>{body}</div></{tag}><div>Imprint</div><div>seen {j} times</div></body>"
+    body = [f"body {i} " * 40 for i in range(pages)]
+    got = texts(spark, [page.format(tag=tag, i=i, j=i * i + 3, body=body[i]) for i in range(pages)])
+    assert got == [f"title {i}\n\nlead {i}\n\n{body[i].strip()}\n\nseen {i * i + 3} times" for i in range(pages)]
+
+
+def test_nodes_behind_the_aligned_ones_vote_and_are_read(spark):
+    page = "<body><div>Shop</div><section>{a}</section><main>{b}</main><div>Imprint</div></body>"
+    a = ["<hr>".join(f"{i}-{k}" for k in range(W.ALIGNED)) for i in range(3)]
+    b = [f"<p>second {i} part</p><p>its end {i}</p>" for i in range(3)]
+    for i, got in enumerate(texts(spark, [page.format(a=x, b=y) for x, y in zip(a, b)])):
+        assert got == "\n\n".join([f"{i}-{k}" for k in range(W.ALIGNED)] + [f"second {i} part", f"its end {i}"])
+
+
 def test_matching_is_the_largest_in_order():
     a = ([0, 1, 1, 1, 2], ["r", "x", "y", "x", "z"])
     b = ([0, 1, 1, 2], ["r", "y", "x", "z"])
