@@ -2,26 +2,31 @@
 
 Every source is cut into blocks of ``block`` documents. With target weight w the k-th block of a
 source (from 0) is released at slot floor(k / w) and due before slot ceil((k + 1) / w); in each
-slot the released block with the earliest deadline runs. The weights are whole shares of a
-period Q, so the schedule repeats after Q slots: one period is worked out on the driver (Q is a
-parameter, no matter how large the corpus), and a source's k-th block takes its place in period
-k div share. Within every prefix a source is less than one block away from its target, as long
-as it has blocks left; what remains when others are used up follows in the same order.
+slot the released block with the earliest deadline runs. Weights are taken as they are, in
+whole numbers without rounding, and the driver goes through all blocks once, holding
+``AT_ONCE`` of them at a time. Within every prefix a source is less than one block away from its
+target, as long as it has blocks left; what remains when others are used up keeps its own times.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
+import itertools
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents of a block; slots of a period; parts of a source that are counted and numbered apart.
+#: Blocks of the schedule that the driver holds at once, and up to how many are broadcast (about 100 bytes each); beyond, the join shuffles.
+AT_ONCE, BROADCAST_BLOCKS = 1_000_000, 250_000
+#: Documents of a block; slots of a period where one is asked for; parts of a source that are counted and numbered apart.
 BLOCK, PERIOD, PARTS = 32, 1_000, 512
-#: Most sources: the driver holds a row for each, and a period has at least four slots for each. More raise an error, none is left out.
+#: Most sources: the driver holds a row for each. More raise an error, none is left out.
 MAX_SOURCES = 20_000
 
 
@@ -40,34 +45,61 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def schedule(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, number within the period, slot, release, deadline) of every block of one period, earliest deadline first."""
-    period = sum(share.values())
-    jobs = sorted((k * period // n, -(-(k + 1) * period // n), s, k) for s, n in share.items() for k in range(n))
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights; a weight below 0 counts as 0."""
+    parts = {s: max(Fraction(0), Fraction(w)) for s, w in weights.items()}
+    whole = math.lcm(*(x.denominator for x in parts.values())) if parts else 1
+    return {s: int(x * whole) for s, x in parts.items()}
+
+
+def blocks_in_order(share: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of every block, earliest deadline first.
+
+    Used-up sources leave their slots empty. Blocks of sources without weight stand behind all others.
+    """
+    total = sum(share.values())
+    waiting = [(0, s, 0) for s in sorted(share) if share[s] and blocks[s]]
     ready: list = []
-    out, at = [], 0
-    for slot in range(period):
-        while at < len(jobs) and jobs[at][0] <= slot:
-            release, due, s, k = jobs[at]
-            heapq.heappush(ready, (due, s, k, release))
-            at += 1
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // share[s]), s, k, release))
         due, s, k, release = heapq.heappop(ready)
-        out.append((s, k, slot, release, due))
-    return out
+        yield s, k, slot, release, due
+        slot += 1
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, ((k + 1) * total // share[s], s, k + 1))
+    for s in sorted(share):
+        for k in range(0 if share[s] else blocks[s]):
+            yield s, k, slot, slot, slot + 1
+            slot += 1
+
+
+def schedule(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """(source, number within the period, slot, release, deadline) of every block of one period, earliest deadline first."""
+    return list(blocks_in_order(share, share))
 
 
-def _literal(spark, rows: list[tuple], kind: str) -> DataFrame:
-    """Rows as a frame of literals: no Python rows go to executors."""
-    names = [c.split(":")[0] for c in kind.split(",")]
-    text = json.dumps([dict(zip(names, r)) for r in rows])
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+def _plan(spark, share: dict[str, int], blocks: dict[str, int]) -> DataFrame:
+    """The schedule as a table, written by parts."""
+    kind = pa.schema([("g_source", pa.string()), *((c, pa.int64()) for c in ("block", "slot", "release", "deadline"))])
+    found, out = blocks_in_order(share, blocks), None
+    while (part := list(itertools.islice(found, AT_ONCE))) or out is None:
+        columns = zip(*part) if part else [[]] * 5
+        rows = common.stash(spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)), "mix-plan")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """Gives every row its place in the mixture: source, block, slot, release, deadline and, within the block, place.
 
     ``weights`` are the target weights by source; sources without one, and all sources if there are
     none, get their number of rows to the ``power`` (0.5 lifts small sources, 1 keeps proportions).
+    With a ``period`` they are first rounded to whole shares of it, at least 1 each.
     Within a source rows go by a hash of their ids, then by id; ties of ids are all kept. A null
     source is a source of its own, a null id is like any other. No row is dropped or repeated. ``carry`` names columns of ``docs`` that are
     returned under their own names besides; other columns aren't read. An empty table gives an
@@ -87,18 +119,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     target = {s: float((weights or {}).get(s[1:] if s != "null" else None, n**power)) for s, n in found}
-    period = max(period, 4 * len(found))
-    share = shares(target, period)
-    plan = _literal(spark, schedule(share), "g_source:string,k:int,p_slot:long,p_release:long,p_deadline:long")
-    whole = _literal(spark, list(share.items()), "g_source:string,share:int")
+    blocks = {s: -(-n // block) for s, n in found}
+    share = exact(target) if period is None else shares(target, max(period, 4 * len(found)))
+    plan = _plan(spark, share, blocks)
 
     numbered = rows.selectExpr("*", "row_number() over (partition by g_source, part order by m_id) - 1 as at").join(before.drop("n"), ["g_source", "part"])
     numbered = numbered.withColumn("rank", F.col("before") + F.col("at")).withColumn("block", F.floor(F.col("rank") / block)).withColumn("place", (F.col("rank") % block).cast("int"))
-    numbered = numbered.join(F.broadcast(whole), "g_source").withColumn("k", (F.col("block") % F.col("share")).cast("int")).withColumn("round", F.floor(F.col("block") / F.col("share")))
-    out = numbered.join(F.broadcast(plan), ["g_source", "k"])  # both have at most a period's rows
-    times = [(F.col("round") * period + F.col(f"p_{c}")).cast("long").alias(c) for c in ("slot", "release", "deadline")]
+    out = numbered.join(F.broadcast(plan) if sum(blocks.values()) <= BROADCAST_BLOCKS else plan, ["g_source", "block"])
     own = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]
-    return out.select(F.col("m_id").alias("mixed_id"), F.col("m_source").alias("mixed_source"), F.col("block").cast("long").alias("block"), *times, "place", *own)
+    return out.select(F.col("m_id").alias("mixed_id"), F.col("m_source").alias("mixed_source"), F.col("block").cast("long").alias("block"), "slot", "release", "deadline", "place", *own)
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:

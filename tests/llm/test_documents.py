@@ -190,6 +190,27 @@ def test_mixing(spark, with_clashes):
     assert not re.search("MapInArrow|FlatMapGroups|EvalPython", plan)
 
 
+def test_the_deviation_from_the_weights_does_not_grow(spark):
+    """Over many times 1,000 slots, against the weights themselves."""
+    weights = {"hot": (1 / 3) ** 0.5} | {f"s{i}": (2 / 3 / 19) ** 0.5 for i in range(19)}
+    total, seen = sum(weights.values()), collections.Counter()
+    blocks = {s: int(30_000 * w / total) for s, w in weights.items()}
+    for s, k, slot, release, due in mixing.blocks_in_order(mixing.exact(weights), blocks):
+        assert k == seen[s] and release <= slot < due
+        seen[s] += 1
+        if slot % 97 == 0:
+            assert all(abs(seen[x] - w / total * (slot + 1)) < 1 for x, w in weights.items() if seen[x] < blocks[x])
+    assert seen == blocks
+    # The rows of mix() have the same times, also of a source without weight, which stands last.
+    df = spark.createDataFrame([(i, "t", "en", "abcz"[min(i % 7, 3)]) for i in range(14_000)], KIND)
+    weights = {"a": 0.13961, "b": 0.2, "c": 0.66039, "z": 0}
+    got = mixing.mix(df, weights, block=1).collect()
+    assert len({r["slot"] for r in got}) == len(got) == 14_000
+    w = lambda r: weights[r["mixed_source"]]
+    assert all(r["release"] <= r["slot"] < r["deadline"] and (not w(r) or abs(r["block"] + 0.5 - w(r) * (r["slot"] + 0.5)) < 1.5) for r in got)
+    assert max(r["slot"] for r in got if w(r)) < min(r["slot"] for r in got if not w(r))
+
+
 def test_many_sources_get_a_longer_period_and_too_many_an_error(spark, monkeypatch):
     df = spark.createDataFrame([(i, "t", "en", f"s{i % 300}") for i in range(900)], KIND)
     assert mixing.mix(df, block=1, period=10).select("slot").distinct().count() == 900
