@@ -8,6 +8,7 @@ folder for itself is deleted when the next one begins.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from careflow.llm import bpe, common, minhash, mixing, quality, toxicity
 
@@ -37,9 +38,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document that is left."""
+    """Token counts and digests of every document that is left, with its slot and place in the mixture: orderBy("slot", "place")."""
     with common.scope(docs):
-        return bpe.encode_documents(docs)
+        mixed = mixing.mix(docs, carry=["text"]).withColumn("position", F.col("slot") * mixing.BLOCK + F.col("place"))
+        mixed = common.stash(mixed, "pipeline-places")
+        encoded = bpe.encode_documents(mixed, id_col="position").withColumnRenamed("doc_id", "position")
+        places = mixed.select("position", F.col("mixed_id").alias("doc_id"), "slot", "place")
+        return encoded.join(places, "position").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "slot", "place")
 
 
 STAGES = [

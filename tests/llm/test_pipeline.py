@@ -1,8 +1,10 @@
+import collections
 import os
 
 import pytest
 
 import corpus_pipeline
+from careflow.llm import mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +23,17 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == counts[4]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
+def test_rows_have_their_place_in_the_mixture(spark):
+    got = corpus_pipeline.run(spark, SF).collect()
+    source = {r["doc_id"]: r["source"] for r in corpus_pipeline.common.table(spark, SF, "documents").collect()}
+    counts = collections.Counter(source[r["doc_id"]] for r in got)
+    blocks = {s: -(-n // mixing.BLOCK) for s, n in counts.items()}
+    want = [(slot, place, s) for s, k, slot, _, _ in mixing.blocks_in_order(mixing.exact({s: n**0.5 for s, n in counts.items()}), blocks) for place in range(min(mixing.BLOCK, counts[s] - k * mixing.BLOCK))]
+    # Sources are ordered under a prefix of "=" in mix(), which keeps their order.
+    assert sorted((r["slot"], r["place"], source[r["doc_id"]]) for r in got) == sorted(want)
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     kind = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], kind).write.parquet(str(tmp_path / "documents.parquet"))
