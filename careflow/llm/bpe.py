@@ -1,12 +1,13 @@
 """Byte-level BPE by overlapping chunks (operator 3).
 
 A text of at most ``CHUNK`` code points is encoded where it lies, without a shuffle. A longer
-one is cut into chunks that overlap by ``OVERLAP`` code points; the chunks go to different
-tasks, each pre-tokenises its own, and neighbours are stitched at the first boundary that
-both have in their overlap. From a common boundary on both splits are the same, since the
-pattern looks only ahead; so the pieces between the stitches are encoded alone and their ids
-are concatenated. If some neighbours never meet (one run of a class fills the overlap), that
-document is put together again and encoded as one piece.
+one is cut into chunks that overlap by ``OVERLAP`` code points; the chunks are dealt out once,
+each task pre-tokenises its own, and neighbours are stitched at the first boundary that both
+have in their overlap. From a common boundary on both splits are the same, since the pattern
+looks only ahead; so the pieces between the stitches are encoded alone, and only their ids move
+once more, to be hashed in order, a batch at a time. Where neighbours never meet (one run of a
+class fills the overlap), the texts between the stitches on both sides are put together and
+encoded as one piece.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -25,7 +25,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from .common import tidy
+from .words import slices
 
 #: Code points of a chunk's own part, and of the part that it shares with the next chunk.
 CHUNK, OVERLAP = 16_384, 1_024
@@ -87,12 +88,13 @@ def sync_marks(text: str, pattern: str, start: int, low: int, high: int) -> list
 
 
 def _encode_rows(path: str, pattern: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             n, ids_hash, text_hash = [], [], []
-            for text in b.column(1).to_pylist():
-                ids = encode(text or "", enc)
+            for text in b.column(1):
+                ids = encode(text.as_py() or "", enc)
                 n.append(len(ids))
                 ids_hash.append(hashlib.sha256(ids_bytes(ids)).hexdigest())
                 text_hash.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
@@ -102,63 +104,73 @@ def _encode_rows(path: str, pattern: str):
 
 
 def _mark_chunks(pattern: str, chunk: int, overlap: int):
-    """Adds a chunk's sure boundaries in the two overlaps."""
+    """A chunk's sure boundaries in its two overlaps."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 4)):
             head, tail = [], []
-            for k, body in zip(b.column("k").to_pylist(), b.column("body").to_pylist()):
+            for k, body in zip(b.column("k").to_pylist(), b.column("body")):
                 at = k * chunk
-                marks = sync_marks(body, pattern, at, at, at + chunk + overlap)
+                marks = sync_marks(body.as_py(), pattern, at, at, at + chunk + overlap)
                 head.append([p for p in marks if p < at + overlap])
                 tail.append([p for p in marks if p >= at + chunk])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], [*b.schema.names, "head", "tail"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "k", "n_chunks")), pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], ["key", "k", "n_chunks", "head", "tail"])
 
     return run
 
 
 def _encode_pieces(path: str, pattern: str, chunk: int):
-    """Ids and bytes of each piece; a document without all its stitches keeps its chunks' own text."""
+    """Ids of each piece between two stitches; a chunk that misses one passes on its own text instead."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for b in batches:
-            ids_out, raw_out, text_out = [], [], []
-            for k, whole, begin, end, body in zip(*(b.column(c).to_pylist() for c in ("k", "whole", "begin", "end", "body"))):
-                if whole:
-                    ids_out.append(None)
-                    raw_out.append(None)
-                    text_out.append(body[:chunk])
-                    continue
-                ids = encode(body[(begin or 0) - k * chunk if k else 0 : None if end is None else end - k * chunk], enc)
-                ids_out.append(ids_bytes(ids))
-                raw_out.append(enc.decode_bytes(ids))
-                text_out.append(None)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "key", "k", "copies")), pa.array(ids_out, pa.binary()), pa.array(raw_out, pa.binary()), pa.array(text_out, pa.string())], ["doc_id", "key", "k", "copies", "ids", "raw", "part"])
+        for b in (part for whole in batches for part in slices(whole, 6)):
+            ids_out, text_out = [], []
+            for k, n_chunks, begin, end, body in zip(*(b.column(c).to_pylist() for c in ("k", "n_chunks", "begin", "end")), b.column("body")):
+                whole, text = (k == 0 or begin is not None) and (k == n_chunks - 1 or end is not None), body.as_py()
+                text = text[0 if begin is None else begin - k * chunk : (chunk if k < n_chunks - 1 else None) if end is None else end - k * chunk]
+                ids_out.append(ids_bytes(encode(text, enc)) if whole else None)
+                text_out.append(None if whole else text)
+            last = pa.array([e is not None or k == n - 1 for k, n, e in zip(*(b.column(c).to_pylist() for c in ("k", "n_chunks", "end")))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "key", "k", "n_chunks")), pa.array(ids_out, pa.binary()), pa.array(text_out, pa.string()), last], ["doc_id", "key", "k", "n_chunks", "ids", "part", "last"])
 
     return run
 
 
 def _join_pieces(path: str, pattern: str):
-    """One document's pieces in order; as many rows as the document has copies under its id."""
-
-    def run(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values("k")
-        if pieces["part"].notna().any():
-            enc = encoding(path, pattern)
-            ids = encode("".join(pieces["part"]), enc)
-            parts, raws = [ids_bytes(ids)], [enc.decode_bytes(ids)]
-        else:
-            parts, raws = pieces["ids"], pieces["raw"]
-        a, b, n = hashlib.sha256(), hashlib.sha256(), 0
-        for x, raw in zip(parts, raws):
-            a.update(x)
-            b.update(raw)
-            n += len(x) // 4
-        first = pieces.iloc[0]
-        row = (None if pd.isna(first["doc_id"]) else int(first["doc_id"]), n, a.hexdigest(), b.hexdigest())
-        out = pd.DataFrame([row] * int(first["copies"]), columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        return out.astype({"doc_id": "Int64"})
+    """Hashes each document's pieces in order; rows come by key and chunk, equal rows (copies) next to each other.
+
+    What is held is one hash state, and texts between two stitches that are still apart.
+    """
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(path, pattern)
+        key = k = None
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                doc_id, own, at, n_chunks, ids, part, last = (b.column(c)[i].as_py() for c in range(7))
+                if own != key:
+                    key, k, held, n, a, c = own, -1, [], 0, hashlib.sha256(), hashlib.sha256()
+                if at == k:  # a copy's
+                    if at == n_chunks - 1:
+                        out.append(row)
+                    continue
+                k = at
+                if part is not None:
+                    held.append(part)
+                    ids = ids_bytes(encode("".join(held), enc)) if last else b""
+                    held = [] if last else held
+                a.update(ids)
+                c.update(enc.decode_bytes(np.frombuffer(ids, "<u4").tolist()))
+                n += len(ids) // 4
+                if at == n_chunks - 1:
+                    row = (doc_id, n, a.hexdigest(), c.hexdigest())
+                    out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -177,20 +189,21 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     size = F.length("text")
     short = rows.filter(size <= chunk).mapInArrow(_encode_rows(path, pattern), OUT)
 
-    # A row's key: equal keys are equal rows, so copies of a row are counted and their result repeated.
-    key = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "text"), 256)
-    cut = rows.filter(size > chunk).select("doc_id", key.alias("key"), F.explode(F.sequence(F.lit(0), ((size - 1) / chunk).cast("int"))).alias("k"), F.ceil(size / chunk).cast("int").alias("n_chunks"), "text")
+    # A row's key: equal keys are equal rows (copies), whose chunks lie next to each other when they are joined.
+    key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), 256)
+    last = ((size - 1) / chunk).cast("int")
+    cut = rows.filter(size > chunk).select("doc_id", key.alias("key"), "text").select("doc_id", "key", F.explode(F.sequence(F.lit(0), last)).alias("k"), (last + 1).alias("n_chunks"), "text")
     cut = cut.select("doc_id", "key", "k", "n_chunks", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("body"))
-    cut = cut.groupBy("doc_id", "key", "k", "n_chunks").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
-    kind = "doc_id long, key string, k int, n_chunks int, body string, copies long, head array<long>, tail array<long>"
-    marked = common.stash(cut.mapInArrow(_mark_chunks(pattern, chunk, overlap), kind), "bpe-chunks")
+    # The texts move once: both readers below use this one exchange.
+    cut = cut.repartition("key", "k")
+    marked = cut.mapInArrow(_mark_chunks(pattern, chunk, overlap), "key string, k int, n_chunks int, head array<long>, tail array<long>")
 
-    # The stitch of two neighbours: the first boundary that both have. Only the marks are moved, not the texts.
+    # The stitch of two neighbours: the first boundary that both have. Each chunk gets the one before and the one behind it.
     sides = F.array(F.struct(F.col("k").alias("at"), F.col("tail"), F.lit(None).cast("array<long>").alias("head")), F.struct((F.col("k") - 1).alias("at"), F.lit(None).cast("array<long>").alias("tail"), F.col("head")))
     sides = marked.select("key", "n_chunks", F.inline(sides)).filter("at between 0 and n_chunks - 2")
     met = sides.groupBy("key", "at").agg(F.array_min(F.array_intersect(F.max("tail"), F.max("head"))).alias("p"))
-    stitches = met.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("at", "p"))).alias("stitch"), F.max(F.col("p").isNull()).alias("whole"))
-    joined = marked.join(stitches, "key").select("doc_id", "key", "k", "copies", "whole", F.element_at("stitch", F.col("k") - 1).alias("begin"), F.element_at("stitch", F.col("k")).alias("end"), "body")
-    pieces = joined.mapInArrow(_encode_pieces(path, pattern, chunk), "doc_id long, key string, k int, copies long, ids binary, raw binary, part string")
-    long = pieces.groupBy("key").applyInPandas(_join_pieces(path, pattern), OUT)
+    ends = met.select("key", F.inline(F.array(F.struct(F.col("at").alias("k"), F.lit(None).cast("long").alias("begin"), F.col("p").alias("end")), F.struct((F.col("at") + 1).alias("k"), F.col("p").alias("begin"), F.lit(None).cast("long").alias("end")))))
+    ends = ends.groupBy("key", "k").agg(F.max("begin").alias("begin"), F.max("end").alias("end"))
+    pieces = cut.join(ends, ["key", "k"], "left").select("doc_id", "key", "k", "n_chunks", "begin", "end", "body").mapInArrow(_encode_pieces(path, pattern, chunk), "doc_id long, key string, k int, n_chunks int, ids binary, part string, last boolean")
+    long = pieces.repartition("key").sortWithinPartitions("key", "k").mapInArrow(_join_pieces(path, pattern), OUT)
     return short.unionByName(long)

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
+import ctypes
+import functools
 import os
+import re
 import tempfile
 import uuid
+import weakref
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, one local machine) a folder of this machine is chosen.
+    Where it is unset, a folder of this machine is chosen if the master is local (tests, one
+    machine); on a cluster that is an error, since executors don't share such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"/tmp/checkpoints/careflow-{os.getuid()}"
         os.makedirs(found, exist_ok=True)
         found = tempfile.mkdtemp(dir=found)
@@ -38,30 +46,82 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Tables that stages of the pipeline have written to the shared folder and that aren't deleted yet.
-_scoped: list[str] = []
-_open_scopes = 0
+class Kept:
+    """What one call keeps for itself: tables in the shared folder and broadcast values."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.values = spark, [], []
+
+    def free(self) -> None:
+        """Deletes the tables and takes the values from all workers."""
+        for path in self.paths:
+            remove(self.spark, path)
+        for value in self.values:
+            value.unpersist()
+        self.paths, self.values = [], []
+
+
+#: What the call that is running keeps, and by session what the last stage of a pipeline has kept.
+_running: contextvars.ContextVar[Kept | None] = contextvars.ContextVar("running", default=None)
+_last: weakref.WeakKeyDictionary[SparkSession, Kept] = weakref.WeakKeyDictionary()
+
+
+def _reads(df: DataFrame) -> list[str]:
+    """The folders that a frame's own plan reads (their names only, no files are listed)."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            out += [roots.apply(k).toString() for k in range(roots.size())]
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or a file of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager
 def scope(docs: DataFrame) -> Iterator[None]:
-    """Tables stashed within belong to one stage; those of earlier stages are deleted unless ``docs`` still reads them.
+    """What is stashed or broadcast within belongs to one stage of a pipeline.
 
-    A stage's result must be written before the next stage begins, as the pipeline does.
+    What the stage before has kept is freed first, unless ``docs`` still reads it: a stage's
+    result is written before the next stage begins.
     """
-    global _open_scopes
     spark = docs.sparkSession
-    used = docs.inputFiles()
-    for path in _scoped[:]:
-        if not any(path.rpartition("/")[2] in f for f in used):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-            _scoped.remove(path)
-    _open_scopes += 1
+    before, own = _last.get(spark), Kept(spark)
+    if before is not None:
+        used = {p.rpartition("/")[2] for p in _reads(docs)}
+        if used & {p.rpartition("/")[2] for p in before.paths}:
+            own.paths, own.values = before.paths, before.values
+        else:
+            before.free()
+    _last[spark] = own
+    token = _running.set(own)
     try:
         yield
     finally:
-        _open_scopes -= 1
+        _running.reset(token)
+
+
+def spread(spark: SparkSession, value):
+    """A broadcast value of a proven size; within a stage it is taken back when the next one begins."""
+    found = spark.sparkContext.broadcast(value)
+    if (own := _running.get()) is not None:
+        own.values.append(found)
+    return found
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    if (own := _running.get()) is not None:
+        own.paths.append(path)
+    return path
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -69,8 +129,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _open_scopes:
-        _scoped.append(path)
+    if (own := _running.get()) is not None:
+        own.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -102,6 +162,28 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield held, np.array([0]), np.array([held.num_rows])
 
 
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over Arrow batches whose worker gives its free memory back at the end of each task."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return tidied
+
+
 def bytes_of(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

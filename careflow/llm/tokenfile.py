@@ -1,48 +1,62 @@
 """Token ids in a binary format of bit-plane shuffled, compressed blocks (operator 9).
 
-Documents are dealt by ranges of doc_id into shards, so that shards in order and documents in a
-shard are in ascending order of doc_id. A shard's ids, each document's followed by the end id,
-form one stream that is cut into blocks of ``BLOCK_IDS``. A block is stored as
+Texts are encoded where they lie; only their ids (two bytes each, if the vocabulary allows) are
+dealt by ranges of doc_id into shards, so that shards in order and documents in a shard are in
+ascending order of doc_id. A shard's ids, each document's followed by the end id, form one
+stream that is cut into blocks of ``BLOCK_IDS``. A shard is one file in the shared folder:
 
-    magic "BPS1" | number of ids | number of planes | number of segments     (little-endian uint32)
+    blocks | chunk index: offset of each block and of the end (uint64 each) | number of blocks (uint64) | magic "BPS1"
+
+and a block in it is
+
+    magic "BPS1" | number of ids | number of planes | number of segments | bytes of the table   (little-endian uint32)
     segment table, compressed: doc_id, serial number in the shard, offset in the block, ids here,
         ids of the whole document, offset of the segment in its document     (int64 each)
     plane lengths (uint32 each) | planes, each compressed by zstandard
 
 where plane i holds bit i of every id (a byte holds eight ids). High planes are nearly
-constant and vanish. The segment table is the chunk index: it says which documents lie where, so
-that a reader decodes single blocks. Blocks are kept as rows (shard, block, payload) of a
-Parquet table in the shared folder, written with Spark's committer, so a lost task leaves
-nothing behind; ``to_file`` and ``from_file`` put a shard's blocks into one file with a footer.
+constant and vanish. The segment table says which documents lie where, and the chunk index where a
+block lies, so that a reader fetches and decodes single blocks.
+
+Each attempt of a task writes a file of its own and reports its name; names of attempts that
+ended well are kept (in a Parquet table, by Spark's committer), files of others are deleted. Files are
+written and read through ``pyarrow.fs``, so the shared folder may be on any store that it knows.
 """
 
 from __future__ import annotations
 
-import array
 import functools
-import gc
 import itertools
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 import public_tokenizers
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import common
+from .common import tidy
+from .words import buffers, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Ids of a block, and the id that ends a document.
 BLOCK_IDS, END = 65_536, 0
-#: Pieces of text whose ids a worker keeps at once, and the longest piece that is kept.
-KEPT, KEPT_CHARS = 900_000, 48
+#: Pieces of text whose ids a worker keeps at once, and the longest piece (in bytes) that is kept.
+KEPT, KEPT_BYTES = 400_000, 48
+#: Bytes of text that are encoded at once.
+AT_ONCE = 4 << 20
+#: Stands for a null id; such documents come first.
+NULL_ID = -(2**63)
 MAGIC = b"BPS1"
 _SEGMENT = np.dtype([("doc_id", "<i8"), ("serial", "<i8"), ("at", "<i8"), ("n", "<i8"), ("total", "<i8"), ("begin", "<i8")])
 
@@ -52,78 +66,143 @@ _SEGMENT = np.dtype([("doc_id", "<i8"), ("serial", "<i8"), ("at", "<i8"), ("n",
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    """The library's tokenizer as its file describes it. A worker has one core, so the library's own threads only cost."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes beside which nothing is cut: separators that some tools call white space, and last and first bytes of wider white space.
+_UNSURE_BEFORE, _UNSURE_BEHIND = np.zeros(256, bool), np.zeros(256, bool)
+_UNSURE_BEFORE[[0x1C, 0x1D, 0x1E, 0x1F]] = _UNSURE_BEHIND[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+#: Letters of ASCII, and second bytes of the Latin letters whose first byte is 0xC3.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+#: Wider white space in UTF-8: first byte, and for longer ones the second, of the characters that are looked at byte by byte.
+_WIDE = {(0xC2,): (0x85, 0xA0), (0xE1, 0x9A): (0x80,), (0xE2, 0x80): (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF), (0xE2, 0x81): (0x9F,), (0xE3, 0x80): (0x80,)}
+
+
+def cuts(data: np.ndarray, special: frozenset[int] = frozenset(), whole_marks: bool = False) -> np.ndarray:
+    """Whether UTF-8 bytes may be cut before each byte: the pre-token pattern has a boundary there whatever the rest is.
+
+    A boundary always lies before white space that follows another character; before the last
+    character of a run of white space that something else follows; and behind that character unless it is a
+    space, which goes with the word. Where a byte's kind is in doubt nothing is cut; ``special``
+    has the first bytes of special tokens, since white space before these is split as at a text's end.
+    A boundary also lies between a letter and an ASCII mark behind it; ``whole_marks`` leaves it out,
+    as there may be special tokens with letters and marks in them.
+    """
+    n, out = len(data), np.zeros(len(data), bool)
+    if n < 2:
+        return out
+    space = _SPACE[data]
+    ends = ~space  # what surely isn't white space, as a last byte of its character
+    ends &= ~_UNSURE_BEFORE[data]
+    for first, lasts in _WIDE.items():
+        k = len(first)
+        if n > k:
+            hit = data[: n - k] == first[0]
+            if hit.any():
+                for i, x in enumerate(first[1:], 1):
+                    hit &= data[i : n - k + i] == x
+                ends[k:][hit & np.isin(data[k:], lasts)] = False
+    doubt = _UNSURE_BEHIND.copy()
+    doubt[list(special)] = True
+    begins = ~(space | doubt[data])  # what surely isn't white space, as a first byte
+    last = np.zeros(n, bool)
+    last[:-1] = space[:-1] & begins[1:]
+    out[1:] = space[1:] & ends[:-1]
+    sure_run = out | (np.concatenate([[False], space[:-1]]) & space)  # a run that began with a doubtful character isn't touched
+    out |= last & sure_run
+    out[1:] |= (last & sure_run)[:-1] & (data[:-1] != 0x20)
+    if not whole_marks:  # between a letter and the mark behind it
+        mark, letter = _MARK[data], _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+        out[1:] |= letter[:-1] & mark[1:]
+    out[0] = False
+    return out
 
 
 class Pieces(dict):
-    """Ids of pieces of text as bytes, by the tokenizers library.
-
-    A text may be cut before a space that follows a character which isn't white space and
-    precedes one that isn't: the pre-token pattern has a boundary there whatever the rest is. Pieces come
-    back again and again, so each is encoded once while it is kept.
-    """
+    """Ids of pieces of text by the tokenizers library; pieces come back again and again, so each is encoded once while it is kept."""
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-
-    def ids(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        return self.batch([text])[0]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the new pieces of a batch are encoded in one call."""
-        cut = [pieces(t) for t in texts]
-        flat = list(itertools.chain.from_iterable(cut))
-        found = list(map(self.get, flat))
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids begin and end."""
+        data, at = buffers(texts)
+        if not len(data):
+            return np.empty(0, self.kind), at
+        raw = data.tobytes()
+        cut = cuts(data, frozenset(x[0] for x in self.special), any(x in raw for x in self.special))
+        inner = at[(at > 0) & (at < len(data))]
+        cut[inner] = True
+        begin = np.concatenate([[0], np.flatnonzero(cut)])
+        offsets = np.append(begin, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(self.get, words))
         if None in found:
             gaps = [i for i, x in enumerate(found) if x is None]
-            new = self._encode({flat[i] for i in gaps})
-            for i in gaps:
-                found[i] = new[flat[i]]
-        ends = list(itertools.accumulate(map(len, cut)))
-        return [b"".join(found[low:high]) for low, high in zip([0, *ends], ends)]
-
-    def _encode(self, unknown: set[str]) -> dict[str, bytes]:
+            for i, x in zip(gaps, self._encode([words[i] for i in gaps])):
+                found[i] = x
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(found), self.kind)
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        starts = (np.cumsum(sizes) - sizes)[which]
+        ids = flat[np.arange(counts.sum()) + np.repeat(starts - (ends - counts), counts)]
+        before = np.concatenate([[0], ends])
+        return ids, before[np.searchsorted(begin, at)]
+
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of one text."""
+        return self.batch(pa.array([text], pa.string()))[0]
+
+    def _encode(self, unknown: list[str]) -> list[bytes]:
         """Encodes pieces and keeps the short ones."""
-        part = list(unknown)
-        ids = self.tok.encode_batch_fast(part, add_special_tokens=False)
-        new = {p: array.array("I", e.ids).tobytes() for p, e in zip(part, ids)}
+        ids = [e.ids for e in self.tok.encode_batch_fast(unknown, add_special_tokens=False)]
+        ends = list(itertools.accumulate(map(len, ids), initial=0))
+        raw, size = np.fromiter(itertools.chain.from_iterable(ids), self.kind, ends[-1]).tobytes(), self.kind.itemsize
+        new = [raw[size * a : size * b] for a, b in itertools.pairwise(ends)]
         if len(self) + len(new) > KEPT:
             self.clear()
-        self.update((p, x) for p, x in new.items() if len(p) <= KEPT_CHARS)
+        self.update((p, x) for p, x in zip(unknown, new) if len(p) <= KEPT_BYTES)
         return new
 
 
-#: What a text must not have for the plain cut: white space other than single spaces and line feeds between
-#: two words, and the mark of the cut. Looking for each is much faster than one pattern for all.
-_ODD = ("\0", "  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(1, 0x3001) if chr(c).isspace() and c not in (0x20, 0x0A)))
-
-
-def pieces(text: str) -> list[str]:
-    """Cuts a text at the spaces and line feeds where the pre-token pattern surely has a boundary."""
-    if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _ODD):
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-    out: list[str] = []
-    for n, line in enumerate(text.split("\n")):
-        parts = line.split(" ")
-        # A line feed belongs to the piece before it unless plain text stands on both its sides.
-        if n:
-            if out and out[-1] and not out[-1][-1].isspace() and parts[0] and not parts[0][0].isspace():
-                out += ["\n", parts[0]]
-            elif out:
-                out[-1] += "\n" + parts[0]
-            else:
-                out.append("\n" + parts[0])
-        else:
-            out.append(parts[0])
-        for p in parts[1:]:
-            if p and out[-1] and not p[0].isspace() and not out[-1][-1].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-    return out
+@functools.lru_cache(maxsize=1)
+def _known(path: str) -> Pieces:
+    """The pieces that a worker process keeps from task to task."""
+    return Pieces(path)
+
+
+def _encode(path: str, bounds: list[int]):
+    """Each document's shard and its ids, with the end id, as bytes."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known(path)
+        end = np.array([END], known.kind).tobytes()
+        for b in (part for whole in batches for part in slices(whole, 1, AT_ONCE)):
+            ids, at = known.batch(b.column(1))
+            raw = ids.tobytes()
+            size = known.kind.itemsize
+            shard = np.searchsorted(bounds, pc.fill_null(b.column(0), NULL_ID).to_numpy(zero_copy_only=False)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0), pa.array([raw[size * x : size * y] + end for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], ["shard", "doc_id", "ids"])
+
+    return run
 
 
 # --- blocks ---------------------------------------------------------------------------------
@@ -158,30 +237,15 @@ def unpack_block(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, segments
 
 
-def to_file(blocks: list[bytes]) -> bytes:
-    """A shard's blocks as one file: blocks, then the offset of each, their number and the magic."""
-    offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
-    return b"".join(blocks) + offsets.tobytes() + struct.pack("<Q", len(blocks)) + MAGIC
-
-
-def from_file(data: bytes) -> list[bytes]:
-    """The blocks of a file."""
-    if data[-4:] != MAGIC:
-        raise ValueError("not a file of this format")
-    n = struct.unpack("<Q", data[-12:-4])[0]
-    offsets = np.frombuffer(data[len(data) - 12 - 8 * (n + 1) : -12], "<u8").astype(np.int64)
-    return [data[offsets[i] : offsets[i + 1]] for i in range(n)]
-
-
 class _Shard:
     """Takes documents in order and gives out full blocks."""
 
     def __init__(self):
         self.parts: list[np.ndarray] = []
         self.segments: list[tuple] = []
-        self.held = self.serial = self.block = 0
+        self.held = self.serial = 0
 
-    def add(self, doc_id: int, ids: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    def add(self, doc_id: int, ids: np.ndarray) -> Iterator[bytes]:
         begin, total = 0, len(ids)
         while begin < total:
             n = min(total - begin, BLOCK_IDS - self.held)
@@ -193,57 +257,111 @@ class _Shard:
                 yield self.flush()
         self.serial += 1
 
-    def flush(self) -> tuple[int, int, bytes]:
-        out = (self.block, self.held, pack_block(np.concatenate(self.parts), np.array(self.segments, _SEGMENT)))
+    def flush(self) -> bytes:
+        out = pack_block(np.concatenate(self.parts).astype(np.uint32), np.array(self.segments, _SEGMENT))
         self.parts, self.segments, self.held = [], [], 0
-        self.block += 1
         return out
 
 
-NULL_ID = -(2**63)
+class FileWriter:
+    """Writes blocks one by one, and the chunk index behind them."""
 
+    def __init__(self, path: str):
+        store, at = open_store(path)
+        self.out, self.offsets = store.open_output_stream(at), [0]
 
-@functools.lru_cache(maxsize=1)
-def _known(path: str) -> Pieces:
-    """The pieces that a worker process keeps from task to task. It has one core, so the library's own threads only cost."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Pieces(path)
+    def add(self, block: bytes) -> None:
+        self.out.write(block)
+        self.offsets.append(self.offsets[-1] + len(block))
+
+    def close(self) -> int:
+        """Number of blocks."""
+        n = len(self.offsets) - 1
+        self.out.write(np.array(self.offsets, "<u8").tobytes() + struct.pack("<Q", n) + MAGIC)
+        self.out.close()
+        return n
+
+
+def open_store(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The store of a path or address, and the path in it."""
+    return pa.fs.FileSystem.from_uri(path) if ":" in path else (pa.fs.LocalFileSystem(), path)
 
 
-def _write(path: str):
+def chunk_index(path: str) -> np.ndarray:
+    """Offsets of a file's blocks and of their end."""
+    store, at = open_store(path)
+    with store.open_input_file(at) as f:
+        size = f.size()
+        n, magic = struct.unpack("<Q4s", f.read_at(12, size - 12))
+        if magic != MAGIC:
+            raise ValueError("not a file of this format")
+        return np.frombuffer(f.read_at(8 * (n + 1), size - 12 - 8 * (n + 1)), "<u8").astype(np.int64)
+
+
+def read_block(path: str, offset: int, size: int) -> bytes:
+    """One block of a file."""
+    store, at = open_store(path)
+    with store.open_input_file(at) as f:
+        return f.read_at(size, offset)
+
+
+def _write(kind: str, folder: str):
+    """Writes the files of the shards, whose rows come in order; a row for each with its name, blocks and ids."""
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard_no, shard, known, end = TaskContext.get().partitionId(), _Shard(), _known(path), np.array([END], np.uint32)
-
-        def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard_no] * len(found), pa.int32()), *(pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary())))], ["shard", "block", "n_ids", "payload"])
-
-        gc.disable()  # it would look for cycles among a million pieces again and again
-        try:
-            for b in batches:
-                for at in range(0, b.num_rows, 500):
-                    part = b.slice(at, 500)
-                    out: list = []
-                    for doc_id, raw in zip(part.column(0).to_pylist(), known.batch(part.column(1).to_pylist())):
-                        ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
-                        out += shard.add(NULL_ID if doc_id is None else doc_id, ids)
-                    if out:
-                        yield rows(out)
+        open_: tuple[int, str, FileWriter, _Shard] | None = None
+        total = 0
+
+        def close() -> pa.RecordBatch:
+            no, name, out, shard = open_
             if shard.held:
-                yield rows([shard.flush()])
-        finally:
-            gc.enable()
+                out.add(shard.flush())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((no, name, out.close(), total), (pa.int32(), pa.string(), pa.int32(), pa.int64()))], ["shard", "name", "n_blocks", "n_ids"])
+
+        for b in batches:
+            for no, doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if open_ is None or open_[0] != no:
+                    if open_ is not None:
+                        yield close()
+                    name = f"shard-{no:06d}-{uuid.uuid4().hex}.bps"
+                    open_, total = (no, name, FileWriter(f"{folder}/{name}"), _Shard()), 0
+                ids = np.frombuffer(raw.as_buffer(), kind)
+                total += len(ids)
+                for block in open_[3].add(NULL_ID if doc_id is None else doc_id, ids):
+                    open_[2].add(block)
+        if open_ is not None:
+            yield close()
 
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each segment: whose it is, where it lies, and its checksum."""
-    for b in batches:
-        for shard, payload in zip(b.column("shard").to_pylist(), b.column("payload").to_pylist()):
-            ids, seg = unpack_block(payload)
-            raw = ids.astype("<u4").tobytes()
-            crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(seg["at"].tolist(), seg["n"].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(seg), pa.int32()), *(pa.array(seg[c].copy()) for c in ("serial", "doc_id", "total", "begin", "n")), pa.array(crc, pa.int64())], ["shard", "serial", "doc_id", "total", "begin", "n", "crc"])
+def _index(folder: str):
+    """A row for each block of the files, from their chunk indexes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, name in zip(b.column("shard").to_pylist(), b.column("name").to_pylist()):
+                at = chunk_index(f"{folder}/{name}")
+                n = len(at) - 1
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([name] * n, pa.string()), pa.array(at[:-1]), pa.array(np.diff(at))], ["shard", "name", "offset", "size"])
+
+    return run
+
+
+def _read(folder: str):
+    """A row for each segment of the blocks: whose it is, where it lies, and its checksum."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, name, offset, size in zip(*(b.column(c).to_pylist() for c in ("shard", "name", "offset", "size"))):
+                ids, seg = unpack_block(read_block(f"{folder}/{name}", offset, size))
+                raw = ids.astype("<u4").tobytes()
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(seg["at"].tolist(), seg["n"].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(seg), pa.int32()), *(pa.array(seg[c].copy()) for c in ("serial", "doc_id", "total", "begin", "n")), pa.array(crc, pa.int64())], ["shard", "serial", "doc_id", "total", "begin", "n", "crc"])
+
+    return run
 
 
 # --- combining checksums --------------------------------------------------------------------
@@ -292,22 +410,43 @@ def _join_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("shard", "serial", "doc_id", "n_tokens")), pa.array(out, pa.int64())], ["shard", "serial", "doc_id", "n_tokens", "ids_crc32"])
 
 
-def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """Writes all documents' ids; the table of blocks (shard, block, n_ids, payload), read from the shared folder."""
-    path = path or public_tokenizers.path(VOCABULARY)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shards or common.shuffle_partitions(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return common.stash(rows.mapInArrow(_write(path), "shard int, block int, n_ids long, payload binary"), "token-blocks")
+def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, folder: str | None = None) -> tuple[str, DataFrame]:
+    """Writes all documents' ids to files; their folder, and the table of the files (shard, name, n_blocks, n_ids).
 
-
-def read(blocks: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32 of every document, from the blocks alone."""
-    segments = blocks.select("shard", "payload").mapInArrow(_read, "shard int, serial long, doc_id long, total long, begin long, n long, crc long")
+    The files lie in ``folder`` (a new one in the shared folder, if none is given).
+    """
+    spark, path = docs.sparkSession, path or public_tokenizers.path(VOCABULARY)
+    folder = folder or common.folder(spark, "token-files")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shards = shards or common.shuffle_partitions(docs)
+    # Bounds of the shards: quantiles of the ids, so that a range's rows can be told where a text is encoded.
+    found = rows.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else None
+    coded = rows.mapInArrow(_encode(path, sorted(set(found or []))), "shard int, doc_id long, ids binary")
+    coded = coded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    files = common.stash(coded.mapInArrow(_write(Pieces(path).kind.str, folder), "shard int, name string, n_blocks int, n_ids long"), "token-files-index")
+    _sweep(spark, folder, files)
+    return folder, files
+
+
+def _sweep(spark: SparkSession, folder: str, files: DataFrame) -> None:
+    """Deletes the files of attempts that failed or were overtaken; there is one row and one file a shard."""
+    kept = {r[0] for r in files.select("name").collect()}
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in store.listStatus(at) if store.exists(at) else []:
+        if found.getPath().getName() not in kept and found.getPath().getName().endswith(".bps"):
+            store.delete(found.getPath(), False)
+
+
+def read(folder: str, files: DataFrame) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32 of every document, from the files alone."""
+    blocks = files.select("shard", "name").mapInArrow(_index(folder), "shard int, name string, offset long, size long")
+    segments = blocks.repartition("shard", "offset").mapInArrow(_read(folder), "shard int, serial long, doc_id long, total long, begin long, n long, crc long")
     # A document over several blocks has one part in each, so a row of parts is as large as the document at most.
     docs = segments.groupBy("shard", "serial").agg(F.first("doc_id").alias("doc_id"), F.first("total").alias("n_tokens"), F.collect_list(F.struct("begin", "n", "crc")).alias("parts"))
     docs = docs.mapInArrow(_join_segments, "shard int, serial long, doc_id long, n_tokens long, ids_crc32 long")
     # One row a shard: as many as there were partitions.
-    base = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).selectExpr("shard", "sum(n) over (order by shard rows between unbounded preceding and current row) - n as base")
+    base = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).selectExpr("shard", "sum(n) over (order by shard rows between unbounded preceding and current row) - n as base")
     within = docs.selectExpr("*", "sum(n_tokens) over (partition by shard order by serial rows between unbounded preceding and current row) - n_tokens as within")
     out = within.join(F.broadcast(base), "shard")
     return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
@@ -316,8 +455,9 @@ def read(blocks: DataFrame) -> DataFrame:
 def store(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes every whole text's ids and reads the files back: one row per row of ``docs``.
 
-    A null text counts as empty (the end id only); null ids come first and stay null; repeated
-    ids are ordered by text and each keep their row. Other columns aren't read; an empty table
-    gives an empty result.
+    Texts are encoded as the library does by its file, so the string of a special token in a text becomes
+    that token's id. A null text counts as empty (the end id only); null ids come first and stay
+    null; repeated ids are ordered by their token ids and each keep their row. Other columns aren't
+    read; an empty table gives an empty result.
     """
-    return read(write(docs, path, id_col, text_col))
+    return read(*write(docs, path, id_col, text_col))

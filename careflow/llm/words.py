@@ -62,7 +62,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most ``most`` bytes of text (or one row), so that the arrays of a part stay small."""
     _, at = buffers(batch.column(column))
     low = 0
