@@ -1,18 +1,22 @@
 """Brown class-based bigrams (operator 5).
 
-P(word | word before) = P(class | class before) * P(word | class). Every word has a class: the
-``UNITS`` most frequent words are units of their own, all others are united by their ending
-(the last two bytes, ``ENDINGS`` groups), and exchange clustering puts the units into ``CLASSES``
-classes: a unit moves to the class that raises the likelihood of all class bigrams most, until
-none moves. Counts cover all training texts; the units' bigram table has a fixed size, so the
-clustering is the same small job on the driver for a corpus of any size.
-
-Transitions are absolutely discounted and back off to class frequencies. Within a class a seen
-word has its count less a discount, and what the discounts free goes to the unseen words of the
-class, which count as one type, as in the base score.
-
-Words travel as 64-bit hashes. Counts of the ``KNOWN`` most frequent words are broadcast; the
-rest of a text's words are looked up by a join.
+P(word | word before) = P(class | class before) * P(word | class), and every word of the training
+texts has a class by exchange. The ``CORE`` most frequent words are clustered on the driver: a
+word moves to the class that raises the likelihood of all class bigrams most, until none moves.
+All other words of the vocabulary, however many, are then placed in Spark, each by the same
+criterion on the class counts of its own neighbours (words outside the core count as one unit
+there). No word is left out and none is classed by its form.
+
+Transitions come from all pairs whose first word is in the core or a text's beginning, with any
+word behind it; they are absolutely discounted and back off to class frequencies. Within a class
+a word has its count less a discount, and what the discounts free is the class's share for unseen
+words, which count as one type, as in the base score. An unseen word takes its chance from all
+classes, and what follows it is expected as after a mixture of the classes by what they have freed; so the
+probabilities of all words and the unseen type sum to one after any word.
+
+Words travel as 64-bit hashes. Classes and counts of the ``KNOWN`` most frequent words are
+broadcast; the others' come by a join and are put back between their neighbours. That
+choice of plan changes no result.
 """
 
 from __future__ import annotations
@@ -26,36 +30,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import crc_mod
-from .words import endings, hash_words, slices
+from .common import crc_mod, tidy
+from .words import hash_words, look_up, slices
 
-#: Words and endings that are clustered, and the classes (the last one is the text's end alone).
-UNITS, ENDINGS, CLASSES = 512, 128, 64
+#: Words that are clustered by exchange among themselves, and the classes for words.
+CORE, CLASSES = 1_000, 62
+#: Units with a class of their own: all words outside the core (while these are placed), and the text's end.
+FIXED = 2
 #: Most passes of the exchange.
 PASSES = 8
-#: Words whose counts are broadcast (16 bytes each).
+#: Words whose counts and classes are broadcast (17 bytes each).
 KNOWN = 250_000
 #: Discounts of class bigrams and of words.
 DISCOUNT, WORD_DISCOUNT = 0.5, 0.75
 FOLDS, HELD_OUT = 7, 2
 
-_DOC = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, times array<int>, classes array<int>"
+_DOC = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, gaps array<struct<pos:int,word:long,left:int,right:int>>"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of each part of a batch, with each word's ending."""
+    """Word counts of each part of a batch."""
     for b in (part for whole in batches for part in slices(whole, 0)):
-        h, _ = hash_words(b.column(0))
-        words, first, n = np.unique(h, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(endings(b.column(0), ENDINGS)[first].astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "ending", "n"])
-
-
-def _look_up(sorted_keys: np.ndarray, values: np.ndarray, keys: np.ndarray, default: int) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.full(len(keys), default, np.int64)
-    at = np.searchsorted(sorted_keys, keys)
-    at[at == len(sorted_keys)] = 0
-    return np.where(sorted_keys[at] == keys, values[at], default)
+        words, n = np.unique(hash_words(b.column(0))[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
 
 def _sequence(of_words: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,15 +66,17 @@ def _sequence(of_words: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarra
 
 
 def _bigrams(model):
-    """Counts of the units' bigrams in a partition."""
+    """Counts of the units' bigrams in a partition; units are the core's words, all others, and the end."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, units = model.value
-        size = UNITS + ENDINGS + 1
+        core = model.value
+        size = len(core) + FIXED
         cells = np.zeros(size * size, np.int64)
         for b in (part for whole in batches for part in slices(whole, 0)):
             h, at = hash_words(b.column(0))
-            u = np.where((found := _look_up(keys, units, h, -1)) >= 0, found, UNITS + endings(b.column(0), ENDINGS))
+            u = look_up(core, h)
+            u[u < 0] = size - 2
             seq, _, _ = _sequence(u, at, size - 1)
             cells += np.bincount(np.concatenate([[size - 1], seq[:-1]]) * size + seq, minlength=size * size)
         full = np.flatnonzero(cells)
@@ -91,23 +90,23 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 
 
 def exchange(counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
-    """A class for each unit; the last unit has the last class to itself.
+    """A class for each unit; the last ``FIXED`` units have the last classes to themselves.
 
     Starts with the units dealt out by frequency and moves one unit at a time to the class that
     raises the likelihood of the class bigrams most (ties: the least class).
     """
     counts = counts.astype(float)
-    size, free = len(counts), classes - 1
+    size, free = len(counts), classes - FIXED
     weight = counts.sum(axis=0) + counts.sum(axis=1)
     of = np.empty(size, np.int64)
-    of[np.argsort(-weight[:-1], kind="stable")] = np.arange(size - 1) % free
-    of[-1] = free
+    of[np.argsort(-weight[:-FIXED], kind="stable")] = np.arange(size - FIXED) % free
+    of[-FIXED:] = np.arange(free, classes)
     ind = np.eye(classes)[of]
     right, left = counts @ ind, counts.T @ ind  # units by classes
     table = ind.T @ right
     for _ in range(passes):
         moved = 0
-        for u in np.argsort(-weight[:-1], kind="stable"):
+        for u in np.argsort(-weight[:-FIXED], kind="stable"):
             if not weight[u]:
                 continue
             a, r, l, own = of[u], right[u].copy(), left[u].copy(), counts[u, u]
@@ -148,43 +147,160 @@ def transitions(table: np.ndarray) -> np.ndarray:
     return np.log10(seen + free * back)
 
 
+def _contexts(model, classes: int):
+    """Words outside the core with the classes of their neighbours (before * classes + behind), counted in each part of a batch."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core, of = model.value
+        for b in (part for whole in batches for part in slices(whole, 0)):
+            h, at = hash_words(b.column(0))
+            u = look_up(core, h)
+            seq, place, _ = _sequence(np.where(u >= 0, of[u], classes - 2), at, classes - 1)
+            seq = np.concatenate([[classes - 1], seq])
+            rare = np.flatnonzero(u < 0)
+            code = (seq[place[rare]] * classes + seq[place[rare] + 2]).astype(np.int64)
+            order = np.lexsort((code, h[rare]))
+            word, code = h[rare][order], code[order]
+            first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (code[1:] != code[:-1])])) if len(word) else np.empty(0, np.int64)
+            n = np.diff(np.append(first, len(word)))
+            yield pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), pa.array(code[first].astype(np.int16)), pa.array(n.astype(np.int32))], ["word", "code", "n"])
+
+    return run
+
+
+def _place(model):
+    """Classes of words from their contexts, which come word by word.
+
+    A row is (word, class, n), or with a cell the number of pairs of a known class before and the class of the word.
+    """
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into, out_of, size = model.value  # by class before, by class behind: log10 of the chances for each class of the word
+        classes = len(into)
+        pairs = np.zeros((classes, into.shape[1]), np.int64)
+        held = None  # the last word's sums, since its contexts may go on in the next batch
+
+        def choose(n: np.ndarray, gains: np.ndarray) -> np.ndarray:
+            return np.argmax(np.round(gains - n[:, None] * size, 6), axis=1)
+
+        def rows(words: np.ndarray, of: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(of.astype(np.int32)), pa.array(n), pa.nulls(len(of), pa.int32())], ["word", "class", "n", "cell"])
+
+        def last() -> pa.RecordBatch:
+            word, n, gains, before = held
+            of = choose(np.array([n]), gains[None])
+            pairs[:, of[0]] += before
+            return rows(np.array([word]), of, np.array([n]))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            word, code, n = (b.column(c).to_numpy() for c in ("word", "code", "n"))
+            left, right = np.divmod(code.astype(np.int64), classes)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            words, total = word[first], np.add.reduceat(n.astype(np.int64), first)
+            gains = np.add.reduceat(n[:, None] * (into[left] + out_of[right]), first, axis=0)
+            carried = np.zeros(classes, np.int64)
+            if held is not None and held[0] == words[0]:
+                total[0] += held[1]
+                gains[0] += held[2]
+                carried = held[3]
+            elif held is not None:
+                yield last()
+            before = np.bincount(left[first[-1] :], weights=n[first[-1] :], minlength=classes).astype(np.int64)
+            if len(words) > 1:
+                of = choose(total[:-1], gains[:-1])
+                whole = first[-1]
+                cells = left[:whole] * into.shape[1] + np.repeat(of, np.diff(first))
+                pairs += np.bincount(cells, weights=n[:whole], minlength=pairs.size).astype(np.int64).reshape(pairs.shape)
+                pairs[:, of[0]] += carried
+                yield rows(words[:-1], of, total[:-1])
+            else:
+                before += carried
+            held = words[-1], total[-1], gains[-1].copy(), before
+        if held is not None:
+            yield last()
+        cell = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(cell), pa.int64()), pa.nulls(len(cell), pa.int32()), pa.array(pairs.ravel()[cell]), pa.array(cell.astype(np.int32))], ["word", "class", "n", "cell"])
+
+    return run
+
+
+def with_unseen(trans: np.ndarray, n_of: np.ndarray, kinds_of: np.ndarray) -> np.ndarray:
+    """log10 transitions with the unseen type as one class more; ``trans`` has the classes of words and the end's, the others have the classes of words."""
+    size = len(n_of)
+    free = np.where(n_of > 0, WORD_DISCOUNT * kinds_of / np.maximum(n_of, 1), 1.0)
+    like = kinds_of / kinds_of.sum() if kinds_of.sum() else np.full(size, 1 / size)
+    p = 10.0**trans
+    out = np.empty((size + 2, size + 2))
+    out[:-1, :-1] = p
+    out[:-1, -1] = p[:, :size] @ free
+    out[-1, :-1] = like @ p[:size]
+    out[-1, -1] = like @ out[:size, -1]
+    return np.log10(out)
+
+
 def _score(model, vocabulary):
-    """Per text what needs no join, and its less frequent words with their classes."""
+    """Per text what needs no join, and its other words with their places and the classes beside them."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, units, of, logs, in_class, base_all, ends = model.value
-        known, counts = vocabulary.value
-        size, row = UNITS + ENDINGS + 1, TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for b in slices(whole, 2):
-                h, at = hash_words(b.column(2))
-                u = np.where((found := _look_up(keys, units, h, -1)) >= 0, found, UNITS + endings(b.column(2), ENDINGS))
-                seq, place, begin = _sequence(of[u], at, of[size - 1])
-                score = np.add.reduceat(logs[np.concatenate([[of[size - 1]], seq[:-1]]), seq], begin)
-                n = np.diff(np.append(begin, len(seq)))
-                # Counts of frequent words are here; the others' come by the join.
-                c = _look_up(known, counts, h, 0)
-                part, base = np.zeros(len(seq)), np.zeros(len(seq))
-                part[place] = np.where(c > 0, np.log10(np.maximum(c - WORD_DISCOUNT, 1e-9)), 0.0) - in_class[seq[place]]
-                base[place] = np.log10(c + 1.0)
-                score += np.add.reduceat(part, begin)
-                base = np.add.reduceat(base, begin) + np.log10(ends + 1.0) - n * base_all
-                seen = np.zeros(len(seq), np.int64)
-                seen[place] = c > 0
-                n_known = np.add.reduceat(seen, begin) + (ends > 0)
-                rest = np.flatnonzero(c == 0)
-                owner = np.repeat(np.arange(b.num_rows), np.diff(at))[rest]
-                order = np.lexsort((h[rest], owner))
-                rest, owner = rest[order], owner[order]
-                new = np.ones(len(rest), bool)
-                new[1:] = (h[rest][1:] != h[rest][:-1]) | (owner[1:] != owner[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(rest)))
-                cut = pa.array(np.searchsorted(owner[first], np.arange(b.num_rows + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (h[rest][first].view(np.int64), times.astype(np.int32), of[u][rest][first].astype(np.int32))]
-                rows = pa.array(np.arange(row, row + b.num_rows))
-                row += b.num_rows
-                yield pa.RecordBatch.from_arrays([rows, b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), *lists], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "times", "classes"])
+        logs, in_class, base_all, ends = model.value
+        known, counts, of = vocabulary.value
+        end, row = len(logs) - 2, TaskContext.get().partitionId() << 40
+        padded = np.pad(logs, ((0, 1), (0, 1)))  # nothing is added yet beside a word without class (-1)
+        for b in (part for whole in batches for part in slices(whole, 2)):
+            h, at = hash_words(b.column(2))
+            u = look_up(known, h)
+            seq, place, begin = _sequence(np.where(u >= 0, of[u], -1) if len(known) else np.full(len(h), -1), at, end)
+            beside = np.concatenate([[end], seq])
+            score = np.add.reduceat(padded[beside[:-1], beside[1:]], begin)
+            n = np.diff(np.append(begin, len(seq)))
+            part, base, seen = np.zeros(len(seq)), np.zeros(len(seq)), np.zeros(len(seq), np.int64)
+            there = np.flatnonzero(u >= 0)
+            c = counts[u[there]].astype(float) if len(there) else np.empty(0)
+            part[place[there]] = np.log10(c - WORD_DISCOUNT) - in_class[seq[place[there]]]
+            base[place[there]] = np.log10(c + 1)
+            seen[place[there]] = 1
+            score += np.add.reduceat(part, begin)
+            base = np.add.reduceat(base, begin) + np.log10(ends + 1.0) - n * base_all
+            n_known = np.add.reduceat(seen, begin) + (ends > 0)
+            rest = np.flatnonzero(u < 0)
+            owner = np.repeat(np.arange(b.num_rows), np.diff(at))[rest]
+            cut = pa.array(np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32))
+            spots = place[rest]
+            fields = [(spots - begin[owner]).astype(np.int32), h[rest].view(np.int64), beside[spots].astype(np.int32), beside[spots + 2].astype(np.int32)]
+            gaps = pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays([pa.array(x) for x in fields], ["pos", "word", "left", "right"]))
+            rows = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([rows, b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), gaps], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "gaps"])
+
+    return run
+
+
+def _finish(model):
+    """Adds what the joined words contribute; a text's own row comes first (pos -1), its words by place."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, in_class, _, _ = model.value
+        for t, begin, _ in common.sorted_groups(batches, ["row"]):
+            pos, left, right = (t.column(c).to_numpy() for c in ("pos", "left", "right"))
+            n = t.column("n").fill_null(0).to_numpy()
+            own = t.column("class").fill_null(len(logs) - 1).to_numpy()  # the unseen type
+            word = pos >= 0
+            before = np.where(left >= 0, left, np.concatenate([[0], own[:-1]]))  # the word before is a joined one too
+            value = logs[before, own] + np.where(right >= 0, logs[own, right], 0.0)
+            value += np.where(n > 0, np.log10(np.maximum(n - WORD_DISCOUNT, 1e-9)) - in_class[np.minimum(own, len(in_class) - 1)], 0.0)
+            add = lambda x: np.add.reduceat(np.where(word, x, 0), begin)
+            head = t.take(pa.array(begin))
+            yield pa.RecordBatch.from_arrays(
+                [head.column("doc_id").combine_chunks(), head.column("held_out").combine_chunks(), head.column("n_tokens").combine_chunks(),
+                 pa.array(head.column("n_known").to_numpy() + add(n > 0)), pa.array(head.column("base").to_numpy() + add(np.log10(n + 1.0))), pa.array(head.column("score").to_numpy() + add(value))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+            )
 
     return run
 
@@ -194,63 +310,71 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Learns from the rows outside the held-out fold. A null text counts as empty: one token, the
     end. A null id is in the fold of the empty text. Repeated rows are learned from and scored
-    each. Words that training hasn't seen share the mass that their class's discounts free, as one
+    each. Words that training hasn't seen share the mass that the discounts free, as one
     type. Other columns aren't read; an empty table gives an empty result; without training
     rows every word is unseen.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     training = rows.filter("not held_out").select("text")
-    counted = training.mapInArrow(_count, "word long, ending int, n long").groupBy("word").agg(F.sum("n").alias("n"), F.first("ending").alias("ending"))
-    counted = common.stash(counted, "brown-words")
+    counted = common.stash(training.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "brown-counts")
     kinds, total = counted.agg(F.count("*"), F.sum("n")).first()
     ends = training.count()
     train_tokens, kinds = (total or 0) + ends, kinds + (ends > 0)
 
+    # The core, its bigrams and its classes.
+    top = counted.orderBy(F.desc("n"), "word").limit(CORE).toArrow()
+    core, core_n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(core)
+    core, core_n = core[order], core_n[order]
+    size, classes = len(core) + FIXED, CLASSES + FIXED
+    cells = training.mapInArrow(_bigrams(common.spread(spark, core)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
+    bigrams = np.zeros(size * size, np.int64)
+    bigrams[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    bigrams = bigrams.reshape(size, size)
+    of = exchange(bigrams, classes)
+    ind = np.eye(classes, dtype=np.int64)[of]
+    table = ind.T @ bigrams @ ind
+
+    # All other words, each in one group: none of these has more than one of CORE parts of all tokens.
+    logs = transitions(table)
+    chances = (logs[:, :CLASSES].astype(np.float32), logs[:CLASSES].T.astype(np.float32).copy(), np.log10(np.maximum(table.sum(axis=0)[:CLASSES], 1)).astype(np.float32))
+    contexts = training.mapInArrow(_contexts(common.spread(spark, (core, of)), classes), "word long, code short, n int").repartition("word").sortWithinPartitions("word")
+    placed = common.stash(contexts.mapInArrow(_place(common.spread(spark, chances)), "word long, class int, n long, cell int"), "brown-words")
+    rest = placed.filter("cell is null").select("word", "class", "n")
+    sums = {r[0]: r[1:] for r in rest.groupBy("class").agg(F.sum("n"), F.count("*")).collect()}  # a row a class
+    n_of, kinds_of = (np.array([sums.get(c, (0, 0))[i] for c in range(CLASSES)], float) for i in (0, 1))
+    np.add.at(n_of, of[: len(core)], core_n)
+    np.add.at(kinds_of, of[: len(core)], 1)
+
+    # Transitions after words of the core and after a text's beginning, by the classes of all words.
+    pairs = np.zeros(classes * CLASSES, np.int64)
+    for cell, n in placed.filter("cell is not null").groupBy("cell").agg(F.sum("n")).collect():  # at most classes * CLASSES rows
+        pairs[cell] = n
+    keep = [*range(CLASSES), classes - 1]
+    final = table[np.ix_(keep, keep)].copy()
+    final[:, :CLASSES] += pairs.reshape(classes, CLASSES)[keep]
+    full = with_unseen(transitions(final), n_of, kinds_of)
+    base_all = float(np.log10(train_tokens + kinds + 1))
+    model = common.spread(spark, (full, np.append(np.log10(np.maximum(n_of, 1)), 0.0), base_all, ends))
+
     # The most frequent words, by the finest frequency band that leaves at most KNOWN above it: no task has to sort them all.
     band = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
     at_least, above = None, 0
-    for r in sorted(counted.groupBy(band.alias("band")).count().collect(), reverse=True):  # at most 64 * 63 rows
+    for r in sorted(rest.groupBy(band.alias("band")).count().collect(), reverse=True):  # at most 64 * 63 rows
         above += r[1]
         if above > KNOWN:
             break
         at_least = r[0]
-    top = counted.filter(F.lit(False) if at_least is None else band >= at_least).select("word", "n").toArrow()
-    word, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(word)
-    vocabulary = spark.sparkContext.broadcast((word[order], n[order]))
-    core = np.sort(word[np.lexsort((word, -n))[:UNITS]])
-    units = np.arange(len(core))
-    mapping = spark.sparkContext.broadcast((core, units))
-    size = UNITS + ENDINGS + 1
-    cells = training.mapInArrow(_bigrams(mapping), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
-    bigrams = np.zeros(size * size, np.int64)
-    bigrams[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    bigrams = bigrams.reshape(size, size)
-    of = exchange(bigrams)
-    ind = np.eye(CLASSES)[of]
-    table = ind.T @ bigrams @ ind
-
-    # Words and kinds of words of each class.
-    is_core = F.broadcast(spark.range(len(core)).select(F.element_at(F.lit([int(x) for x in core.view(np.int64)]).cast("array<long>"), (F.col("id") + 1).cast("int")).alias("word"), F.col("id").cast("int").alias("unit"))) if len(core) else None
-    placed = counted.join(is_core, "word", "left") if len(core) else counted.withColumn("unit", F.lit(None).cast("int"))
-    by_unit = placed.groupBy(F.coalesce("unit", F.col("ending") + UNITS).alias("unit")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()  # at most size rows
-    n_of, kinds_of = np.zeros(CLASSES), np.zeros(CLASSES)
-    for u, n, k in by_unit:
-        n_of[of[u]] += n
-        kinds_of[of[u]] += k
-    in_class, unseen = np.log10(np.maximum(n_of, 1)), np.log10(np.where(n_of > 0, WORD_DISCOUNT * kinds_of, 1.0))
-    base_all = float(np.log10(train_tokens + kinds + 1))
-    model = spark.sparkContext.broadcast((core, units, of, transitions(table), in_class, base_all, ends))
+    frequent = rest.filter(F.lit(False) if at_least is None else band >= at_least).toArrow()
+    known = np.concatenate([core, frequent.column("word").to_numpy().view(np.uint64)])
+    counts = np.concatenate([core_n, frequent.column("n").to_numpy()])
+    class_of = np.concatenate([of[: len(core)], frequent.column("class").to_numpy()]).astype(np.int64)
+    order = np.argsort(known)
+    vocabulary = common.spread(spark, (known[order], counts[order], class_of[order]))
 
     drawn = common.stash(rows.mapInArrow(_score(model, vocabulary), _DOC), "brown-rows")
-    rare = drawn.select("row", F.inline(F.arrays_zip("words", "times", "classes"))).join(counted.select(F.col("word").alias("words"), "n"), "words", "left")
-    log_unseen = F.element_at(F.lit([float(x) for x in unseen]), F.col("classes") + 1)
-    rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("more_base"),
-        F.sum(F.col("times") * F.when(F.col("n").isNotNull(), F.log10(F.col("n") - WORD_DISCOUNT)).otherwise(log_unseen)).alias("more_score"),
-    )
-    out = drawn.drop("words", "times", "classes").join(rare, "row", "left")
-    more = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + more("more_known")).cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("base") + more("more_base")).alias("base_score"), (F.col("score") + more("more_score")).alias("score"))
+    heads = drawn.select("row", F.lit(-1).alias("pos"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(None).cast("int").alias("class"), F.lit(None).cast("long").alias("n"), "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
+    gaps = drawn.select("row", F.inline("gaps")).join(rest, "word", "left").select("row", "pos", "left", "right", "class", "n", *(F.lit(None).cast(t).alias(c) for c, t in heads.dtypes[6:]))
+    out = heads.unionByName(gaps).repartition("row").sortWithinPartitions("row", "pos").mapInArrow(_finish(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -5,8 +5,13 @@ of its transformed statistics by a deterministic minimum-covariance-determinant
 with the share ``COVER`` of documents nearest to the medians in units of the MAD, then repeat
 concentration steps (mean and covariance of the subset, distances of all, the nearest share
 again), each of which can only lower the determinant. A document whose squared Mahalanobis
-distance exceeds ``CUTOFF`` is rejected. Quantiles come from mergeable sketches and moments
-from partial sums, so no group ever meets in one task.
+distance exceeds ``CUTOFF`` is rejected.
+
+Every document gets a verdict, however small its group: an estimate starts from the moments of
+its language over all sources, which start from those of all documents, with the weight of
+``PRIOR`` documents each. In a large group that is nothing, a small one is judged by its language.
+
+Quantiles come from mergeable sketches and moments from partial sums, so no group ever meets in one task.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ COVER, CONSISTENCY = 0.75, 1.4113
 STEPS = 3
 #: Squared distance beyond which a document is an outlier: the 1 - 1e-6 quantile of the chi-square with five degrees.
 CUTOFF = 35.89
-#: Smaller groups (by documents that pass the base rules) get no verdict: their documents are kept.
-LEAST_GROUP = 40
+#: Documents that the moments of the level above count for.
+PRIOR = 40
 #: Up to so many groups (a few hundred bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_GROUPS = 20_000
 #: The transformed statistics, and the least standard deviation that each is given: variation of this size is never odd.
@@ -75,20 +80,39 @@ def _sum(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def _scatter(rows: DataFrame, near: Column) -> DataFrame:
-    """Per group the mean and the Cholesky factor of the scatter of the rows that are near."""
+def _sums(rows: DataFrame, near: Column) -> DataFrame:
+    """Per group the number, the sums and the sums of products of the rows that are near."""
     names = list(FLOORS)
-    p = len(names)
     x = [F.when(near, F.col(c)) for c in names]
-    sums = [F.count("*").alias("n_all"), *(F.avg(x[i]).alias(f"m{i}") for i in range(p)), *(F.avg(x[i] * x[j]).alias(f"s{i}{j}") for i in range(p) for j in range(i + 1))]
-    est = rows.groupBy("g_lang", "g_source").agg(*sums)
+    sums = [F.count(x[0]).cast("double").alias("n"), *(F.coalesce(F.sum(x[i]), F.lit(0.0)).alias(f"m{i}") for i in range(len(names)))]
+    return rows.groupBy("g_lang", "g_source").agg(*sums, *(F.coalesce(F.sum(x[i] * x[j]), F.lit(0.0)).alias(f"s{i}{j}") for i in range(len(names)) for j in range(i + 1)))
+
+
+def _moments() -> list[str]:
+    p = len(FLOORS)
+    return [*(f"m{i}" for i in range(p)), *(f"s{i}{j}" for i in range(p) for j in range(i + 1))]
+
+
+def _shrunk(c: str, up: Column) -> Column:
+    """A mean moment of a group from its sums, with that of the level above as ``PRIOR`` documents."""
+    return ((F.col(c) + PRIOR * up) / (F.col("n") + PRIOR)).alias(c)
+
+
+def _scatter(rows: DataFrame, near: Column) -> DataFrame:
+    """Per group the mean and the Cholesky factor of the scatter of the rows that are near."""
+    p = len(FLOORS)
+    sums, names = common.stash(_sums(rows, near), "quality-sums"), _moments()
+    total = sums.agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)).first()  # one row of 21 numbers
+    by_lang = sums.groupBy("g_lang").agg(*(F.sum(c).alias(c) for c in ("n", *names)))
+    by_lang = by_lang.select(F.col("g_lang").alias("up_lang"), *(_shrunk(c, F.lit(total[c] / total["n"] if total["n"] else None).cast("double")).alias(f"up_{c}") for c in names))
+    est = sums.join(by_lang, sums["g_lang"] == by_lang["up_lang"]).select("g_lang", "g_source", *(_shrunk(c, F.col(f"up_{c}")) for c in names))
     for i in range(p):
         for j in range(i + 1):
             cov = (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY
             cov = F.greatest(cov, F.lit(0.0)) + list(FLOORS.values())[i] ** 2 if i == j else cov
             left = cov - _sum([F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)]) if j else cov
             est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-12))) if i == j else left / F.col(f"l{j}{j}"))
-    return est.select("g_lang", "g_source", "n_all", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
+    return est.select("g_lang", "g_source", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -124,18 +148,16 @@ def _judged(docs: DataFrame, carry: list[str], id_col: str, text_col: str, lang_
     rows = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), group(lang_col).alias("g_lang"), group(source_col).alias("g_source"))
     rows = common.stash(_transformed(statistics(rows, "_text")).drop("_text"), "quality-rows")
     est = estimate(rows.filter("not base_failed").select("g_lang", "g_source", *FLOORS))
-    est = est.filter(F.col("n_all") >= LEAST_GROUP)
     few = est.count() <= BROADCAST_GROUPS
-    rows = rows.join(F.broadcast(est) if few else est, ["g_lang", "g_source"], "left")
-    rows = _distance(rows)
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= CUTOFF)))
+    rows = _distance(rows.join(F.broadcast(est) if few else est, ["g_lang", "g_source"], "left"))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= CUTOFF))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, the base statistics, base_failed, kept, and distance (squared; null without verdict).
+    """One row per row of ``docs``: doc_id, the base statistics, base_failed, kept, and distance (squared).
 
     A null text has no words and fails the base rules. Null languages and sources form groups of
-    their own. Groups of fewer than ``LEAST_GROUP`` documents are judged by the base rules only.
+    their own. Every document that passes the base rules has a distance; of others those in a group without any such document have none.
     Ids are carried, never compared: null and repeated ids give their own rows. Other columns
     aren't read; an empty table gives an empty result.
     """
@@ -143,7 +165,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their own columns whatever their names."""
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns whatever their names.
+
+    Null and empty texts fail the base rules and go; null languages and sources form groups of their own;
+    repeated rows stay or go together; an empty table gives an empty result.
+    """
     names = docs.columns
     numbered = docs.toDF(*(f"_d{i}" for i in range(len(names))))
     at = {c: f"_d{names.index(c)}" for c in (text_col, lang_col, source_col)}

@@ -20,6 +20,9 @@ SLICE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and the ASCII marks.
+MARKS = _SPACE.copy()
+MARKS[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLE = np.random.Generator(np.random.PCG64(20_24)).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER] | _U(1)
@@ -72,12 +75,12 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[
         low = high
 
 
-def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of every word in the bytes; a word never crosses two texts."""
+def spans(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every word in the bytes; a word never crosses two texts. ``breaks`` are the bytes between words."""
     n = len(data)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    word = ~_SPACE[data]
+    word = ~breaks[data]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     last = word.copy()
@@ -88,20 +91,19 @@ def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(last) + 1
 
 
-def endings(texts: pa.Array, groups: int) -> np.ndarray:
-    """For each word of a batch, a group by its last two bytes (A-Z in lower case)."""
-    data, at = buffers(texts)
-    begin, end = spans(data, at)
-    if not len(begin):
-        return np.empty(0, np.int64)
-    last, before = _LOWER[data[end - 1]].astype(np.int64), np.where(end - begin > 1, _LOWER[data[np.maximum(end - 2, 0)]], 0).astype(np.int64)
-    return (last * 251 + before * 7) % groups
+def look_up(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key among the sorted ones, -1 for those that aren't there."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1, np.int64)
+    at = np.searchsorted(sorted_keys, keys)
+    at[at == len(sorted_keys)] = 0
+    return np.where(sorted_keys[at] == keys, at, -1)
 
 
-def hash_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: pa.Array, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a batch, and where each text's words begin and end in them."""
     data, at = buffers(texts)
-    begin, end = spans(data, at)
+    begin, end = spans(data, at, breaks)
     out = np.empty(len(begin), _U)
     i = 0
     with np.errstate(over="ignore"):

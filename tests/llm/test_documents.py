@@ -59,25 +59,59 @@ def test_outliers_are_rejected_and_clean_texts_kept(spark):
     assert all(got[i] == bool(i % 20) for i in got)
 
 
-def test_estimates_equal_numpy(spark):
-    """Concentration steps on the same data in numpy; quantiles are exact at this size."""
-    rng = np.random.default_rng(1)
-    names = list(quality.FLOORS)
-    x = rng.normal(size=(500, 5)) * [1, 0.2, 0.3, 0.4, 0.5] + 1
-    x[:40] += 9
-    rows = spark.createDataFrame([("l", "s", *map(float, r)) for r in x], "g_lang string, g_source string, " + ", ".join(f"{c} double" for c in names))
-    est = quality.estimate(rows).first()
+def plain_estimate(groups):
+    """Concentration steps and the pooling of moments in numpy; ``groups``: (lang, source) to rows. Quantiles are exact at this size."""
     floors = np.array(list(quality.FLOORS.values()))
     low = lambda v, q: np.sort(v)[math.ceil(q * len(v)) - 1]
-    med = np.array([low(x[:, i], 0.5) for i in range(5)])
-    mad = np.array([low(np.abs(x[:, i] - med[i]), 0.5) for i in range(5)])
-    d = (((x - med) / np.maximum(1.4826 * mad, floors)) ** 2).sum(axis=1)
+    dist = {}
+    for g, x in groups.items():
+        med = np.array([low(x[:, i], 0.5) for i in range(5)])
+        mad = np.array([low(np.abs(x[:, i] - med[i]), 0.5) for i in range(5)])
+        dist[g] = (((x - med) / np.maximum(1.4826 * mad, floors)) ** 2).sum(axis=1)
     for _ in range(quality.STEPS + 1):
-        near = x[d <= low(d, quality.COVER)]
-        cov = np.cov(near.T, bias=True) * quality.CONSISTENCY + np.diag(floors**2)
-        d = np.einsum("ij,jk,ik->i", x - near.mean(axis=0), np.linalg.inv(cov), x - near.mean(axis=0))
-    assert np.allclose([est[f"m{i}"] for i in range(5)], near.mean(axis=0))
-    assert np.allclose(np.linalg.cholesky(cov)[4], [est[f"l4{j}"] for j in range(5)])
+        near = {g: x[dist[g] <= low(dist[g], quality.COVER)] for g, x in groups.items()}
+        sums = {g: np.concatenate([x.sum(axis=0), (x.T @ x).ravel()]) for g, x in near.items()}
+        every = sum(sums.values()) / sum(map(len, near.values()))
+        out = {}
+        for g, x in groups.items():
+            own = [h for h in groups if h[0] == g[0]]
+            lang = (sum(sums[h] for h in own) + quality.PRIOR * every) / (sum(len(near[h]) for h in own) + quality.PRIOR)
+            m = (sums[g] + quality.PRIOR * lang) / (len(near[g]) + quality.PRIOR)
+            mean, cov = m[:5], (m[5:].reshape(5, 5) - np.outer(m[:5], m[:5])) * quality.CONSISTENCY + np.diag(floors**2)
+            out[g] = mean, cov
+            dist[g] = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    return out, dist
+
+
+def test_estimates_equal_numpy(spark):
+    rng = np.random.default_rng(1)
+    names = list(quality.FLOORS)
+    groups = {("l", "s"): 500, ("l", "t"): 7, ("m", "s"): 1, ("m", "t"): 60}
+    groups = {g: rng.normal(size=(n, 5)) * [1, 0.2, 0.3, 0.4, 0.5] + i for i, (g, n) in enumerate(groups.items())}
+    groups["l", "s"][:40] += 9
+    rows = spark.createDataFrame([(*g, *map(float, r)) for g, x in groups.items() for r in x], "g_lang string, g_source string, " + ", ".join(f"{c} double" for c in names))
+    want, _ = plain_estimate(groups)
+    got = quality.estimate(rows).collect()
+    assert len(got) == 4
+    for r in got:
+        mean, cov = want[r["g_lang"], r["g_source"]]
+        assert np.allclose([r[f"m{i}"] for i in range(5)], mean)
+        assert np.allclose(np.linalg.cholesky(cov)[4], [r[f"l4{j}"] for j in range(5)])
+
+
+def test_verdicts_equal_numpy_and_cover_every_document(spark):
+    rows = mixed(120) + [(1000 + i, t, "de", f"s{i % 9}") for i, (_, t, _, _) in enumerate(mixed(30))] + [(2000, mixed(2)[1][1], "fr", "alone")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, KIND)).collect()}
+    groups = {}
+    for d, t, lang, source in rows:
+        n, chars, symbols, lines, repeats, failed = base(t)
+        if not failed:
+            groups.setdefault((lang, source), []).append((d, [math.log(n), math.log(chars / n), math.sqrt(symbols / chars), math.sqrt(lines / n), math.sqrt(repeats / n)]))
+    _, dist = plain_estimate({g: np.array([x for _, x in v]) for g, v in groups.items()})
+    for g, v in groups.items():
+        for (d, _), d2 in zip(v, dist[g]):
+            assert got[d]["distance"] == pytest.approx(d2, rel=1e-6) and got[d]["kept"] == (d2 <= quality.CUTOFF)
+    assert all(r["distance"] is not None for r in got.values() if not r["base_failed"])
 
 
 def test_quality_plan_has_no_python(spark):
@@ -93,7 +127,8 @@ def toxic_corpus(n=900):
         w = [rng.choice(words) for _ in range(rng.randint(5, 200))]
         bad = i % 6 == 0
         if bad:
-            w.insert(rng.randrange(len(w)), "zork" + rng.choice(words))
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), "zork" + rng.choice("abcdefgh"))
         rows.append((i, " ".join(w), "en", "a"))
         labels.append((i, 1, int(bad)))
     return rows, labels
@@ -101,7 +136,7 @@ def toxic_corpus(n=900):
 
 def test_held_out_toxicity(spark, with_clashes):
     rows, labels = toxic_corpus()
-    rows += [(5000, None, "en", "a"), (5001, "", "en", "a"), (None, "zorkaa", "en", "a"), (None, "x", None, None)]
+    rows += [(5000, None, "en", "a"), (5001, "", "en", "a"), (None, "zorka", "en", "a"), (None, "x", None, None)]
     docs = with_clashes(spark.createDataFrame(rows, KIND).repartition(3))
     marks = with_clashes(spark.createDataFrame(labels + [(None, 1, 1), (7777, 1, None)], "doc_id long, quality int, toxic int"))
     got = toxicity.score(docs, marks).collect()
@@ -114,6 +149,52 @@ def test_held_out_toxicity(spark, with_clashes):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r["predicted"] for r in got)
 
 
+def test_toxicity_equals_a_plain_version(spark):
+    rows, labels = toxic_corpus(300)
+    rows += [(9000, "w " * 30_000, "en", "a"), (9000, "other text of the id", "en", "a"), (9001, "Ärger! it's A-B", "en", "a")]
+    truth = {d: t for d, _, t in labels}
+    words = lambda t: [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", t.lower()) if w]
+    train = [(words(t), truth[d]) for d, t, _, _ in rows if d in truth and crc_mod_py(d, 5)]
+    n = [collections.Counter(w for ws, t in train if t == k for w in set(ws)) for k in (0, 1)]
+    pairs = {(a, b) for ws, _ in train for a, b in zip(["^", *ws], ws)}
+    after = collections.Counter(b for _, b in pairs)
+    kinds, total = len(after), sum(after.values())
+
+    def discount(k, c):
+        of = collections.Counter(n[k].values())
+        if not (of[1] and of[2]):
+            return [0, 0.75, 0.75, 0.75][min(c, 3)]
+        y, c = of[1] / (of[1] + 2 * of[2]), min(c, 3)
+        return 0 if not c else min(max(c - (c + 1) * y * of[c + 1] / of[c], 0), c) if of[c] and of[c + 1] else 0.75
+
+    free = [sum(discount(k, c) for c in n[k].values()) / sum(n[k].values()) for k in (0, 1)]
+
+    def ratio(w, without=None):
+        if w not in after:
+            return 0.0
+        shared, out = (max(after[w] - 0.75, 0) + 0.75 * kinds / (kinds + 1)) / total, []
+        for k in (0, 1):
+            c = n[k][w] - (without == k)
+            out.append((max(c - discount(k, c), 0) / sum(n[k].values()) + free[k] * shared) / free[k])
+        return math.log(out[1] / out[0])
+
+    def plain(ws, without=None):
+        x = [ratio(w, without) for w in ws]
+        if not x:
+            return [0.0] * 11
+        highest = [max(sum(x[i : i + k]) / k for i in range(len(x) - k + 1)) for k in (min(k, len(x)) for k in toxicity.WINDOWS)]
+        most = sorted([*(ratio(w, without) for w in set(ws) if w in after), *[0.0] * 10], reverse=True)
+        return [sum(x) / len(x), sum(x) / math.sqrt(len(x)), *highest, *(sum(most[:k]) / k for k in toxicity.TOP), math.log1p(len(x))]
+
+    curve = toxicity.fit_curve(np.array([plain(ws, t) for ws, t in train]), np.array([t for _, t in train], float), np.ones(len(train)))
+    usual = math.log(sum(truth[d] for d in truth if crc_mod_py(d, 5)) / sum(1 - truth[d] for d in truth if crc_mod_py(d, 5)))
+    logit = lambda f: float(np.dot(f, curve[:-1]) + curve[-1]) if any(f[:-1]) else usual
+    want = sorted((d, 1 / (1 + math.exp(-logit(plain(words(t)))))) for d, t, _, _ in rows)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = sorted((r["doc_id"], r["score"]) for r in toxicity.score(spark.createDataFrame(rows, KIND).repartition(3), marks).collect())
+    assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-3)
+
+
 def test_toxicity_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "a")], KIND)
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -145,13 +226,85 @@ def test_language_model(spark, with_clashes, monkeypatch):
     assert brown.score(df.limit(0)).count() == 0
 
 
+def test_language_model_equals_a_plain_version(spark, monkeypatch):
+    """Everything but the exchange among the core (tested below) in plain loops; KNOWN changes nothing."""
+    import pyarrow as pa
+
+    from careflow.llm.words import hash_words
+
+    monkeypatch.setattr(brown, "CORE", 12)
+    monkeypatch.setattr(brown, "CLASSES", 5)
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 4))) for _ in range(80)]
+    rows = [(i, " ".join(vocabulary[min(int(rng.expovariate(0.08)), 79)] for _ in range(rng.randint(0, 60))) + (f" only{i}" if i % 3 else f" twice{i // 2} new{i} new{i}")) for i in range(70)] + [(500, None), (501, "")]
+    split = lambda t: (t or "").encode().lower().split()
+    train = [split(t) for d, t in rows if crc_mod_py(d, 7) != 2]
+    n = collections.Counter(w for ws in train for w in ws)
+    number = dict(zip(n, hash_words(pa.array([w.decode() for w in n]))[0].tolist()))
+    signed = lambda w: number[w] - (1 << 64) * (number[w] >> 63)
+    core = sorted(sorted(n, key=lambda w: (-n[w], signed(w)))[:12], key=number.get)
+    unit = {w: i for i, w in enumerate(core)}
+    table = np.zeros((14, 14), np.int64)
+    for ws in train:
+        u = [13, *(unit.get(w, 12) for w in ws), 13]
+        for a, b in zip(u, u[1:]):
+            table[a, b] += 1
+    of = brown.exchange(table, 7)
+    kind = {w: int(of[i]) for w, i in unit.items()}
+    coarse = np.zeros((7, 7))
+    for a in range(14):
+        for b in range(14):
+            coarse[of[a], of[b]] += table[a, b]
+    logs, gains = brown.transitions(coarse), {w: np.zeros(5) for w in n if w not in unit}
+    for ws in train:
+        c = [6, *(kind[w] if w in unit else 5 for w in ws), 6]
+        for i, w in enumerate(ws, 1):
+            if w not in unit:
+                gains[w] += logs[c[i - 1], :5] + logs[:5, c[i + 1]] - np.log10(np.maximum(coarse.sum(axis=0)[:5], 1))
+    kind |= {w: int(np.argmax(np.round(g, 5))) for w, g in gains.items()}
+    n_of, kinds_of = np.zeros(5), np.zeros(5)
+    for w, c in kind.items():
+        n_of[c] += n[w]
+        kinds_of[c] += 1
+    pairs = np.zeros((6, 6))
+    for ws in train:
+        u = ["", *ws, ""]
+        for a, b in zip(u, u[1:]):
+            if not a or a in unit:
+                pairs[kind.get(a, 5), kind.get(b, 5)] += 1
+    step = 10 ** brown.transitions(pairs)
+    free = [0.75 * kinds_of[c] / n_of[c] if n_of[c] else 1.0 for c in range(5)]
+    like = kinds_of / kinds_of.sum()
+    after = lambda a: step[a] if a is not None else sum(like[c] * step[c] for c in range(5))  # noqa: E731  None: the unseen type
+    want = {}
+    for d, t in rows:
+        total, a = 0.0, 5
+        for w in [*split(t), ""]:
+            row = after(a)
+            if w and w not in n:
+                total, a = total + math.log10(sum(row[c] * free[c] for c in range(5))), None
+            else:
+                a = kind[w] if w else 5
+                total += math.log10(row[a]) + (math.log10((n[w] - 0.75) / n_of[a]) if w else 0)
+        want[d] = total
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for known in (0, 25, 250_000):
+        monkeypatch.setattr(brown, "KNOWN", known)
+        got = {r["doc_id"]: r["score"] for r in brown.score(df).collect()}
+        assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-5) for d in want)
+    # The chances of all words, the unseen type and the end sum to one after any class.
+    full = 10 ** brown.with_unseen(brown.transitions(pairs), n_of, kinds_of)
+    seen = np.array([1 - 0.75 * k / m if m else 0.0 for k, m in zip(kinds_of, n_of)])
+    assert np.allclose(full[:, :5] @ seen + full[:, 5] + full[:, 6], 1)
+
+
 def test_exchange_finds_classes_and_never_lowers_the_likelihood():
-    counts = np.zeros((13, 13))
+    counts = np.zeros((14, 14))
     counts[:6, 6:12] = 50  # six words are always followed by one of six others
     counts[6:12, :6] = 50
-    counts[12, :6] = 5
-    of = brown.exchange(counts, classes=3)
-    assert len(set(of[:6])) == 1 and len(set(of[6:12])) == 1 and of[0] != of[6] and of[12] == 2
+    counts[13, :6] = 5
+    of = brown.exchange(counts, classes=4)
+    assert len(set(of[:6])) == 1 and len(set(of[6:12])) == 1 and of[0] != of[6] and of[12] == 2 and of[13] == 3
 
 
 def test_transitions_are_distributions():
