@@ -4,6 +4,10 @@ Each round hangs every node's larger neighbours on its least neighbour (large st
 smaller neighbours (small star); the components stay the same and the number of rounds grows
 with the logarithm of the longest path. Rounds are joins and aggregations on tables of links;
 nothing is collected but two sums, by which a round without change is told.
+
+The centre of a star may have most of the links. Centres with a thousandth of all links or more
+(there can't be more than two thousand) get their least neighbour by broadcast, so their links stay where they
+are; all others meet theirs in a shuffle.
 """
 
 from __future__ import annotations
@@ -13,16 +17,26 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-
-def _least(links: DataFrame) -> DataFrame:
-    """Of each node of directed links (u, v), u's least neighbour or u itself."""
-    return links.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+#: A node with fewer links than this is never a centre that is treated apart.
+CENTRE = 1_000
 
 
 def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _with_least(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Directed links (u, v) with m, u's least neighbour or u itself, and the table (u, m); ``total``: about how many links."""
+    least = links.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    if total < CENTRE:
+        return links.join(least.select("u", "m"), "u"), least.select("u", "m")
+    many = max(CENTRE, total // 1_000)
+    centres = F.broadcast(least.filter(F.col("n") >= many).select("u", F.col("m").alias("centre_m")))
+    told = links.join(centres, "u", "left")
+    rest = told.filter("centre_m is null").select("u", "v").join(least.filter(F.col("n") < many).select("u", "m"), "u")
+    return told.filter("centre_m is not null").select("u", "v", F.col("centre_m").alias("m")).unionByName(rest), least.select("u", "m")
+
+
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the links; component is the least node that it reaches.
 
@@ -36,9 +50,12 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = _mark(now)
     while True:
         both = now.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = _least(large)
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, _ = _with_least(both, 2 * mark[0])
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        if mark[0] >= CENTRE:
+            large = stash(large, "cc-large")
+        small, least = _with_least(large, mark[0])
+        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "cc-links")
         new = _mark(after)
         if new == mark:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, sketch
-from .common import sorted_groups
+from .common import sorted_groups, tidy
 from .components import connected
 from .words import slices
 
@@ -45,14 +45,15 @@ def plan(percent: int) -> tuple[int, float]:
 
 
 def _sketch_rows(width: int, size: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, 1):
-                sets = sketch.shingle_sets(part.column(1), width)
+            for part in slices(b, 2):
+                sets = sketch.shingle_sets(part.column(2), width)
                 coords = (sketch.fast_sketch(sets, size) & np.uint64(0xFFFF)).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch.digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([c.tobytes() for c in coords], pa.binary())],
-                    ["doc_id", "n_shingles", "class", "coords"],
+                    [*part.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch.digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([c.tobytes() for c in coords], pa.binary())],
+                    ["doc_id", "text_key", "n_shingles", "class", "coords"],
                 )
 
     return run
@@ -107,6 +108,7 @@ def _maybe(size: int, least: float):
     """A spanning forest of the pairs of each block pair whose sketches agree enough."""
     need = least * size
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, begin, end in sorted_groups(batches, ["band", "low", "high"]):
             nodes, coords, links = part.column("node").to_numpy(), _coords(part, size), []
@@ -130,6 +132,7 @@ def _confirm(size: int, least: float, percent: int):
     """A spanning forest of the confirmed links of each block pair."""
     need = least * size
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, begin, end in sorted_groups(batches, ["component", "low", "high"]):
             all_nodes, all_coords, all_count, members, links = part.column("node").to_numpy(), _coords(part, size), part.column("n_shingles").to_numpy(), part.column("members"), []
@@ -155,11 +158,12 @@ def _confirm(size: int, least: float, percent: int):
 
 
 def _members(width: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, 1):
-                sets = sketch.shingle_sets(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch.digest(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "class", "members"])
+            for part in slices(b, 0):
+                sets = [s for s in sketch.shingle_sets(part.column(0), width) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([sketch.digest(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["class", "members"])
 
     return run
 
@@ -171,68 +175,93 @@ def _block_pairs(rows: DataFrame, group: str) -> DataFrame:
     return rows.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high", "node")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents whose shingle sets overlap: 100 * intersection >= percent * union.
-
-    One row for each row of ``docs``: doc_id, n_shingles (size of the set of distinct shingles of
-    ``width`` words), component_id (least doc_id reachable by links, itself included), kept
-    (doc_id = component_id). Null, empty and blank texts have no shingles and link with
-    nothing. Rows that share an id count as one document with several texts: each is compared,
-    and the id stands for all. A row without id gets the component of the equal sets that have
-    an id (and isn't kept), or null (and is kept). Other columns of ``docs`` aren't read, so their
-    names can't clash; an empty table gives an empty result.
+def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, ids_link: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): every row's doc_id, text_key, n_shingles and class of equal sets (null without shingles), and every class's component and least id in it.
 
-    Two texts exactly at the threshold share no band with a chance of at most ``MISS``; a link
-    is only ever made after comparing the whole sets.
+    With ``ids_link`` the classes of rows that share an id are linked too.
     """
     n_bands, least = plan(percent)
     size = n_bands * ROWS
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    drawn = common.stash(rows.mapInArrow(_sketch_rows(width, size), "doc_id long, n_shingles long, class binary, coords binary"), "minhash-rows")
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    drawn = common.stash(keyed.mapInArrow(_sketch_rows(width, size), "doc_id long, text_key long, n_shingles long, class binary, coords binary"), "minhash-rows")
 
-    # Exact copies: one class, named by its least id.
-    classes = common.stash(drawn.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("coords").alias("coords"), F.first("n_shingles").alias("n_shingles")), "minhash-classes")
-    named = classes.filter("node is not null")
-    met = named.select("node", "coords").mapInArrow(_band_rows(size), "node long, band long")
+    # Exact copies are one class; its number is fixed once it is written.
+    classes = drawn.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("coords").alias("coords"), F.first("n_shingles").alias("n_shingles"))
+    classes = common.stash(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    met = classes.select("node", "coords").mapInArrow(_band_rows(size), "node long, band long")
     crowds = met.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     met = met.join(crowds, "band").select("band", "node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = met.join(named.select("node", "coords"), "node")
+    met = met.join(classes.select("node", "coords"), "node")
     maybe = _block_pairs(met, "band").mapInArrow(_maybe(size, least), "a long, b long")
     clusters = common.stash(connected(maybe), "minhash-clusters")
 
-    # Whole sets of the clusters' members only.
-    n = clusters.count()
-    wanted = clusters.select(F.col("node").alias("doc_id"))
-    wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
-    sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_members(width), "node long, class binary, members binary").distinct()
-    full = named.join(clusters, "node").join(sets, ["node", "class"]).select("component", "node", "n_shingles", "coords", "members")
+    # Whole sets of the clusters' members only: the texts of each class's least id, or of all rows without id.
+    members = common.stash(classes.join(clusters, "node").select("component", "node", "class", "least", "n_shingles", "coords"), "minhash-members")
+    n, nameless = members.agg(F.count("*"), F.count(F.when(F.col("least").isNull(), 1))).first()
+    wanted = members.filter("least is not null").select(F.col("least").alias("doc_id"))
+    texts = rows.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "doc_id", "left_semi").select("text")
+    if nameless:
+        texts = texts.unionByName(rows.filter("doc_id is null").select("text"))
+    sets = texts.mapInArrow(_members(width), "class binary, members binary").groupBy("class").agg(F.first("members").alias("members"))
     total = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    full = full.join(total, "component")
+    full = members.drop("least").join(sets, "class").drop("class").join(total, "component")
     links = _block_pairs(full, "component").mapInArrow(_confirm(size, least, percent), "a long, b long")
-    # Rows that share an id and differ in their sets: the id stands for all their classes.
-    several = drawn.filter("class is not null").groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("doc_id")
-    same_id = drawn.join(several, "doc_id").select("doc_id", "class").join(classes.select("class", "node"), "class").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = connected(links.unionByName(same_id))
-
-    final = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
-    out = drawn.select("doc_id", "n_shingles", "class").join(final, "class", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    if ids_link:
+        # Rows that share an id and differ in their sets: the id stands for all their classes.
+        several = drawn.filter("class is not null and doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("doc_id", "low")
+        pairs = drawn.join(several, "doc_id").filter("class <> low").select("class", "low").distinct()
+        pairs = pairs.join(classes.select("class", F.col("node").alias("a")), "class").join(classes.select(F.col("class").alias("low"), F.col("node").alias("b")), "low")
+        links = links.unionByName(pairs.select("a", "b"))
+    found = classes.select("class", "node", "least").join(connected(links), "node", "left").select("class", "least", F.coalesce("component", "node").alias("component"))
+    found = common.stash(found, "minhash-components")
+    ids = found.groupBy("component").agg(F.min("least").alias("component_id"))
+    return drawn.drop("coords"), found.join(ids, "component").select("class", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents whose shingle sets overlap: 100 * intersection >= percent * union.
+
+    One row for each row of ``docs``: doc_id, n_shingles (size of the set of distinct shingles of
+    ``width`` words), component_id (least doc_id reachable by links, itself included), kept
+    (doc_id = component_id). Null, empty and blank texts have no shingles and link with
+    nothing. Rows that share an id count as one document with several texts: each is compared,
+    and the id stands for all. Rows without id are compared like others, get the least id of their group (and
+    aren't kept), or null if it has none (and are kept). Other columns of ``docs`` aren't read, so their
+    names can't clash; an empty table gives an empty result.
+
+    Two texts exactly at the threshold share no band with a chance of at most ``MISS``; a link
+    is only ever made after comparing the whole sets.
+    """
+    drawn, classes = _classes(docs, width, percent, id_col, text_col, ids_link=True)
+    out = drawn.join(classes, "class", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_distinct(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of ``near_duplicates`` (the one with the least id), with its own columns whatever their names.
+    """One row of each group of similar texts, with its own columns whatever their names.
 
-    Rows that share an id are one document; the row with the least text stays. Documents without
-    shingles are in no group and all stay. Of equal sets without any id one row stays.
+    Every row is a document of its own here: rows that share an id are in one group only if their texts
+    are similar. The row with the least id stays (rows without id come last), of several the one
+    with the least hash of its text, of equal rows one. Rows without shingles (null, empty, blank texts) are in
+    no group and all stay; an empty table gives an empty result.
     """
     names = docs.columns
     rows = docs.toDF(*(f"_d{i}" for i in range(len(names))))
     own_id, text = f"_d{names.index(id_col)}", f"_d{names.index(text_col)}"
-    kept = near_duplicates(rows, width, percent, own_id, text).filter("kept and doc_id is not null").select("doc_id").distinct()
-    held = rows.join(kept, rows[own_id].cast("long") == kept["doc_id"], "left_semi")
-    # The join has put the rows of an id together, so this is done in place.
-    held = held.groupBy(own_id).agg(F.min_by(F.struct(*rows.columns), text).alias("r"), F.first(F.struct(*rows.columns)).alias("f")).select(F.coalesce("r", "f").alias("r")).select("r.*")
-    lone = rows.filter(F.col(own_id).isNull())
-    lone = lone.filter(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(common.SPACES)) == "").unionByName(lone.filter(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(common.SPACES)) != "").dropDuplicates([text]))
-    return held.unionByName(lone).toDF(*names)
+    drawn, classes = _classes(rows, width, percent, own_id, text, ids_link=False)
+    first = drawn.join(classes, "class").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("w")).select("w.doc_id", "w.text_key")
+    copies = drawn.filter("class is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+    first = common.stash(first.join(copies, same(first, copies)).select(first["doc_id"], first["text_key"], "copies"), "minhash-kept")
+    n, n_copied = first.agg(F.count("*"), F.count(F.when(F.col("copies") > 1, 1))).first()
+    rows = rows.withColumn("doc_id", F.col(own_id).cast("long")).withColumn("text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    blank = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(common.SPACES)) == ""
+    full, some = rows.filter(~blank), (F.broadcast if n <= BROADCAST_IDS else lambda x: x)
+    lone = some(first.filter("copies = 1"))
+    out = rows.filter(blank).unionByName(full.join(lone, same(full, lone), "left_semi"))
+    if n_copied:
+        many = some(first.filter("copies > 1"))
+        out = out.unionByName(full.join(many, same(full, many), "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return out.drop("doc_id", "text_key").toDF(*names)

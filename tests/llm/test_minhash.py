@@ -14,7 +14,7 @@ def shingles(text, width):
     return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-def brute(rows, width, percent):
+def brute(rows, width, percent, ids_link=True):
     sets = [(d, shingles(t, width)) for d, t in rows]
     up = list(range(len(sets)))
 
@@ -26,8 +26,10 @@ def brute(rows, width, percent):
     for i in range(len(sets)):
         for j in range(i):
             a, b = sets[i][1], sets[j][1]
-            if (a and b and 100 * len(a & b) >= percent * len(a | b)) or (sets[i][0] is not None and sets[i][0] == sets[j][0]):
+            if (a and b and 100 * len(a & b) >= percent * len(a | b)) or (ids_link and sets[i][0] is not None and sets[i][0] == sets[j][0]):
                 up[root(i)] = root(j)
+    if not ids_link:
+        return [root(i) if s else None for i, (_, s) in enumerate(sets)]
     least = {}
     for i, (d, _) in enumerate(sets):
         if d is not None:
@@ -59,12 +61,18 @@ def test_components_equal_brute_force(spark, with_clashes, monkeypatch, width, p
 
 
 def test_one_of_each_group_stays(spark, with_clashes):
-    rows = corpus()
-    df = with_clashes(spark.createDataFrame(rows, KIND))
+    rows = corpus() + [(None, "only here"), (1, None), (7, "one two three"), (400, "one two three")] + [(None, rows_text) for rows_text in ("q r s t u v", "q R s t u v")]
+    df = with_clashes(spark.createDataFrame(rows, KIND).repartition(3))
     kept = minhash.keep_distinct(df, 5, 80)
-    want = {d for d, _, _, k in brute(rows, 5, 80) if k and d is not None}
-    got = [r["doc_id"] for r in kept.collect()]
-    assert kept.columns == df.columns and sorted(x for x in got if x is not None) == sorted(want)
+    group = brute(rows, 5, 80, ids_link=False)
+    first = {}
+    for g, (d, t) in zip(group, rows):
+        if g is not None:
+            first[g] = min(first.get(g, (True, 0)), (d is None, d or 0))
+    want = sorted([str(None if nameless else d) for nameless, d in first.values()] + [str(d) for g, (d, _) in zip(group, rows) if g is None])
+    got = kept.collect()
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in got) == want
+    assert all((r["doc_id"], r["text"]) in set(rows) for r in got)
 
 
 def test_empty_table(spark):
@@ -94,3 +102,21 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 9), (7, 7), (None, 4)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(map(tuple, connected(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got[3] == 1 and got[9] == 8 and got[7] == 7 and got[140] == 100 and 4 not in got
+
+
+def test_components_with_a_large_centre(spark, monkeypatch):
+    monkeypatch.setattr("careflow.llm.components.CENTRE", 5)
+    rng = random.Random(5)
+    links = [(50, i) for i in range(300, 900)] + [(rng.randrange(1000, 3000), rng.randrange(1000, 3000)) for _ in range(900)] + [(20, 880), (50, 2999)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = dict(map(tuple, connected(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {n: root(n) for n in up}
