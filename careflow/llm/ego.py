@@ -1,12 +1,13 @@
 """Near-duplicate vectors by an epsilon grid order join (operator 1).
 
-Unit vectors with cosine >= c lie within epsilon = sqrt(2 - 2c) of each other. They are projected
-on the leading principal directions, put into grid cells of width epsilon, sorted by label and
-cell, and cut into sequence intervals (blocks). Blocks meet only if their first cells are
-neighbours, and of those only pairs whose bounding boxes in the leading coordinates and in the
-norm of the rest come within epsilon; a block pair is halved again and again, and halves that
-are provably distant are skipped, before cosines are computed in double precision. A block pair
-gives each vector's number of links and a spanning forest of the links, never the pairs, so
+Unit vectors with cosine >= c lie within epsilon = sqrt(2 - 2c) of each other. Equal vectors are
+one from here on, with a number of copies. They are projected on the leading principal
+directions, put into grid cells of width epsilon, sorted by label and all cells in order, and cut into
+sequence intervals (blocks). The sequence is joined with itself recursively, from few
+long intervals down to blocks: pairs of intervals whose bounding boxes, in label, leading coordinates and
+the norm of the rest, are provably distant go no further. The vectors of the remaining block pairs
+are halved again in the same way before cosines are computed in double precision. A block pair gives
+each vector's number of links and a spanning forest of the links, never the pairs, so
 what is moved grows with the vectors.
 """
 
@@ -21,25 +22,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import tidy
 from .components import connected
 
 #: Leading directions; vectors of a block; vectors of a part that isn't halved any more.
 DIRECTIONS, BLOCK, LEAF = 6, 512, 64
+#: Intervals of a node of the sequence's tree.
+FAN = 16
 #: Slack for rounding in the bounds that skip blocks.
 SLACK = 1e-6
 
-_BLOCKS = "label long, dims int, first int, ids binary, vectors binary, low array<double>, high array<double>"
-
-
-def _matrix(column: pa.Array) -> list[np.ndarray | None]:
-    """Unit vectors in double precision; null for those that link with nothing."""
-    out: list[np.ndarray | None] = []
-    for v in column.to_pylist():
-        x = None if not v or None in v else np.array(v, float)
-        if x is not None:
-            top = np.abs(x).max() if np.isfinite(x).all() else 0.0
-            x = x / top if top > 0 else None  # first by the largest component, so that squares neither overflow nor vanish
-        out.append(None if x is None else x / math.sqrt(float(x @ x)))
+_BLOCKS = "label long, dims int, nodes binary, copies binary, vectors binary, low array<double>, high array<double>"
+
+
+def _units(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By dimension: rows of a batch and their unit vectors in double precision, but for those that link with nothing."""
+    at = column.offsets.to_numpy()
+    values, size = column.values, np.diff(at)
+    size[~np.asarray(column.is_valid())] = 0
+    flat = values.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(float)
+    out = []
+    for d in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == d)
+        x = flat[at[rows][:, None] + np.arange(d)]
+        top = np.abs(x).max(axis=1)  # first by the largest component, so that squares neither overflow nor vanish
+        fine = np.isfinite(top) & (top > 0)
+        rows, x = rows[fine], x[fine] / top[fine][:, None]
+        if len(rows):
+            out.append((rows, x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]))
     return out
 
 
@@ -47,13 +57,9 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number, sum and sum of products of a partition's vectors, by dimension."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
-        by: dict[int, list[np.ndarray]] = {}
-        for x in _matrix(b.column(0)):
-            if x is not None:
-                by.setdefault(len(x), []).append(x)
-        for d, xs in by.items():
-            m = np.column_stack([np.ones(len(xs)), np.array(xs)])
-            sums[d] = sums.get(d, 0) + m.T @ m
+        for _, x in _units(b.column(0)):
+            m = np.column_stack([np.ones(len(x)), x])
+            sums[x.shape[1]] = sums.get(x.shape[1], 0) + m.T @ m
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["dims", "sums"])
 
 
@@ -80,37 +86,50 @@ def directions(rows: DataFrame, vector: str) -> dict[int, np.ndarray]:
 
 
 def _cells(base, width: float):
-    """Every vector with its unit form, dimension and grid cell; dims is null if it links with nothing."""
+    """Every vector that may link, with its unit form, dimension and grid cells."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units = _matrix(b.column(2))
-            cells = [None if x is None else np.floor(x @ base.value[len(x)] / width).astype(int).tolist() for x in units]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([None if x is None else len(x) for x in units], pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([None if x is None else x.tobytes() for x in units], pa.binary())],
-                ["vec_id", "label", "dims", "cells", "unit"],
-            )
+            for rows, x in _units(b.column(2)):
+                cells = np.floor(x @ base.value[x.shape[1]] / width).astype(np.int32)
+                at = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * cells.shape[1])
+                raw, size, take = x.tobytes(), 8 * x.shape[1], pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(np.full(len(rows), x.shape[1], np.int32)), pa.ListArray.from_arrays(at, pa.array(cells.ravel())), pa.array([raw[size * i : size * (i + 1)] for i in range(len(rows))], pa.binary())],
+                    ["vec_id", "label", "dims", "cells", "unit"],
+                )
 
     return run
 
 
 def _cut(base):
-    """Sequence intervals of one label, dimension and first cell, at most ``BLOCK`` vectors each, with their boxes."""
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    """Sequence intervals of one label and dimension, at most ``BLOCK`` vectors each, with their boxes."""
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
     names = [c.split()[0] for c in _BLOCKS.split(", ")]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, begin, end in common.sorted_groups(batches, ["label", "dims", "first"]):
-            out = []
-            ids, units = part.column("vec_id").to_numpy(), part.column("unit")
-            for start, stop in zip(begin.tolist(), end.tolist()):
-                label, dims, first = (part.column(c)[start].as_py() for c in ("label", "dims", "first"))
-                for at in range(start, stop, BLOCK):
-                    to = min(stop, at + BLOCK)
-                    raw = b"".join(units[at:to].to_pylist())
-                    low, high = _box(_points(np.frombuffer(raw).reshape(-1, dims), base.value[dims]))
-                    out.append((label, dims, first, ids[at:to].astype("<i8").tobytes(), raw, low.tolist(), high.tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names)
+        held: list[tuple[int, int, int, bytes]] = []  # the open interval: node, copies, unit
+        group = None
+
+        def flush() -> pa.RecordBatch:
+            label, dims = group
+            raw = b"".join(x[2] for x in held)
+            low, high = _box(_points(np.frombuffer(raw).reshape(-1, dims), base.value[dims]))
+            # Label and dimension are coordinates of the box as well, so that intervals of different ones never meet.
+            row = (label, dims, np.array([x[0] for x in held], "<i8").tobytes(), np.array([x[1] for x in held], "<i8").tobytes(), raw, *([float(label), float(dims), *x, *[0.0] * (DIRECTIONS + 1 - len(x))] for x in (low, high)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds)], names)
+
+        for b in batches:
+            for label, dims, node, copies, unit in zip(*(b.column(c).to_pylist() for c in ("label", "dims", "node", "copies", "unit"))):
+                if held and ((label, dims) != group or len(held) == BLOCK):
+                    yield flush()
+                group = (label, dims)
+                held.append((node, copies, unit))
+        if held:
+            yield flush()
 
     return run
 
@@ -167,18 +186,21 @@ def _spread(n: int, m: int, links: list[tuple[np.ndarray, np.ndarray]]) -> tuple
 
 
 def _join(base, cosine: float):
-    """Links of block pairs: counts by vector and a forest. A row is (vec_id, n, other): n links, or an edge if other is given."""
+    """Links of block pairs: counts by node and a forest. A row is (node, n, other): n links, or an edge if other is given."""
     epsilon2 = 2 - 2 * cosine
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids_out, n_out, other_out = [], [], []
-            for dims, same, ids_a, vec_a, ids_b, vec_b in zip(*(b.column(c).to_pylist() for c in ("dims", "same", "ids", "vectors", "ids_b", "vectors_b"))):
-                a, ia = np.frombuffer(vec_a).reshape(-1, dims), np.frombuffer(ids_a, "<i8")
-                c, ic = (a, ia) if same else (np.frombuffer(vec_b).reshape(-1, dims), np.frombuffer(ids_b, "<i8"))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dims, same = batch.column("dims")[i].as_py(), batch.column("same")[i].as_py()
+                side = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: B023, E731
+                a, ia, ma = side("vectors", float).reshape(-1, dims), side("nodes", "<i8"), side("copies", "<i8")
+                c, ic, mc = (a, ia, ma) if same else (side("vectors_b", float).reshape(-1, dims), side("nodes_b", "<i8"), side("copies_b", "<i8"))
                 pts_a = _points(a, base.value[dims])
                 pts_c = pts_a if same else _points(c, base.value[dims])
-                counts, links = np.zeros(len(a) + len(c), np.int64), []
+                counts, links = np.zeros(len(a) + (0 if same else len(c)), np.int64), []
+                offset = 0 if same else len(a)
                 for x, y in _pairs(pts_a, pts_c, slice(0, len(a)), slice(0, len(c)), epsilon2):
                     if same and y.stop <= x.start:
                         continue  # seen from the other side
@@ -188,20 +210,51 @@ def _join(base, cosine: float):
                     u, v = np.nonzero(hit)
                     u, v = u + x.start, v + y.start
                     if len(u):
-                        counts[:] += np.bincount(u, minlength=len(counts)) + np.bincount(v if same else v + len(a), minlength=len(counts))
-                        links.append((u, v if same else v + len(a)))
-                ids = np.concatenate([ia, ic])
+                        counts += np.bincount(u, weights=mc[v], minlength=len(counts)).astype(np.int64) + np.bincount(v + offset, weights=ma[u], minlength=len(counts)).astype(np.int64)
+                        links.append((u, v + offset))
+                nodes = ia if same else np.concatenate([ia, ic])
                 full = np.flatnonzero(counts)
-                rows, roots = _spread(len(a), len(c), links)
-                ids_out += [ids[full], ids[rows]]
-                n_out += [counts[full], np.zeros(len(rows), np.int64)]
-                other_out += [pa.nulls(len(full), pa.int64()), pa.array(ids[roots])]
-            if ids_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids_out)), pa.array(np.concatenate(n_out)), pa.concat_arrays(other_out)], ["vec_id", "n", "other"])
+                rows, roots = _spread(len(counts), 0, links)
+                if len(full) + len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([nodes[full], nodes[rows]])), pa.array(np.concatenate([counts[full], np.zeros(len(rows), np.int64)])), pa.concat_arrays([pa.nulls(len(full), pa.int64()), pa.array(nodes[roots])])], ["node", "n", "other"])
 
     return run
 
 
+def _near_sql(epsilon2: float):
+    """Whether the boxes (low, high) and (low_b, high_b) come within epsilon."""
+    gaps = F.zip_with(F.zip_with("low", "high_b", lambda a, b: a - b), F.zip_with("low_b", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    # Labels and dimensions come first and are whole numbers: a gap between them is at least 1, more than any two unit vectors' that link.
+    return F.aggregate(F.transform(gaps, lambda x, i: F.when(i < 2, x * 4).otherwise(x)), F.lit(0.0), lambda s, x: s + x * x) <= epsilon2 + SLACK
+
+
+def _meeting(boxes: DataFrame, n: int, epsilon2: float) -> DataFrame:
+    """Pairs (block, block_b), block <= block_b, of the n boxes whose distance may be within epsilon.
+
+    The sequence of blocks is a tree of ``FAN`` intervals to each node. Starting with the whole
+    sequence, pairs of intervals whose boxes come within epsilon are joined on, each with the
+    intervals that it consists of; provably distant ones go no further.
+    """
+    levels = max(1, math.ceil(math.log(max(2, n), FAN)))
+    fields = lambda df, s: df.select(F.col("block").alias(f"block{s}"), F.floor(F.col("block") / FAN).alias(f"up{s}"), F.col("low").alias(f"low{s}"), F.col("high").alias(f"high{s}"))
+    tree = [boxes.select("block", "low", "high")]
+    bounds = lambda f, c: F.array(*(f(F.col(c)[i]) for i in range(DIRECTIONS + 3)))
+    for _ in range(levels - 1):
+        tree.append(common.stash(tree[-1].groupBy(F.floor(F.col("block") / FAN).alias("block")).agg(bounds(F.min, "low").alias("low"), bounds(F.max, "high").alias("high")), "ego-tree"))
+    pairs = None
+    for level in reversed(tree):
+        a, b = fields(level, ""), fields(level, "_b")
+        if pairs is None:  # the top has at most FAN nodes
+            met = a.join(b, a["up"] == b["up_b"])
+        else:
+            met = pairs.join(a, "up").join(b, "up_b")
+        met = met.filter(F.col("block") <= F.col("block_b")).filter(_near_sql(epsilon2)).select("block", "block_b")
+        if level is not tree[0]:
+            met = common.stash(met, "ego-pairs")
+        pairs = met.select(F.col("block").alias("up"), F.col("block_b").alias("up_b"))
+    return pairs.toDF("block", "block_b")
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Groups of vectors of one label whose cosine is at least ``cosine``.
 
@@ -214,29 +267,44 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    base = spark.sparkContext.broadcast(directions(rows.filter("vec_id is not null and label is not null"), "v"))
     linked = rows.filter("vec_id is not null and label is not null and v is not null")
-    cells = linked.mapInArrow(_cells(base, math.sqrt(2 - 2 * cosine)), "vec_id long, label long, dims int, cells array<int>, unit binary").filter("dims is not null")
-    cells = common.stash(cells.withColumn("first", F.element_at("cells", 1)), "ego-cells")
-    keys = ["label", "dims", "first", "cells", "vec_id"]
-    blocks = cells.repartitionByRange(common.shuffle_partitions(vectors), *keys).sortWithinPartitions(*keys).mapInArrow(_cut(base), _BLOCKS)
-    blocks = common.stash(blocks.withColumn("block", F.monotonically_increasing_id()), "ego-blocks")  # numbers are fixed once written
-
-    # Boxes of intervals meet if their first cells are the same or next to each other, each pair once;
-    # the vectors are moved only for pairs whose boxes come within epsilon.
-    boxes = blocks.select("label", "dims", "first", "block", "low", "high")
-    left = boxes.withColumn("cell", F.explode(F.array("first", F.col("first") + 1)))
-    right = boxes.select("label", "dims", F.col("first").alias("cell"), F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    gaps = F.zip_with(F.zip_with("low", "high_b", lambda a, b: a - b), F.zip_with("low_b", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
-    met = left.join(right, ["label", "dims", "cell"]).filter((F.col("cell") > F.col("first")) | (F.col("block") <= F.col("block_b")))
-    met = met.filter(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x) <= 2 - 2 * cosine + SLACK).select("label", "dims", "block", "block_b")
-    data = blocks.select("label", "dims", "block", "ids", "vectors")
-    met = met.join(data, ["label", "dims", "block"])
-    met = met.join(data.toDF("label", "dims", "block_b", "ids_b", "vectors_b"), ["label", "dims", "block_b"])
-    met = met.select("dims", (F.col("block") == F.col("block_b")).alias("same"), "ids", "vectors", "ids_b", "vectors_b")
-    found = common.stash(met.mapInArrow(_join(base, cosine), "vec_id long, n long, other long"), "ego-links")
-    counts = found.filter("other is null").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    components = connected(found.filter("other is not null"), "vec_id", "other").withColumnRenamed("node", "vec_id")
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(components, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    base = common.spread(spark, directions(linked, "v"))
+    epsilon2 = 2 - 2 * cosine
+    cells = common.stash(linked.mapInArrow(_cells(base, math.sqrt(epsilon2)), "vec_id long, label long, dims int, cells array<int>, unit binary"), "ego-cells")
+
+    # Equal vectors of a label are one node with a number of copies; its number is fixed once it is written.
+    classes = cells.groupBy("label", "dims", F.sha2("unit", 256).alias("digest")).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("cells").alias("cells"), F.first("unit").alias("unit"))
+    classes = common.stash(classes.withColumn("node", F.monotonically_increasing_id()), "ego-classes")
+    keys = ["label", "dims", "cells", "node"]
+    blocks = classes.repartitionByRange(common.shuffle_partitions(vectors), *keys).sortWithinPartitions(*keys).select("label", "dims", "node", "copies", "unit").mapInArrow(_cut(base), _BLOCKS)
+    blocks = common.stash(blocks.withColumn("at", F.monotonically_increasing_id()), "ego-blocks")
+    # Numbers without gaps in the order of the sequence: a partition's first one from the sizes of those before it.
+    part = F.shiftright("at", 33)
+    sizes = blocks.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    sizes = sizes.selectExpr("part", "sum(n) over (order by part rows between unbounded preceding and current row) - n as before")  # a row for each partition
+    blocks = blocks.withColumn("part", part).join(F.broadcast(sizes), "part").withColumn("block", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "before", "at")
+
+    n = blocks.count()
+    if n:
+        met = _meeting(blocks, n, epsilon2)
+        data = blocks.select("block", "dims", "nodes", "copies", "vectors")
+        met = met.join(data, "block").join(data.toDF("block_b", "dims_b", "nodes_b", "copies_b", "vectors_b"), "block_b")
+        met = met.select("dims", (F.col("block") == F.col("block_b")).alias("same"), "nodes", "copies", "vectors", "nodes_b", "copies_b", "vectors_b")
+        found = common.stash(met.mapInArrow(_join(base, cosine), "node long, n long, other long"), "ego-links")
+    else:
+        found = spark.createDataFrame([], "node long, n long, other long")
+    counts = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("n"))
+    # An id with several vectors joins their nodes.
+    several = cells.groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").select("vec_id")
+    digests = classes.select("label", "dims", F.sha2("unit", 256).alias("digest"), "node")
+    member = cells.select("vec_id", "label", "dims", F.sha2("unit", 256).alias("digest")).join(digests, ["label", "dims", "digest"]).select("vec_id", "node")
+    same = member.join(several, "vec_id").groupBy("vec_id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.collect_set("node").alias("nodes")).filter("low <> high").select("low", F.explode("nodes").alias("node"))
+    edges = found.filter("other is not null").select("node", "other").unionByName(same.select("node", F.col("low").alias("other")))
+    groups = classes.select("node", "least", "copies").join(connected(edges, "node", "other"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = common.stash(groups, "ego-groups")
+    least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = groups.join(least, "component").join(counts, "node", "left").select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    by_id = member.join(known, "node").groupBy("vec_id").agg(F.sum("links").alias("n_links"), F.min("component_id").alias("component_id"))
+    out = rows.select("vec_id").join(by_id, "vec_id", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -24,25 +24,8 @@ from . import common
 
 #: Blocks of the schedule that the driver holds at once, and up to how many are broadcast (about 100 bytes each); beyond, the join shuffles.
 AT_ONCE, BROADCAST_BLOCKS = 1_000_000, 250_000
-#: Documents of a block; slots of a period where one is asked for; parts of a source that are counted and numbered apart.
-BLOCK, PERIOD, PARTS = 32, 1_000, 512
-#: Most sources: the driver holds a row for each. More raise an error, none is left out.
-MAX_SOURCES = 20_000
-
-
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole shares of the period, at least 1 each, by largest remainders."""
-    if not weights:
-        return {}
-    if len(weights) > period:
-        raise ValueError(f"{len(weights)} sources don't fit in a period of {period}")
-    total = sum(weights.values())
-    spare = period - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+#: Documents of a block; parts of a source that are counted and numbered apart.
+BLOCK, PARTS = 32, 512
 
 
 def exact(weights: dict[str, float]) -> dict[str, int]:
@@ -78,11 +61,6 @@ def blocks_in_order(share: dict[str, int], blocks: dict[str, int]) -> Iterator[t
             slot += 1
 
 
-def schedule(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, number within the period, slot, release, deadline) of every block of one period, earliest deadline first."""
-    return list(blocks_in_order(share, share))
-
-
 def _plan(spark, share: dict[str, int], blocks: dict[str, int]) -> DataFrame:
     """The schedule as a table, written by parts."""
     kind = pa.schema([("g_source", pa.string()), *((c, pa.int64()) for c in ("block", "slot", "release", "deadline"))])
@@ -94,14 +72,14 @@ def _plan(spark, share: dict[str, int], blocks: dict[str, int]) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int | None = None, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, carry: list[str] | None = None) -> DataFrame:
     """Gives every row its place in the mixture: source, block, slot, release, deadline and, within the block, place.
 
-    ``weights`` are the target weights by source; sources without one, and all sources if there are
-    none, get their number of rows to the ``power`` (0.5 lifts small sources, 1 keeps proportions).
-    With a ``period`` they are first rounded to whole shares of it, at least 1 each.
-    Within a source rows go by a hash of their ids, then by id; ties of ids are all kept. A null
-    source is a source of its own, a null id is like any other. No row is dropped or repeated. ``carry`` names columns of ``docs`` that are
+    ``weights`` are the target weights by source, on any common scale; sources that it doesn't name have no weight and stand
+    behind all others. Without it each source weighs its number of rows to the ``power`` (0.5 lifts small sources, 1 keeps proportions).
+    The driver holds one number a source, and blocks of the schedule ``AT_ONCE``.
+    Within a source rows go by a hash of their ids, then by id; rows without id by a hash of what they carry; ties are all kept. A null
+    source is a source of its own (None in ``weights``), a null id is like any other. No row is dropped or repeated. ``carry`` names columns of ``docs`` that are
     returned under their own names besides; other columns aren't read. An empty table gives an
     empty result. ``place`` and ``slot`` put the rows in order: orderBy("slot", "place").
     """
@@ -109,19 +87,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     rows = docs.select(F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), key.alias("g_source"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("m_id"), F.lit(PARTS)).cast("int"))
+    nameless = F.xxhash64(*(f"_c{i}" for i in range(len(carry)))) if carry else F.lit(0)
+    rows = rows.withColumn("part", F.pmod(F.when(F.col("m_id").isNull(), nameless).otherwise(F.xxhash64("m_id")), F.lit(PARTS)).cast("int"))
 
     # Rows are numbered within hashed parts of their source, so a source of any size is spread over PARTS tasks.
     counts = rows.groupBy("g_source", "part").agg(F.count("*").alias("n"))
     before = common.stash(counts.selectExpr("g_source", "part", "n", "sum(n) over (partition by g_source order by part rows between unbounded preceding and current row) - n as before"), "mix-parts")
-    totals = before.groupBy("g_source").agg(F.sum("n").alias("n"))
-    found = totals.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    target = {s: float((weights or {}).get(s[1:] if s != "null" else None, n**power)) for s, n in found}
+    found = before.groupBy("g_source").agg(F.sum("n").alias("n")).collect()
+    given = None if weights is None else {"null" if s is None else f"={s}": float(w) for s, w in weights.items()}
+    target = {s: float(n**power) if given is None else given.get(s, 0.0) for s, n in found}
     blocks = {s: -(-n // block) for s, n in found}
-    share = exact(target) if period is None else shares(target, max(period, 4 * len(found)))
-    plan = _plan(spark, share, blocks)
+    plan = _plan(spark, exact(target), blocks)
 
     numbered = rows.selectExpr("*", "row_number() over (partition by g_source, part order by m_id) - 1 as at").join(before.drop("n"), ["g_source", "part"])
     numbered = numbered.withColumn("rank", F.col("before") + F.col("at")).withColumn("block", F.floor(F.col("rank") / block)).withColumn("place", (F.col("rank") % block).cast("int"))
@@ -131,7 +107,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in the order of the mixture, with their own columns whatever their names."""
+    """The rows of ``docs`` in the order of the mixture, with their own columns whatever their names.
+
+    Null sources and ids, repeated rows and empty tables as in ``mix``; texts, empty or long, only move.
+    """
     names = docs.columns
     numbered = docs.toDF(*(f"_d{i}" for i in range(len(names))))
     at = {k: f"_d{names.index(options.pop(k, v))}" for k, v in (("id_col", "doc_id"), ("source_col", "source"))}

@@ -312,27 +312,28 @@ def test_transitions_are_distributions():
     assert np.allclose((10 ** brown.transitions(table.astype(float))).sum(axis=1), 1)
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, "c": 1.5}, {f"s{i}": 1 + i**2 for i in range(20)}])
-def test_schedule_deviates_by_less_than_a_block(weights):
-    share = mixing.shares(weights, 200)
-    assert sum(share.values()) == 200
-    seen = collections.Counter()
-    for s, k, slot, release, due in mixing.schedule(share):
+@pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 0.9, "b": 0.1}, {"hot": 0.9} | {f"s{i}": 0.1 / 19 for i in range(19)}, {"hot": 0.9} | {f"s{i}": 0.1 / 249 for i in range(249)}, {f"s{i}": 1.0 + i**2 for i in range(250)}])
+def test_schedule_deviates_by_less_than_a_block_from_the_target_weights(weights):
+    total, seen = sum(weights.values()), collections.Counter()
+    blocks = {s: int(9_000 * w / total) + 1 for s, w in weights.items()}
+    for n, (s, k, slot, release, due) in enumerate(mixing.blocks_in_order(mixing.exact(weights), blocks)):
         assert k == seen[s] and release <= slot < due
         seen[s] += 1
-        assert all(abs(seen[x] - share[x] / 200 * (slot + 1)) < 1 for x in share)
+        if n % 53 == 0 and n < 8_000:
+            assert all(abs(seen[x] - w / total * (slot + 1)) < 1 + 1e-9 for x, w in weights.items() if seen[x] < blocks[x])
+    assert seen == blocks
 
 
 def test_mixing(spark, with_clashes):
     rng = random.Random(7)
     rows = [(i, f"t{i}", "en", rng.choice(["big"] * 6 + ["mid"] * 2 + ["low", None])) for i in range(3000)] + [(5, "again", "en", "big"), (None, "n", "en", "low")]
     df = with_clashes(spark.createDataFrame(rows, KIND).repartition(5))
-    got = mixing.mix(df, block=4, period=100).collect()
+    got = mixing.mix(df, block=4).collect()
     assert sorted(str(r["mixed_id"]) for r in got) == sorted(str(r[0]) for r in rows)
     assert len({(r["slot"], r["place"]) for r in got}) == len(got) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
     slots = sorted({(r["slot"], r["mixed_source"], r["block"]) for r in got}, key=lambda x: x[0])
     assert len({s for s, _, _ in slots}) == len(slots)
-    out = mixing.in_order(df, block=4, period=100)
+    out = mixing.in_order(df, block=4)
     assert out.columns == df.columns and out.count() == len(rows)
     order = [r["text"] for r in out.collect()]
     place = {(r["slot"], r["place"]): r["mixed_source"] for r in got}
@@ -364,9 +365,30 @@ def test_the_deviation_from_the_weights_does_not_grow(spark):
     assert max(r["slot"] for r in got if w(r)) < min(r["slot"] for r in got if not w(r))
 
 
-def test_many_sources_get_a_longer_period_and_too_many_an_error(spark, monkeypatch):
-    df = spark.createDataFrame([(i, "t", "en", f"s{i % 300}") for i in range(900)], KIND)
-    assert mixing.mix(df, block=1, period=10).select("slot").distinct().count() == 900
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 299)
-    with pytest.raises(ValueError):
-        mixing.mix(df)
+def test_rows_follow_a_plain_schedule(spark):
+    """Earliest deadline first over the released blocks, searched slot by slot; of given weights only those that are named count."""
+    from fractions import Fraction
+
+    sizes = {"a": 50, "b": 23, "c": 9, None: 4, "unnamed": 6}
+    df = spark.createDataFrame([(i, "t", "en", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], KIND)
+    weights = {"a": 0.5, "b": 0.25, "c": 0.2, None: 0.05}
+    total = sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    done, want, slot = collections.Counter(), {}, 0
+    left = {s: -(-sizes[s] // 4) for s in weights}
+    while any(left.values()):
+        ready = [(math.ceil((done[s] + 1) / share[s]), "null" if s is None else f"={s}", s) for s in weights if left[s] and math.floor(done[s] / share[s]) <= slot]
+        if ready:
+            s = min(ready, key=lambda r: r[:2])[2]
+            want[s, done[s]] = slot
+            done[s] += 1
+            left[s] -= 1
+        slot += 1
+    got = {(r["mixed_source"], r["block"]): r["slot"] for r in mixing.mix(df, weights, block=4).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "unnamed"} == want
+    assert min(v for k, v in got.items() if k[0] == "unnamed") > max(want.values())
+
+
+def test_many_sources(spark):
+    df = spark.createDataFrame([(i, "t", "en", f"s{i % 300}") for i in range(900)] + [(None, f"n{i}", "en", "s1") for i in range(40)], KIND)
+    assert mixing.mix(df, block=1, carry=["text"]).select("slot").distinct().count() == 940

@@ -48,6 +48,16 @@ def test_links_and_components_equal_brute_force(spark, with_clashes, monkeypatch
     assert sorted(map(tuple, ego.near_vectors(df).collect())) == brute(rows)
 
 
+def test_a_large_group_of_equal_vectors_and_ids_with_several(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = ([float(x) for x in rng.normal(size=8)] for _ in range(3))
+    near = [x + 1e-3 for x in a]
+    rows = [(i, a, 1) for i in range(3_000)] + [(5_000 + i, near, 1) for i in range(40)] + [(9_000, b, 1), (9_001, c, 1), (9_001, b, 1), (9_002, c, 2), (9_003, [2 * x for x in c], 1)]
+    got = {r["vec_id"]: tuple(r)[1:] for r in ego.near_vectors(spark.createDataFrame(rows, KIND).repartition(6)).collect()}
+    assert got[0] == (3_039, 0, True) and got[2_999] == (3_039, 0, False) and got[5_039] == (3_039, 0, False)
+    assert got[9_000] == (1, 9_000, True) and got[9_001] == (2, 9_000, False) and got[9_002] == (0, 9_002, True) and got[9_003] == (1, 9_000, False)
+
+
 def test_empty_table_and_null_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1)], KIND)
     assert ego.near_vectors(df.limit(0)).count() == 0
