@@ -1,15 +1,20 @@
 """Main text of HTML pages by wrapper induction (operator 6).
 
-Pages of one host share a template. Each page's DOM tree is aligned with a reference tree of its
-host (its page with the fewest nodes) by simple tree matching: the largest order-preserving
+Pages of one host share a template. Each page's whole DOM tree is aligned with a reference tree of its
+host (a page of middle size) by simple tree matching: the largest order-preserving
 match of equal labels, by dynamic programming over lists of children. Summed over the host's
-pages, a node of the reference whose text is the same nearly everywhere is template, all other
-text is a varying slot; the deepest element that holds nearly all varying text, once a page,
-is the host's content. Then every page is read again: the text of its content element (of the
-article or main element around it, if there is one), less template nodes, and all other varying text
-outside, in page order, both less elements that are boilerplate by name, block by block. Hosts with too few
-different pages to tell take the content element that most hosts have, or a page's own
-article or main element, or its body.
+pages the aligned nodes vote:
+
+- a text that is the same nearly everywhere is template, wherever it stands and whatever it is called;
+- an element whose varying text is mostly links is a menu, even if its entries change from page to page;
+- the deepest element that holds nearly all other varying text, once a page, is the host's content.
+
+Then every page is read again: the text of its content element (of the article or main element
+around it, if there is one), less template, and varying text outside that isn't a menu, in page
+order, block by block. Only what votes can't tell is left to names: text that varies like the article but is
+something else (reader comments, adverts, notices, forms) goes by fixed lists of elements, roles and class names. Hosts with too few
+different pages to vote take the content element that most hosts have, or a page's own
+article or main element, or its body, and the lists decide alone.
 
 Only trees of labels and text hashes are moved for the induction, never texts.
 """
@@ -28,17 +33,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import tidy
+from .words import slices
 
 #: Different pages that a host needs for a wrapper of its own, and for calling a node inside its content template.
 LEAST_PAGES, SURE_PAGES = 3, 10
 #: Share of pages in which a template node has the same text; share of varying text that the content element holds.
 SAME, HOLDS = 0.9, 0.8
-#: Nodes of a tree that are aligned by matching; those behind them in a larger page are the same if the reference has their text at their path.
-ALIGNED = 4_000
-#: Elements deeper than this count as children of the last one above, as browsers do.
+#: Share of an element's varying text that is links in a menu.
+LINKED = 0.7
+#: Elements deeper than this count as blocks of the last one above, as browsers do.
 DEEPEST = 512
-#: Up to so many hosts (a few hundred bytes each) have their wrappers broadcast; beyond, both sides are shuffled.
-BROADCAST_HOSTS = 20_000
+#: Up to so many bytes of wrappers are broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: A host with a thousandth of all pages, but no fewer than this, is dealt over ``SALTS`` tasks.
+LARGE_HOST, SALTS = 1_000, 128
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,10 +71,10 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']
 class Node:
     """An element, or with the label "#" a block's text."""
 
-    __slots__ = ("tag", "label", "children", "junk", "main", "text")
+    __slots__ = ("tag", "label", "children", "junk", "main", "text", "linked")
 
-    def __init__(self, tag: str, label: str, junk: bool = False, main: bool = False, text: str = ""):
-        self.tag, self.label, self.children, self.junk, self.main, self.text = tag, label, [], junk, main, text
+    def __init__(self, tag: str, label: str, junk: bool = False, main: bool = False, text: str = "", linked: int = 0):
+        self.tag, self.label, self.children, self.junk, self.main, self.text, self.linked = tag, label, [], junk, main, text, linked
 
 
 @functools.lru_cache(maxsize=20_000)
@@ -84,13 +93,16 @@ def parse(page: str | None) -> Node:
     """A page's tree: elements that are blocks, and each block's text with white space put in order."""
     root = Node("", "")
     stack, held = [root], []
+    in_link, linked = False, 0
 
     def flush() -> None:
+        nonlocal linked
         if held:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                stack[-1].children.append(Node("#", "#", text=text))
+                stack[-1].children.append(Node("#", "#", text=text, linked=min(linked, len(text))))
+        linked = 0
 
     page, at = page or "", 0
     inline: list[int] = []  # open inline elements that are junk: their text is left out
@@ -100,6 +112,8 @@ def parse(page: str | None) -> Node:
             part = page[at : m.start() if m else len(page)]
             if part:
                 held.append(entities.unescape(part) if "&" in part else part)
+                if in_link:
+                    linked += len(" ".join(held[-1].split()))
         if not m:
             break
         at = m.end()
@@ -107,6 +121,8 @@ def parse(page: str | None) -> Node:
         if not tag:
             continue
         tag = tag.lower()
+        if tag == "a":
+            in_link = not m[1]
         if m[1]:
             if tag in BLOCKS or any(x.tag == tag for x in stack):
                 for i in range(len(stack) - 1, 0, -1):
@@ -143,6 +159,8 @@ def parse(page: str | None) -> Node:
                 del stack[i:]
             elif open_tag in SCOPES:
                 break
+        if len(stack) > DEEPEST:
+            continue
         node = Node(tag, label, junk or (tag == "header" and not any(x.main for x in stack)), main)
         stack[-1].children.append(node)
         stack.append(node)
@@ -150,17 +168,35 @@ def parse(page: str | None) -> Node:
     return root
 
 
-def flat(root: Node) -> tuple[list[int], list[str], list[int], list[int]]:
-    """Depth, label, text hash and text length of each node that isn't inside junk, in page order."""
-    out: tuple[list[int], list[str], list[int], list[int]] = ([], [], [], [])
-    todo = [(c, 0) for c in reversed(root.children)]
+@functools.lru_cache(maxsize=50_000)
+def step(path: int, label: str) -> int:
+    """A 56-bit number for the path of labels that goes on from another path's."""
+    return int.from_bytes(hashlib.blake2b(f"{path} {label}".encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
+
+
+def text_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
+
+
+def below(node: Node, path: int, nth: int) -> list[tuple[Node, int, int]]:
+    """A node's children with their paths, by labels alone and with each one's number among equal labels."""
+    seen: dict[str, int] = {}
+    out = []
+    for c in node.children:
+        k = seen[c.label] = seen.get(c.label, 0) + 1
+        out.append((c, step(path, c.label), step(nth, f"{c.label} {k}")))
+    return out
+
+
+def flat(root: Node) -> tuple[list, ...]:
+    """Depth, label, path, numbered path, text hash, code points of text and of links in it (both 0 within elements that are boilerplate by name) of each node, in page order."""
+    out: tuple[list, ...] = ([], [], [], [], [], [], [])
+    todo = [(c, 0, path, nth, c.junk) for c, path, nth in reversed(below(root, 0, 0))]
     while todo:
-        node, depth = todo.pop()
-        if node.junk:
-            continue
-        for x, v in zip(out, (depth, node.label, int.from_bytes(hashlib.blake2b(node.text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little") if node.text else 0, len(node.text))):
+        node, depth, path, nth, junk = todo.pop()
+        for x, v in zip(out, (depth, node.label, path, nth, text_hash(node.text) if node.text else 0, 0 if junk else len(node.text), 0 if junk else node.linked)):
             x.append(v)
-        todo += [(c, min(depth + 1, DEEPEST)) for c in reversed(node.children)]
+        todo += [(c, depth + 1, p, k, junk or c.junk) for c, p, k in reversed(below(node, path, nth))]
     return out
 
 
@@ -175,133 +211,175 @@ def _nest(depth: list[int]) -> list[list[int]]:
     return kids
 
 
+class _Shapes:
+    """A tree's lists of children, and for each node a number that equal subtrees of labels share."""
+
+    def __init__(self, depth: list[int], label: list[str], numbers: dict):
+        self.kids, self.label, n = _nest(depth), [*label, ""], len(depth)
+        self.shape, self.size = [0] * (n + 1), [1] * (n + 1)
+        for i in [*range(n - 1, -1, -1), n]:  # children come behind their parent, the root's list is last
+            kids = self.kids[i]
+            self.shape[i] = numbers.setdefault((self.label[i], *(self.shape[k] for k in kids)), len(numbers))
+            self.size[i] += sum(self.size[k] for k in kids)
+
+
 def match(a: tuple[list[int], list[str]], b: tuple[list[int], list[str]]) -> list[tuple[int, int]]:
-    """Simple tree matching: pairs of nodes of two trees, each given by depths and labels."""
-    kids_a, kids_b = _nest(a[0]), _nest(b[0])
-    labels_a, labels_b = a[1], b[1]
-    tables: dict[tuple[int, int], tuple] = {}
-
-    def children(i: int, j: int) -> int:
-        """Size of the largest match of the children's trees."""
-        x, y = kids_a[i], kids_b[j]
-        if not x or not y:
+    """Simple tree matching: pairs of nodes of two trees, each given by depths and labels.
+
+    Children with equal subtrees at both ends of two lists are matched at once, which is never worse than any
+    other match of these; the lists between take dynamic programming. Sizes are kept by shape, and no call is nested.
+    """
+    numbers: dict = {}
+    x, y = _Shapes(*a, numbers), _Shapes(*b, numbers)
+    sizes: dict[tuple[int, int], int] = {}
+
+    def ends(i: int, j: int) -> tuple[list[int], list[int], int, int]:
+        p, q = x.kids[i], y.kids[j]
+        low, most = 0, min(len(p), len(q))
+        while low < most and x.shape[p[low]] == y.shape[q[low]]:
+            low += 1
+        high = 0
+        while high < most - low and x.shape[p[-1 - high]] == y.shape[q[-1 - high]]:
+            high += 1
+        return p, q, low, high
+
+    def gain(p: int, q: int) -> int:
+        if x.label[p] != y.label[q]:
             return 0
-        low = 0
-        while low < min(len(x), len(y)) and labels_a[x[low]] == labels_b[y[low]] and not kids_a[x[low]] and not kids_b[y[low]]:
-            low += 1  # leaves that agree from the start on
-        rest_x, rest_y = x[low:], y[low:]
-        table = [[0] * (len(rest_y) + 1)]
-        gains = []
-        for p in rest_x:
-            above, row, gain = table[-1], [0], []
-            for n, q in enumerate(rest_y):
-                g = 1 + children(p, q) if labels_a[p] == labels_b[q] else 0
-                gain.append(g)
-                best = above[n] + g if g else 0
-                row.append(max(best, row[-1], above[n + 1]))
-            table.append(row)
-            gains.append(gain)
-        tables[i, j] = (x[:low], y[:low], rest_x, rest_y, table, gains)
-        return low + table[-1][-1]
-
-    children(len(a[0]), len(b[0]))
-    pairs, todo = [], [(len(a[0]), len(b[0]))]
+        if x.shape[p] == y.shape[q]:
+            return x.size[p]
+        if not x.kids[p] or not y.kids[q]:
+            return 1
+        return 1 + sizes[x.shape[p], y.shape[q]]
+
+    def table(p: list[int], q: list[int]) -> tuple[int, list[bytearray]]:
+        """Size of the largest match of two lists, and how each cell came about: 1 a match, 2 from above, 0 from the left."""
+        above, how = [0] * (len(q) + 1), []
+        for i in p:
+            row, came, last = [0], bytearray(len(q) + 1), 0
+            for n, j in enumerate(q):
+                best, c = last, 0
+                if above[n + 1] > best:
+                    best, c = above[n + 1], 2
+                g = gain(i, j)
+                if g and above[n] + g >= best:
+                    best, c = above[n] + g, 1
+                row.append(best)
+                came[n + 1], last = c, best
+            how.append(came)
+            above = row
+        return above[-1], how
+
+    todo = [(len(a[0]), len(b[0]))]
     while todo:
-        found = tables.get(todo.pop())
-        if not found:
+        i, j = todo[-1]
+        key = x.shape[i], y.shape[j]
+        if key in sizes:
+            todo.pop()
             continue
-        head_x, head_y, x, y, table, gains = found
-        pairs += zip(head_x, head_y)
-        i, j = len(x), len(y)
-        while i and j:
-            if gains[i - 1][j - 1] and table[i][j] == table[i - 1][j - 1] + gains[i - 1][j - 1]:
-                i, j = i - 1, j - 1
-                pairs.append((x[i], y[j]))
-                todo.append((x[i], y[j]))
-            elif table[i][j] == table[i - 1][j]:
-                i -= 1
+        p, q, low, high = ends(i, j)
+        rest_p, rest_q = p[low : len(p) - high], q[low : len(q) - high]
+        by_label: dict[str, dict[int, int]] = {}
+        for k in rest_q:
+            if y.kids[k]:
+                by_label.setdefault(y.label[k], {})[y.shape[k]] = k
+        seen: set[tuple[int, int]] = set()
+        for m in rest_p:
+            if x.kids[m]:
+                for shape, k in by_label.get(x.label[m], {}).items():
+                    pair = x.shape[m], shape
+                    if pair[0] != shape and pair not in sizes and pair not in seen:
+                        seen.add(pair)
+                        todo.append((m, k))
+        if not seen:
+            todo.pop()
+            same = sum(x.size[k] for k in p[:low]) + sum(x.size[k] for k in p[len(p) - high :])
+            sizes[key] = same + table(rest_p, rest_q)[0]
+
+    pairs, todo = [], [(len(a[0]), len(b[0]))]
+    while todo:
+        i, j = todo.pop()
+        p, q, low, high = ends(i, j)
+        found = [*zip(p[:low], q[:low]), *zip(p[len(p) - high :], q[len(q) - high :])]
+        p, q = p[low : len(p) - high], q[low : len(q) - high]
+        how = table(p, q)[1]
+        m, n = len(p), len(q)
+        while m and n:
+            if how[m - 1][n] == 1:
+                m, n = m - 1, n - 1
+                found.append((p[m], q[n]))
+            elif how[m - 1][n] == 2:
+                m -= 1
             else:
-                j -= 1
+                n -= 1
+        pairs += found
+        todo += [(m, n) for m, n in found if x.kids[m] and y.kids[n]]
     return pairs
 
 
-_TREE = "host string, page long, depth array<int>, label array<string>, hash array<long>, size array<long>, n int, digest long"
+_TREE = "host string, page long, depth array<int>, label array<string>, path array<long>, nth array<long>, hash array<long>, size array<int>, linked array<int>, n int, digest long"
+_VOTES = "host string, kind int, key long, other long, depth int, a long, b long, most long"
 
 
+@tidy
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [flat(parse(x)) for x in b.column(2).to_pylist()]
-        digest = [int.from_bytes(hashlib.blake2b(repr(t).encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little") for t in found]
-        kinds = (pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([t[i] for t in found], k) for i, k in enumerate(kinds)), pa.array([len(t[0]) for t in found], pa.int32()), pa.array(digest, pa.int64())], ["host", "page", "depth", "label", "hash", "size", "n", "digest"])
-
-
-def _paths(depth: list[int], label: list[str]) -> list[str]:
-    out, path = [], []
-    for d, x in zip(depth, label):
-        del path[d:]
-        path.append(x)
-        out.append("/".join(path))
-    return out
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    for b in (part for whole in batches for part in slices(whole, 2)):
+        found = [flat(parse(x.as_py())) for x in b.column(2)]
+        digest = [text_hash(repr(t)) for t in found]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([t[i] for t in found], pa.list_(k)) for i, k in enumerate(kinds)), pa.array([len(t[0]) for t in found], pa.int32()), pa.array(digest, pa.int64())], [c.split()[0] for c in _TREE.split(", ")])
 
 
+@tidy
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page: votes on nodes of the reference, and varying text by element path.
+    """For each page: votes on nodes of the reference, and varying text by element.
 
-    A row is (host, kind, key, a, b): kind 0, a reference node's text hash: a = same, b = 1 for each
-    page that has the node; kind 1, an element's path: a = varying characters within, b = times
-    in this page; kind 2: b = 1 page.
+    A row is (host, kind, key, other, depth, a, b, most): kind 0, a reference node's path and text hash: a = same,
+    b = 1 for each page that has the node; kind 1, an element's path: a = varying code points within that aren't links, b =
+    times in this page; kind 4, the same by numbered path; kind 2: a = all of these, b = 1 page; kind 3, the path of an element with text: a = varying code points in links, b = of all.
     """
+    names = [c.split()[0] for c in _VOTES.split(", ")]
     for batch in batches:
-        votes: dict[tuple[str, int, str], list[int]] = {}
+        votes: dict[tuple[str, int, int, int, int], list[int]] = {}
 
-        def vote(host: str, kind: int, key: str, a: int, b: int) -> None:
-            x = votes.setdefault((host, kind, key), [0, 0, 0])
+        def vote(key: tuple[str, int, int, int, int], a: int, b: int) -> None:
+            x = votes.setdefault(key, [0, 0, 0])  # noqa: B023
             x[0] += a
             x[1] += b
             x[2] = max(x[2], b)
 
-        for r in batch.to_pylist():
-            ref = r["ref"]
-            pairs = dict(match((r["depth"][:ALIGNED], r["label"][:ALIGNED]), (ref["depth"][:ALIGNED], ref["label"][:ALIGNED])))
-            paths = _paths(r["depth"], r["label"])
-            ref_paths = _paths(ref["depth"], ref["label"])
-            behind = set(zip(ref_paths, ref["hash"])) if len(paths) > ALIGNED else ()
-            host, varying, times, within, above = r["host"], {}, {}, [0] * len(paths), []
-            for i, (path, hashed, depth) in enumerate(zip(paths, r["hash"], r["depth"])):
-                del above[depth:]
-                above.append(i)
-                if not hashed:
-                    times[path] = times.get(path, 0) + 1
+        for i in range(batch.num_rows):
+            host, depth, label, path, nth, hashed, size, linked, ref = (batch.column(c)[i].as_py() for c in ("host", "depth", "label", "path", "nth", "hash", "size", "linked", "ref"))
+            pairs = dict(match((depth, label), (ref["depth"], ref["label"])))
+            times: dict[int, int] = {}
+            within, above, total = [0] * len(path), [], 0
+            for n, d in enumerate(depth):
+                del above[d:]
+                above.append(n)
+                if not hashed[n]:
+                    times[path[n]] = times.get(path[n], 0) + 1
                     continue
-                j = pairs.get(i)
-                same = ref["hash"][j] == hashed if j is not None else i >= ALIGNED and (path, hashed) in behind
+                j = pairs.get(n)
+                same = j is not None and ref["hash"][j] == hashed[n]
                 if j is not None:
-                    vote(host, 0, f"{ref_paths[j]} {ref['hash'][j]}", int(same), 1)
-                elif same:
-                    vote(host, 0, f"{path} {hashed}", 1, 1)
+                    vote((host, 0, ref["path"][j], ref["hash"][j], 0), int(same), 1)
                 if not same:
-                    for n in above[:-1]:
-                        within[n] += r["size"][i]
-                    vote(host, 2, "", r["size"][i], 0)
-            for path, n in zip(paths, within):
-                if n:
-                    varying[path] = varying.get(path, 0) + n
+                    vote((host, 3, path[above[-2]] if d else 0, 0, 0), linked[n], size[n])
+                    total += size[n] - linked[n]
+                    for k in above[:-1]:
+                        within[k] += size[n] - linked[n]
+            varying: dict[int, tuple[int, int]] = {}
+            for n, p in enumerate(path):
+                if not hashed[n]:
+                    varying[p] = (varying.get(p, (0, 0))[0] + within[n], depth[n])
+                    if within[n]:
+                        vote((host, 4, nth[n], 0, depth[n]), within[n], 1)
             for p, n in times.items():
-                vote(host, 1, p, varying.get(p, 0), n)
-            vote(host, 2, "", 0, 1)
+                vote((host, 1, p, 0, varying[p][1]), varying[p][0], n)
+            vote((host, 2, 0, 0, 0), total, 1)
         keys = list(votes)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), *(pa.array([votes[k][i] for k in keys], pa.int64()) for i in range(3))], ["host", "kind", "key", "a", "b", "most"])
-
-
-def _find(root: Node, path: str) -> list[Node]:
-    """Elements at a path of labels."""
-    level = [root]
-    for label in path.split("/"):
-        level = [c for n in level for c in n.children if c.label == label and not c.junk]
-        if not level:
-            return []
-    return level
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], kind) for i, kind in enumerate(kinds)), *(pa.array([votes[k][i] for k in keys], pa.int64()) for i in range(3))], names)
 
 
 def _main_nodes(root: Node) -> list[Node]:
@@ -320,62 +398,98 @@ def _main_nodes(root: Node) -> list[Node]:
     return out or bodies or [root]
 
 
+def _on_the_way(root: Node, target: int, numbered: bool) -> tuple[set[int], set[int]]:
+    """Elements at a path (by labels or numbered), and those above them, by identity."""
+    at, over = set(), set()
+    todo: list[tuple[Node, int, int, tuple]] = [(*c, ()) for c in below(root, 0, 0)]
+    while todo:
+        n, path, nth, chain = todo.pop()
+        if n.text or n.junk:
+            continue
+        if (nth if numbered else path) == target:
+            at.add(id(n))
+            while chain:
+                over.add(chain[0])
+                chain = chain[1]
+            continue
+        chain = (id(n), chain)
+        todo += [(*c, chain) for c in below(n, path, nth)]
+    return at, over
+
+
 def extract(page: str | None, wrapper: str | None) -> str:
-    """A page's main text under a wrapper (JSON: content, template, constant, other)."""
+    """A page's main text under a wrapper (JSON: content or other, numbered, template, menus)."""
     root, w = parse(page), _loaded(wrapper)
-    content, template, constant = w.get("content") or "", w["template"], w["constant"]
-    own = bool(content and _find(root, content))
-    nodes = [root] if own else (_find(root, w["other"]) if w.get("other") else []) or _main_nodes(root)
+    template, menus = w["template"], w["menus"]
+    at, over = _on_the_way(root, w["content"], w.get("numbered", False)) if w.get("content") else (set(), set())
     out: list[str] = []
-    # With a content element the whole page is read: within the element less the template, outside less all constant text.
-    todo = [(n, "" if own else content, not own) for n in reversed(nodes)]
+    voted = bool(at)
+    if not voted:  # only the usual element's text, or that of the article, main or body
+        at = (_on_the_way(root, w["other"], w.get("numbered", False))[0] if w.get("other") else set()) or {id(n) for n in _main_nodes(root)}
+    # With a content element the whole page is read: within it less the template, outside less all constant text and menus.
+    todo = [(root, 0, id(root) in at)]
     while todo:
         n, path, inside = todo.pop()
         if n.junk:
             continue
         if n.text:
-            left_out = template if inside else constant
-            if not left_out or f"{path} {int.from_bytes(hashlib.blake2b(n.text.encode('utf-8', 'surrogatepass'), digest_size=7).digest(), 'little')}" not in left_out:
+            if inside:
+                keep = not voted or not template.get((step(path, "#"), text_hash(n.text)))
+            else:
+                keep = voted and path not in menus and (step(path, "#"), text_hash(n.text)) not in template
+            if keep:
                 out.append(n.text)
             continue
         for c in reversed(n.children):
-            at = f"{path}/{c.label}" if path else c.label
-            todo.append((c, at, inside or at == content or (c.main and content.startswith(at + "/"))))
+            todo.append((c, path if c.text else step(path, c.label), inside or id(c) in at or (c.main and id(c) in over)))
     return "\n\n".join(out)
 
 
 @functools.lru_cache(maxsize=2_000)
 def _loaded(wrapper: str | None) -> dict:
     w = json.loads(wrapper) if wrapper else {}
-    w["template"], w["constant"] = (frozenset(w.get(x) or ()) for x in ("template", "constant"))
+    w["template"] = {(path, text): sure for path, text, sure in w.get("template") or ()}  # sure: within the content element as well
+    w["menus"] = frozenset(w.get("menus") or ())
     return w
 
 
+@tidy
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [extract(x, w) for x, w in zip(b.column("html").to_pylist(), b.column("wrapper").to_pylist())]
+    for b in (part for whole in batches for part in slices(whole, 2)):
+        texts = [extract(x.as_py(), w) for x, w in zip(b.column("html"), b.column("wrapper").to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def induce(rows: DataFrame) -> DataFrame:
-    """(host, wrapper) of the hosts with enough different pages, from rows (host, page_id, html)."""
-    trees = common.stash(rows.select("host", "page_id", "html").filter("html is not null").mapInArrow(_trees, _TREE), "wrapper-trees")
-    tree = F.struct("depth", "label", "hash", "size")
-    trees = trees.dropDuplicates(["host", "digest"])  # copies of a page vote once
-    reference = trees.groupBy("host").agg(F.min_by(tree, F.struct("n", "digest")).alias("ref"), F.count("*").alias("different")).filter(F.col("different") >= LEAST_PAGES)
-    votes = trees.join(reference.select("host", "ref"), "host").mapInArrow(_align, "host string, kind int, key string, a long, b long, most long")
-    votes = common.stash(votes.groupBy("host", "kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("most").alias("most")), "wrapper-votes")
+    """(host, wrapper, content, numbered) of the hosts with enough different pages, from rows (host, page_id, html)."""
+    trees = rows.select("host", "page_id", "html").filter("html is not null").mapInArrow(_trees, _TREE)
+    trees = common.stash(trees.dropDuplicates(["host", "digest"]), "wrapper-trees")  # copies of a page vote once
+    # Large hosts (a thousand of them at most) are told by broadcast, and dealt over several tasks.
+    hosts = trees.groupBy("host").agg(F.count("*").alias("different"), F.percentile_approx("n", 0.5).alias("middle")).filter(F.col("different") >= LEAST_PAGES)
+    hosts = common.stash(hosts, "wrapper-hosts")
+    is_large = F.col("different") >= max(LARGE_HOST, trees.count() // 1_000)
+    large = F.broadcast(hosts.filter(is_large).select("host", "middle", F.lit(SALTS).alias("salts")))
+    # The reference: the page that has as many nodes as half of the host's pages have at most, or nearest to it.
+    sizes = trees.select("host", "n", "digest").join(large, "host", "left")
+    sizes = sizes.filter("salts is not null").drop("salts").unionByName(sizes.filter("salts is null").drop("salts", "middle").join(hosts.filter(~is_large).select("host", "middle"), "host"))
+    nearest = sizes.groupBy("host").agg(F.min(F.struct(F.abs(F.col("n") - F.col("middle")), "n", "digest")).alias("x")).select("host", "x.digest")
+    reference = trees.join(nearest, ["host", "digest"]).select("host", F.struct("depth", "label", "path", "hash").alias("ref"))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = trees.join(large, "host", "left").withColumn("salt", F.pmod("digest", salts))
+    copied = reference.join(large, "host", "left").select("host", "ref", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long"))).alias("salt"))
+    votes = dealt.join(copied, ["host", "salt"]).select("host", "depth", "label", "path", "nth", "hash", "size", "linked", "ref").mapInArrow(_align, _VOTES)
+    votes = common.stash(votes.groupBy("host", "kind", "key", "other").agg(F.max("depth").alias("depth"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("most").alias("most")), "wrapper-votes")
     pages = votes.filter("kind = 2").select("host", F.col("a").alias("varying"), F.col("b").alias("pages"))
-    # The deepest element, once a page, that holds nearly all varying text.
-    content = votes.filter("kind = 1 and most = 1").join(pages, "host").filter((F.col("a") >= HOLDS * F.col("varying")) & (F.col("varying") > 0))
-    content = content.groupBy("host").agg(F.max_by("key", F.struct(F.size(F.split("key", "/")), "a", "key")).alias("content"))
-    template = votes.filter("kind = 0").join(pages, "host").filter((F.col("b") >= SAME * F.col("pages")) & (F.col("a") >= SAME * F.col("b")) & (F.col("pages") >= SURE_PAGES))
-    template = template.select("host", F.expr("regexp_replace(key, '/#( [0-9]+)$', '/#$1')").alias("key")).groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("template"))
-    # Outside the content element a text is left out if it is the same in enough of the pages that have its node.
-    constant = votes.filter("kind = 0").join(content, "host").filter((F.col("a") >= SAME * F.col("b")) & (F.col("b") >= LEAST_PAGES) & ~F.expr("startswith(key, concat(content, '/'))"))
-    constant = constant.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("constant"))
-    wrappers = pages.join(content, "host", "left").join(template, "host", "left").join(constant, "host", "left")
-    return common.stash(wrappers.select("host", F.to_json(F.struct("content", "template", "constant")).alias("wrapper"), "content"), "wrappers")
+    # The deepest element that holds nearly all varying text: one that is there once a page by its labels, or one by its number among equals.
+    content = votes.filter("(kind = 1 and most = 1) or kind = 4").join(pages, "host").filter((F.col("a") >= HOLDS * F.col("varying")) & (F.col("varying") > 0))
+    content = content.groupBy("host").agg(F.max_by(F.struct(F.col("key").alias("content"), (F.col("kind") == 4).alias("numbered")), F.struct("depth", F.col("kind") == 1, "a", "key")).alias("x")).select("host", "x.*")
+    # A text is template if it is the same in nearly all pages that have its node; within the content only if these are nearly all of many pages.
+    sure = ((F.col("pages") >= SURE_PAGES) & (F.col("b") >= SAME * F.col("pages"))).cast("long")
+    template = votes.filter("kind = 0").join(pages, "host").filter((F.col("a") >= SAME * F.col("b")) & (F.col("b") >= LEAST_PAGES))
+    template = template.groupBy("host").agg(F.sort_array(F.collect_list(F.array("key", "other", sure))).alias("template"))
+    menus = votes.filter((F.col("kind") == 3) & (F.col("b") > 0) & (F.col("a") >= LINKED * F.col("b"))).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("menus"))
+    wrappers = pages.join(content, "host", "left").join(template, "host", "left").join(menus, "host", "left")
+    return common.stash(wrappers.select("host", F.to_json(F.struct("content", "numbered", "template", "menus")).alias("wrapper"), "content", "numbered"), "wrappers")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -389,9 +503,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     wrappers = induce(rows)
-    usual = wrappers.filter("content is not null").groupBy("content").count().orderBy(F.col("count").desc(), "content").limit(1).collect()
-    default = json.dumps({"other": usual[0][0]}) if usual else None
-    few = wrappers.count() <= BROADCAST_HOSTS
+    usual = wrappers.filter("content is not null").groupBy("content", "numbered").count().orderBy(F.col("count").desc(), "content").limit(1).collect()
+    default = json.dumps({"other": usual[0][0], "numbered": usual[0][1]}) if usual else None
+    few = (wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0) <= BROADCAST_BYTES
     known = wrappers.select("host", "wrapper").filter("content is not null")
     joined = rows.join(F.broadcast(known) if few else known, "host", "left").select("page_id", "url", "html", F.coalesce("wrapper", F.lit(default)).alias("wrapper"))
     return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

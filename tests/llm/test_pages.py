@@ -1,11 +1,13 @@
+import random
+
 import pytest
 
 from careflow.llm import wrapper as W
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- ad --><div class="ad">Buy!</div><div id="sidebar"><p>side</p></div><{main}><h1>Title {n}</h1><p><b>First &amp; best &eacute; {n}<br>
-next   line<p>Second {n}</p><form><input name=x>send</form><script>if (a<b) x();</script><ul><li>one {n}<li>two</ul><div class="comments"><p>reader says</p></div></{main}><footer>&copy; foot</footer></body></html>"""
-TEXT = "Title {n}\n\nFirst & best é {n} next line\n\nSecond {n}\n\none {n}\n\ntwo"
+next   line<p>Second {n}</p><form><input name=x>send</form><script>if (a<b) x();</script><ul><li>one {n}<li>two {n}</ul><div class="comments"><p>reader says</p></div></{main}><footer>&copy; foot</footer></body></html>"""
+TEXT = "Title {n}\n\nFirst & best é {n} next line\n\nSecond {n}\n\none {n}\n\ntwo {n}"
 
 
 @pytest.mark.parametrize("main", ["article", "main", "div"])
@@ -53,12 +55,90 @@ def test_varying_text_outside_the_largest_element_is_kept(spark, tag, pages):
     assert got == [f"title {i}\n\nlead {i}\n\n{body[i].strip()}\n\nseen {i * i + 3} times" for i in range(pages)]
 
 
-def test_nodes_behind_the_aligned_ones_vote_and_are_read(spark):
+def test_all_nodes_of_a_large_page_vote_and_are_read(spark):
     page = "<body><div>Shop</div><section>{a}</section><main>{b}</main><div>Imprint</div></body>"
-    a = ["<hr>".join(f"{i}-{k}" for k in range(W.ALIGNED)) for i in range(3)]
+    a = ["<hr>".join(f"{i}-{k}" for k in range(5_000)) for i in range(3)]
     b = [f"<p>second {i} part</p><p>its end {i}</p>" for i in range(3)]
     for i, got in enumerate(texts(spark, [page.format(a=x, b=y) for x, y in zip(a, b)])):
-        assert got == "\n\n".join([f"{i}-{k}" for k in range(W.ALIGNED)] + [f"second {i} part", f"its end {i}"])
+        assert got == "\n\n".join([f"{i}-{k}" for k in range(5_000)] + [f"second {i} part", f"its end {i}"])
+
+
+def test_constant_text_within_the_content_needs_many_pages(spark):
+    page = "<body><div>Shop</div><section><p>{i} story</p><p>Read on</p><p>{i} end</p></section></body>"
+    assert texts(spark, [page.format(i=f"{i} " * 9) for i in range(12)])[1] == f"{'1 ' * 9}story".replace("  ", " ") + "\n\n" + f"{'1 ' * 9}end"
+    assert "Read on" in texts(spark, [page.format(i=f"{i} " * 9) for i in range(5)])[1]
+
+
+#: Layouts in which no element, role or name says what is what; {m}: a menu with other entries on each page.
+LAYOUTS = [
+    "<div><p>Brand {host}</p><div>{m}</div></div><div><div>{c}</div><div><p>Old side</p></div></div><div><p>Imprint {host}</p></div>",
+    "<table><tr><td>{m}</td><td>{c}</td></tr><tr><td>Imprint {host}</td></tr></table>",
+    "<div class='x1'><div class='x2'>Brand {host}</div><ul class='x3'>{m}</ul></div><div class='x4'><section>{c}</section></div><p>Imprint {host}</p><p>All rights</p>",
+    "<center><div>{m}</div></center><div><div><div>{c}</div></div></div><dl><dt>Imprint</dt><dd>{host}</dd></dl>",
+]
+
+
+@pytest.mark.parametrize("errors", [0, 2])
+def test_votes_decide_on_many_hosts_and_layouts(spark, errors):
+    rows, want = [], {}
+    for h in range(12):
+        for k in range(12):
+            n = len(rows)
+            menu = "".join(f"<li><a href='/{n}{j}'>entry {n * j} of many</a></li>" for j in range(5))
+            parts = [f"Heading {n}"] + [f"Paragraph {j} of page {n} with some words in it, {n * j}" for j in range(1 + (n * 7) % 9)]
+            rows.append((n, f"http://host{h}.example.net/{k}", "<html><body>" + LAYOUTS[h % 4].format(host=h, m=menu, c=f"<h2>{parts[0]}</h2>" + "".join(f"<p>{p}</p>" for p in parts[1:])) + "</body></html>"))
+            want[n] = "\n\n".join(parts)
+        rows += [(10_000 + 10 * h + e, f"http://host{h}.example.net/error{e}", f"<body><p>Error {e}</p></body>" if e else "<p></p>") for e in range(errors)]
+    got = {r["page_id"]: r["text"] for r in W.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert {n: got[n] for n in want} == want
+
+
+def test_deep_pages_and_a_large_host(spark, monkeypatch):
+    monkeypatch.setattr(W, "LARGE_HOST", 5)
+    page = "<body><div>Shop</div>{deep}<p>text {i}</p><p>more {i}</p>{shut}<div>Imprint</div></body>"
+    for got, i in zip(texts(spark, [page.format(deep="<div>" * (1_500 + i), shut="</div>" * (1_500 + i), i=i) for i in range(8)]), range(8)):
+        assert got == f"text {i}\n\nmore {i}"
+
+
+def plain_match(a, b):
+    """Size of the largest match by the textbook recursion."""
+    trees = []
+    for depth, label in (a, b):
+        nodes = [[x, []] for x in label]
+        path = []
+        top = []
+        for d, n in zip(depth, nodes):
+            del path[d:]
+            (path[-1][1] if path else top).append(n)
+            path.append(n)
+        trees.append(top)
+
+    def lists(x, y):
+        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                g = 1 + lists(p[1], q[1]) if p[0] == q[0] else 0
+                t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + g)
+        return t[-1][-1]
+
+    return lists(*trees)
+
+
+def test_matching_equals_the_textbook():
+    rng = random.Random(5)
+    for _ in range(300):
+        both = []
+        for _ in range(2):
+            depth, label = [], []
+            for _ in range(rng.randint(0, 14)):
+                depth.append(rng.randint(0, depth[-1] + 1) if depth else 0)
+                label.append(rng.choice("ab#"))
+            both.append((depth, label))
+        pairs = W.match(*both)
+        assert len(pairs) == plain_match(*both)
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) and all(both[0][1][i] == both[1][1][j] for i, j in pairs)
+        up = lambda depth, i: next((k for k in range(i - 1, -1, -1) if depth[k] < depth[i]), None)
+        assert all((up(both[0][0], i), up(both[1][0], j)) in {*pairs, (None, None)} for i, j in pairs)
 
 
 def test_matching_is_the_largest_in_order():
