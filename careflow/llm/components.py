@@ -6,7 +6,7 @@ with the logarithm of the longest path. Rounds are joins and aggregations on tab
 nothing is collected but two sums, by which a round without change is told.
 
 The centre of a star may have most of the links. Centres with a thousandth of all links or more
-(there can't be more than two thousand) get their least neighbour by broadcast, so their links stay where they
+(a few thousand at most) get their least neighbour by broadcast, so their links stay where they
 are; all others meet theirs in a shuffle.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import stash
 
 #: A node with fewer links than this is never a centre that is treated apart.
-CENTRE = 1_000
+CENTRE = 256
 
 
 def _mark(links: DataFrame) -> tuple:

@@ -33,8 +33,8 @@ ROWS, BLOCK = 6, 256
 MISS = 2e-6
 #: Standard deviations by which a sketch may underrate a pair that is compared exactly.
 DOUBT = 4.75
-#: Up to so many ids (8 bytes each) are broadcast to fetch the clusters' texts; beyond, both sides are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Up to so many ids (some 130 bytes each in a join's table) are broadcast to fetch the clusters' texts; beyond, both sides are shuffled.
+BROADCAST_IDS = 250_000
 
 
 def plan(percent: int) -> tuple[int, float]:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -186,10 +186,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.filter(F.length("text") <= LONGEST).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # at most sum(SAMPLE) ids
     texts = common.stash(texts, "toxicity-sample")
-    sizes = texts.select("doc_id", "toxic", F.length("text").alias("n"))
-    sizes = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("n"))  # at most SAMPLE rows a class
-    within = sizes.filter(F.when(F.col("toxic") == 1, F.col("before") <= CHARS[1]).otherwise(F.col("before") <= CHARS[0])).select("doc_id")
-    sample = texts.join(F.broadcast(within), "doc_id", "left_semi").select("text", "toxic")
+    sizes = texts.select("doc_id", "toxic", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h")).toArrow().to_pydict()  # at most sum(SAMPLE) rows
+    used, over = [0, 0], []
+    for _, doc_id, k, n in sorted(zip(sizes["h"], sizes["doc_id"], sizes["toxic"], sizes["n"])):
+        if used[k] > CHARS[k]:
+            over.append(doc_id)
+        used[k] += n
+    sample = texts.select("doc_id", "text", "toxic")
+    if over:
+        sample = sample.join(F.broadcast(spark.createDataFrame([(x,) for x in over], "doc_id long")), "doc_id", "left_anti")
+    sample = sample.select("text", "toxic")
 
     counts = sample.mapInArrow(_count_documents, "word long, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     after = sample.mapInArrow(_pairs, "word long, before long").distinct().groupBy("word").agg(F.count("*").alias("continued"))
