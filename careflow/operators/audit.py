@@ -58,7 +58,7 @@ def json_lines(events: DataFrame) -> DataFrame:
     """One column, line: an event as JSON with sorted keys, non-ASCII text as it is, a blank after each comma and colon.
 
     Events without extras are built from built-in functions only. Extras have any keys and
-    types, which no built-in function can merge and print byte for byte; only such events go through Arrow.
+    types, which no built-in function can merge and print byte for byte; only events that have some go through Arrow.
     """
     parts = [
         ('{"human_review": ', json_boolean(F.col("human_review"))),
@@ -72,4 +72,5 @@ def json_lines(events: DataFrame) -> DataFrame:
     line = F.concat(*(x for k, v in parts for x in (F.lit(k), v)), F.lit("}"))
     if "extra" not in events.columns:
         return events.select(line.alias("line"))
-    return events.select(_merged(line, F.col("extra")).alias("line"))
+    plain = events.filter("extra is null").select(line.alias("line"))
+    return plain.unionByName(events.filter("extra is not null").select(_merged(line, F.col("extra")).alias("line")))

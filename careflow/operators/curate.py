@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careflow.functions.identity import split_of
 from careflow.functions.text import mask, standard
 
-#: Passages up to so many are broadcast and searched for in each text; more are first matched by word runs.
-BROADCAST_PASSAGES = 10_000
-#: Words of the run by which many passages are matched.
-RUN = 5
+#: Words of the longest run by which documents and passages meet, and characters of a short passage's beginning.
+RUN, HEAD = 5, 3
 
 
 def dedup_exact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -45,25 +43,37 @@ def overlap(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return same.filter("split = 'test'").join(train, "_t", "left_semi").select(key)
 
 
+def _grams(d: DataFrame, key: str, run: int) -> DataFrame:
+    """(key, _h): hashes of a document's different runs of ``run`` words, or of -``run`` characters."""
+    if run > 0:
+        d, n = d.withColumn("_w", F.split("_d", " ")), F.size("_w")
+        part = lambda i: F.array_join(F.slice("_w", i, run), " ")
+    else:
+        n = F.length("_d")
+        part = lambda i: F.substring("_d", i, F.lit(-run))
+    runs = F.transform(F.sequence(F.lit(1), n - abs(run) + 1), lambda i: F.xxhash64(part(i)))
+    return d.filter(n >= abs(run)).select(key, F.explode(F.array_distinct(runs)).alias("_h"))
+
+
 def leaks(docs: DataFrame, passages: DataFrame, key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """(key, item) wherever a document contains a whole passage.
+    """(key, item) wherever a document contains a whole passage; null and empty passages are in none.
 
-    A few passages (checked) are broadcast. For many, documents and passages first meet by an
-    inner run of ``RUN`` words; only passages too short to have one are searched for directly.
+    Documents and passages first meet by an equi-join on a run of words from within the passage (``RUN``, or as many
+    as it has; its first and last word may be parts of others in the document), passages of one
+    or two words on their first ``HEAD`` characters; then the whole passage is looked for.
     """
-    d, p = docs.select(key, F.col("text").alias("_d")), passages.select(item, F.col("text").alias("_p")).filter("_p <> ''")
-    if p.count() <= BROADCAST_PASSAGES:
-        return d.join(F.broadcast(p), F.contains("_d", F.col("_p"))).select(key, item)
-    words = lambda c: F.split(c, " ")
-    run: Column = F.array_join(F.slice(words(F.col("_p")), 2, RUN), " ")
-    p = p.withColumn("_n", F.size(words(F.col("_p"))))
-    anchors = p.filter(F.col("_n") >= RUN + 2).select(item, "_p", F.xxhash64(run).alias("_h"))
-    grams = d.select(key, "_d", words(F.col("_d")).alias("_w")).filter(F.size("_w") >= RUN)
-    grams = grams.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - RUN + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, RUN), " "))))).alias("_h"))
-    met = grams.join(anchors.select(item, "_h"), "_h").select(key, item).distinct()
-    found = met.join(d, key).join(p.select(item, "_p"), item).filter(F.contains("_d", F.col("_p"))).select(key, item)
-    short = p.filter(F.col("_n") < RUN + 2).select(item, "_p")
-    return found.unionByName(d.join(short, F.contains("_d", F.col("_p"))).select(key, item))
+    d, p = docs.select(key, F.col("text").alias("_d")).filter("_d <> ''"), passages.select(item, F.col("text").alias("_p")).filter("_p <> ''")
+    inner = F.size(F.split("_p", " ")) - 2
+    p = p.withColumn("_run", F.when(inner > 0, F.least(inner, F.lit(RUN))).otherwise(-F.least(F.length("_p"), F.lit(HEAD))))
+    part = F.when(F.col("_run") > 0, F.array_join(F.slice(F.split("_p", " "), F.lit(2), F.greatest("_run", F.lit(1))), " ")).otherwise(F.substring("_p", F.lit(1), F.abs("_run")))
+    anchors = p.select(item, "_run", F.xxhash64(part).alias("_h"))
+    met = None
+    for (run,) in sorted(map(tuple, anchors.select("_run").distinct().collect())):  # at most RUN + HEAD rows
+        found = _grams(d, key, run).join(anchors.filter(F.col("_run") == run).select(item, "_h"), "_h").select(key, item)
+        met = found if met is None else met.unionByName(found)
+    if met is None:
+        return d.join(p, F.lit(False)).select(key, item)
+    return met.distinct().join(d, key).join(p.select(item, "_p"), item).filter(F.contains("_d", F.col("_p"))).select(key, item)
 
 
 def chat_rows(turns: DataFrame) -> DataFrame:

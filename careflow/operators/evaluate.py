@@ -10,10 +10,29 @@ def mean(x: Column) -> Column:
     return F.round(F.avg(x.cast("double")), 6)
 
 
-def retrieval(ranked: DataFrame, relevant: Column, k: int = 5) -> DataFrame:
-    """hit_at_k, recall_at_k (share of the k places that are relevant) and mrr over the queries of (query_id, rank, ...)."""
-    by = ranked.groupBy("query_id").agg(F.min(F.when(relevant & (F.col("rank") <= k), F.col("rank"))).alias("first"), F.avg(F.when(F.col("rank") <= k, relevant.cast("double"))).alias("share"))
-    return by.agg(F.count("*").alias("n_queries"), mean(F.col("first").isNotNull().cast("int")).alias("hit_at_k"), mean(F.col("share")).alias("precision_at_k"), mean(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
+def retrieval(ranked: DataFrame, relevant: Column, totals: DataFrame, k: int = 5) -> DataFrame:
+    """hit_at_k, precision_at_k, recall_at_k and mrr over the queries of (query_id, rank, ...).
+
+    ``totals`` has each query's number of relevant items (query_id, n_relevant), found or not; recall is the share of
+    these among the first k, and 0 for a query without any.
+    """
+    hit = relevant & (F.col("rank") <= k)
+    by = ranked.groupBy("query_id").agg(F.min(F.when(hit, F.col("rank"))).alias("first"), F.count(F.when(hit, 1)).alias("hits"), F.avg(F.when(F.col("rank") <= k, relevant.cast("double"))).alias("share"))
+    by = by.join(totals, "query_id", "left").withColumn("recall", F.when(F.col("n_relevant") > 0, F.col("hits") / F.col("n_relevant")).otherwise(0.0))
+    return by.agg(F.count("*").alias("n_queries"), mean(F.col("first").isNotNull().cast("int")).alias("hit_at_k"), mean(F.col("share")).alias("precision_at_k"), mean(F.col("recall")).alias("recall_at_k"), mean(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
+
+
+def correct_source(answers: DataFrame, expected: DataFrame, key: str = "trace_id") -> DataFrame:
+    """Share of answers (key, sources) that name the expected source (key, source); answers without an expected one aren't counted."""
+    named = F.coalesce(F.array_contains("sources", F.col("source")), F.lit(False))
+    return answers.join(expected.select(key, "source"), key).agg(F.count("*").alias("n"), mean(named.cast("int")).alias("correct_source"))
+
+
+def groundedness(answers: DataFrame, judgments: DataFrame, by: str, key: str = "trace_id", score: str = "score", enough: float = 1.0) -> DataFrame:
+    """By group: answers, judged ones, mean rubric score, and share of judged answers that reach ``enough``."""
+    marks = judgments.groupBy(key).agg(F.avg(F.col(score).cast("double")).alias("_s"))  # several judges of one answer
+    both = answers.select(key, by).join(marks, key, "left").groupBy(by)
+    return both.agg(F.count("*").alias("n"), F.count("_s").alias("n_judged"), mean(F.col("_s")).alias("score"), mean((F.col("_s") >= enough).cast("int")).alias("grounded"))
 
 
 def routing(df: DataFrame, expected: Column, got: Column) -> DataFrame:

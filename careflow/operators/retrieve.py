@@ -23,51 +23,88 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def embed(df: DataFrame, dims: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, embedding): hashed TF-IDF of unit length, an array of ``dims`` doubles; all 0 for a text without words.
+
+    A word's place is a hash of it, so no vocabulary is kept; document frequencies are of places,
+    ``dims`` numbers. Rows of a key are counted together.
+    """
+    words = F.explode(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    places = df.select(key, words.alias("_w")).select(key, F.pmod(F.conv(F.substring(F.md5("_w"), 1, 6), 16, 10).cast("long"), F.lit(dims)).alias("_p"))
+    counts = places.groupBy(key, "_p").agg(F.count("*").alias("_n"))
+    keys = df.select(key).distinct()
+    known = counts.groupBy("_p").agg(F.count("*").alias("_df"))  # at most dims rows
+    weight = F.col("_n") * (F.log((1.0 + keys.count()) / (1.0 + F.col("_df"))) + 1.0)
+    entries = counts.join(F.broadcast(known), "_p").select(key, "_p", weight.alias("_x")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_p", "_x"))).alias("_m"), F.sqrt(F.sum(F.col("_x") ** 2)).alias("_l"))
+    values = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), lambda i: F.coalesce(F.element_at("_m", i) / F.col("_l"), F.lit(0.0)))
+    return keys.join(entries, key, "left").select(key, values.alias("embedding"))
+
+
+def _whole(vector: Column) -> Column:
+    """Whether a vector may be compared: not null, not empty, without null or non-finite components."""
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~odd, F.lit(False))
+
+
 def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, neighbour, score): the k vectors with the largest dot product, ties by id; a query is not its own neighbour.
 
     Every batch of vectors keeps its best k for each query, so what is shuffled is k rows a query
     and batch, never all pairs. Scores are rounded to 9 digits before ranking, so that summation
-    order can't decide a tie.
+    order can't decide a tie. Null and empty vectors and those with null or non-finite components neither ask
+    nor are found; a query only meets vectors of its own length.
     """
     return _best_of(queries, vectors, k, key, vector)
 
 
-def _best_of(queries: DataFrame, vectors: DataFrame, k: int, key: str, vector: str, codes=None) -> DataFrame:
-    """``topk`` of the vectors that share one of a query's ``codes`` (a function of vectors; None: of all)."""
+def _first(own: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k highest scores, ties by id; only what reaches the k-th score is sorted."""
+    m = min(k, score.shape[1])
+    least = -np.partition(-score, m - 1, axis=1)[:, m - 1 : m]
+    rows, cols = np.nonzero((score >= least) & (score > -np.inf))
+    order = np.lexsort((own[cols], -score[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < m], cols[place < m]
+
+
+def _best_of(queries: DataFrame, vectors: DataFrame, k: int, key: str, vector: str, codes_for=None) -> DataFrame:
+    """``topk`` of the vectors that share one of a query's codes (``codes_for``: from a length to a function of vectors; None: of all)."""
     spark = vectors.sparkSession
-    q = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    n = q.count()
-    blocks = max(1, -(-n // BROADCAST_QUERIES))
-    parts = [q] if blocks == 1 else [q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i) for i in range(blocks)]
+    q = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v")).filter(_whole(F.col("v")))
+    all_ = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(_whole(F.col("v")))
     out = None
-    for part in parts:
-        found = part.toArrow()  # at most about BROADCAST_QUERIES rows
-        ids, matrix = found.column("q").to_numpy(), np.array(found.column("v").to_pylist(), dtype=float).reshape(len(found), -1)
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def best(batches, sent=sent):
-            ids, matrix = sent.value
-            asked = codes(matrix) if codes and len(ids) else None
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                own, rows = pdf["id"].to_numpy(), np.array(pdf["v"].tolist(), dtype=float)
-                coded = codes(rows) if codes else None
-                for low in range(0, len(ids), 256):
-                    score = np.round(matrix[low : low + 256] @ rows.T, 9)
-                    score[ids[low : low + 256, None] == own[None, :]] = -np.inf
-                    if codes:
-                        met = np.zeros(score.shape, bool)
-                        for a, b in zip(asked[low : low + 256].T, coded.T):
-                            met |= a[:, None] == b[None, :]
-                        score[~met] = -np.inf
-                    m = min(k, score.shape[1])
-                    order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :m]
-                    yield pd.DataFrame({"query_id": np.repeat(ids[low : low + 256], m), "neighbour": own[order].reshape(-1), "score": np.take_along_axis(score, order, 1).reshape(-1)}).query("score > -inf")
-
-        near = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(best, "query_id long, neighbour long, score double")
-        out = near if out is None else out.unionByName(near)
+    for size, n in sorted(map(tuple, q.groupBy(F.size("v")).count().collect())):  # a row for each length
+        codes = codes_for(size) if codes_for else None
+        blocks = max(1, -(-n // BROADCAST_QUERIES))
+        for i in range(blocks):
+            part = q.filter((F.size("v") == size) & (F.pmod(F.xxhash64("q"), F.lit(blocks)) == i))
+            found = part.toArrow()  # at most about BROADCAST_QUERIES rows
+            sent = spark.sparkContext.broadcast((found.column("q").to_numpy(), np.array(found.column("v").to_pylist(), dtype=float).reshape(len(found), -1)))
+
+            def best(batches, sent=sent, codes=codes):
+                ids, matrix = sent.value
+                asked = codes(matrix) if codes and len(ids) else None
+                for pdf in batches:
+                    if not len(pdf) or not len(ids):
+                        continue
+                    own, rows = pdf["id"].to_numpy(), np.array(pdf["v"].tolist(), dtype=float)
+                    coded = codes(rows) if codes else None
+                    for low in range(0, len(ids), 256):
+                        score = np.round(matrix[low : low + 256] @ rows.T, 9)
+                        score[ids[low : low + 256, None] == own[None, :]] = -np.inf
+                        if codes:
+                            met = np.zeros(score.shape, bool)
+                            for a, b in zip(asked[low : low + 256].T, coded.T):
+                                met |= a[:, None] == b[None, :]
+                            score[~met] = -np.inf
+                        r, c = _first(own, score, k)
+                        yield pd.DataFrame({"query_id": ids[low + r], "neighbour": own[c], "score": score[r, c]})
+
+            near = all_.filter(F.size("v") == size).mapInPandas(best, "query_id long, neighbour long, score double")
+            out = near if out is None else out.unionByName(near)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, neighbour long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "neighbour")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbour", "score")
 
@@ -79,14 +116,17 @@ def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, planes:
     pairs that share a code are never moved. The defaults find 0.9 or more of the true five
     neighbours where these have cosines of about 0.3, at the price of ranking three quarters of all pairs.
     """
-    first = vectors.filter(F.col(vector).isNotNull()).select(F.size(vector)).first()
-    normals = np.random.default_rng(seed).normal(size=(max(1, first[0] if first else 1), tables * planes))
 
-    def codes(rows):
-        bits = (rows @ normals >= 0).reshape(len(rows), tables, planes)
-        return bits @ (1 << np.arange(planes))
+    def codes_for(size: int):
+        normals = np.random.default_rng(seed).normal(size=(size, tables * planes))
+
+        def codes(rows):
+            bits = (rows @ normals >= 0).reshape(len(rows), tables, planes)
+            return bits @ (1 << np.arange(planes))
+
+        return codes
 
-    return _best_of(queries, vectors, k, key, vector, codes)
+    return _best_of(queries, vectors, k, key, vector, codes_for)
 
 
 def mmr(queries: DataFrame, vectors: DataFrame, k: int = 5, pool: int = 20, weight: float = 0.5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

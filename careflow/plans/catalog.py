@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from careflow.functions.identity import bucket, pseudonymize, split_of
 from careflow.functions.text import MARKERS
 from careflow.operators import audit, curate, evaluate, flow, records, retrieve, safety
+from careflow.sources import tables
 from careflow.sources.tables import table
 
 QUERIES: dict = {}
@@ -200,10 +201,22 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.approximate_topk(_asked(vectors), vectors)
 
 
-@query()
+def _mmr_sql(picks: int = 5, pool: int = 20) -> str:
+    """The greedy picks one after the other, each a query over the pool and what was taken before."""
+    parts = [_NEAR.replace("rank <= 5)", f"rank <= {pool})"), """u AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
+    alike AS (SELECT a.query_id, a.neighbour AS n1, b.neighbour AS n2, list_inner_product(x.e, y.e) / (x.l * y.l) AS s FROM near a JOIN near b ON a.query_id = b.query_id JOIN u x ON x.vec_id = a.neighbour JOIN u y ON y.vec_id = b.neighbour)""",
+    "t1 AS (SELECT query_id, 1 AS rank, neighbour, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(0.5 * score, 9) DESC, neighbour) AS r FROM (SELECT query_id, neighbour, score FROM near)) WHERE r = 1)"]
+    for k in range(2, picks + 1):
+        parts.append(f"""t{k} AS (SELECT * FROM t{k - 1} UNION ALL SELECT query_id, {k} AS rank, neighbour, score FROM (SELECT n.query_id, n.neighbour, n.score, row_number() OVER (PARTITION BY n.query_id ORDER BY round(0.5 * n.score - 0.5 * x.m, 9) DESC, n.neighbour) AS r
+            FROM near n JOIN (SELECT a.query_id, a.n1, max(a.s) AS m FROM alike a JOIN t{k - 1} t ON t.query_id = a.query_id AND t.neighbour = a.n2 GROUP BY ALL) x ON x.query_id = n.query_id AND x.n1 = n.neighbour
+            WHERE NOT EXISTS (SELECT 1 FROM t{k - 1} t WHERE t.query_id = n.query_id AND t.neighbour = n.neighbour)) WHERE r = 1)""")
+    return f"WITH {', '.join(parts)} SELECT query_id, rank::INT AS rank, neighbour, round(score, 6) AS score FROM t{picks}"
+
+
+@query(_mmr_sql())
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return retrieve.mmr(_asked(vectors), vectors)
+    return retrieve.mmr(_asked(vectors), vectors).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -229,11 +242,45 @@ def source_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_NEAR}, r AS (SELECT query_id, rank, a.label = b.label AS ok FROM near JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = neighbour),
-    q AS (SELECT query_id, min(CASE WHEN ok THEN rank END) AS first, avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM r GROUP BY query_id)
-    SELECT count(*) AS n_queries, round(avg((first IS NOT NULL)::INT::DOUBLE), 6) AS hit_at_k, round(avg(share), 6) AS precision_at_k, round(avg(coalesce(1.0::DOUBLE / first, 0.0::DOUBLE)), 6) AS mrr FROM q"""
+    q AS (SELECT query_id, min(CASE WHEN ok THEN rank END) AS first, avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share, count(*) FILTER (WHERE ok) AS hits FROM r GROUP BY query_id),
+    t AS (SELECT a.vec_id AS query_id, count(b.vec_id) AS n_relevant FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1)
+    SELECT count(*) AS n_queries, round(avg((first IS NOT NULL)::INT::DOUBLE), 6) AS hit_at_k, round(avg(share), 6) AS precision_at_k,
+    round(avg(CASE WHEN n_relevant > 0 THEN hits::DOUBLE / n_relevant ELSE 0.0::DOUBLE END), 6) AS recall_at_k, round(avg(coalesce(1.0::DOUBLE / first, 0.0::DOUBLE)), 6) AS mrr FROM q JOIN t USING (query_id)"""
 )
 def hit_at_k_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.retrieval(_with_labels(spark, sf_dir), F.col("query_label") == F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings")
+    sizes = vectors.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))  # a query isn't relevant to itself
+    totals = _asked(vectors).select(F.col("vec_id").alias("query_id"), "label").join(sizes, "label").select("query_id", "n_relevant")
+    return evaluate.retrieval(_with_labels(spark, sf_dir), F.col("query_label") == F.col("label"), totals)
+
+
+@query(
+    f"""WITH {_NEAR}, s AS (SELECT query_id, list(neighbour) AS sources FROM near GROUP BY query_id), e AS (SELECT a.vec_id AS query_id, min(b.vec_id) AS source FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1)
+    SELECT count(*) AS n, round(avg(list_contains(sources, source)::INT::DOUBLE), 6) AS correct_source FROM s JOIN e USING (query_id)"""
+)
+def correct_source_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expected source of a query is the first vector of its label (the second one for the first itself)."""
+    vectors = table(spark, sf_dir, "embeddings")
+    two = vectors.groupBy("label").agg(F.min("vec_id").alias("one")).join(vectors, "label").filter("vec_id <> one").groupBy("label", "one").agg(F.min("vec_id").alias("two"))
+    expected = vectors.join(two, "label").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("source"))
+    return evaluate.correct_source(retrieve.sources(_nearest(spark, sf_dir)), expected, "query_id")
+
+
+@query("SELECT lang, count(*) AS n, count(quality) AS n_judged, round(avg(quality::DOUBLE), 6) AS score, round(avg((quality >= 1)::INT::DOUBLE), 6) AS grounded FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of quality stand in for judgments of answers."""
+    return evaluate.groundedness(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "lang", "doc_id", "quality")
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents), c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 6))::BIGINT % 64 AS place, count(*) AS n FROM w GROUP BY ALL),
+    f AS (SELECT place, count(*) AS df FROM c GROUP BY place), x AS (SELECT doc_id, place, n * (ln((1.0::DOUBLE + (SELECT count(DISTINCT doc_id) FROM documents)) / (1.0::DOUBLE + df)) + 1.0) AS x FROM c JOIN f USING (place))
+    SELECT doc_id, place::INT AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM x"""
+)
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of each document's embedding that aren't 0."""
+    found = retrieve.embed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.posexplode("embedding").alias("place", "weight")).filter("weight <> 0").withColumn("weight", F.round("weight", 6))
 
 
 # --- records ----------------------------------------------------------------------------------
@@ -302,21 +349,87 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.concat(F.lit("t-"), F.col("k").cast("string")).alias("trace_id"), F.col("text").alias("question"), F.when(F.col("k") % 3 != 0, F.when(F.col("k") % 5 == 0, "unknown").otherwise((F.col("k") % 100 + 1).cast("string"))).alias("patient_id"), "conv_id")
 
 
-@query(
-    f"""WITH t AS (SELECT conv_id * 100 + turn AS k, conv_id, {_RULE.format(k='(conv_id * 100 + turn)')} AS text FROM conversations WHERE role = 'user'),
+_FLOW = f"""WITH t AS (SELECT conv_id * 100 + turn AS k, conv_id, {_RULE.format(k='(conv_id * 100 + turn)')} AS text FROM conversations WHERE role = 'user'),
     r AS (SELECT *, {_FOLD.format(t='text')} AS n, CASE WHEN k % 3 <> 0 THEN CASE WHEN k % 5 = 0 THEN 'unknown' ELSE CAST(k % 100 + 1 AS VARCHAR) END END AS pid FROM t),
     c AS (SELECT r.*, p.c_mktsegment AS ctx, d.doc_id AS src FROM r LEFT JOIN customer p ON CAST(p.c_custkey AS VARCHAR) = pid LEFT JOIN documents d ON d.doc_id = r.conv_id AND r.k % 2 = 0),
     s AS (SELECT *, {_DECISION} AS safety_status, coalesce(trim(text) <> '', false) AS valid FROM c),
     v AS (SELECT *, CASE WHEN src IS NULL AND ctx IS NULL THEN 'no_context' WHEN src IS NULL THEN 'no_protocol' ELSE 'none' END AS fallback FROM s),
-    w AS (SELECT *, safety_status IS DISTINCT FROM 'allow' OR NOT valid OR fallback = 'no_context' AS review FROM v)
+    w AS (SELECT *, safety_status IS DISTINCT FROM 'allow' OR NOT valid OR fallback = 'no_context' AS review FROM v)"""
+
+
+@query(
+    f"""{_FLOW}
     SELECT 't-' || k AS trace_id, CASE WHEN NOT valid THEN 'invalid' WHEN pid IS NOT NULL THEN 'clinical_question' ELSE 'protocol_question' END AS route, safety_status, fallback, review AS requires_human_review,
     CASE WHEN review THEN 'pending' ELSE 'not_needed' END AS verdict, CASE WHEN NOT review THEN 'Sources: ' || coalesce('doc-' || src, '') END AS response,
     'validate_input>classify_request' || CASE WHEN ctx IS NOT NULL THEN '>retrieve_patient' ELSE '' END || CASE WHEN src IS NOT NULL THEN '>retrieve_protocol' ELSE '' END || '>build_context>generate_answer>validate_answer' || CASE WHEN review THEN '>human_review' ELSE '' END || '>format_response' AS steps FROM w"""
 )
 def flow_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _flow(spark, sf_dir)
+    return done.select("trace_id", "route", "safety_status", "fallback", "requires_human_review", "verdict", "response", F.array_join("processing_steps", ">").alias("steps"))
+
+
+def _flow(spark: SparkSession, sf_dir: str, verdicts: DataFrame | None = None) -> DataFrame:
     asked = requests(spark, sf_dir)
     patients = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("patient_id"), F.col("c_mktsegment").alias("patient_context"))
     docs = table(spark, sf_dir, "documents").select("doc_id")
     protocols = asked.filter("try_cast(substring(trace_id, 3) as long) % 2 = 0").join(docs, F.col("conv_id") == docs["doc_id"]).select("trace_id", F.array(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("sources"))
-    done = flow.run(asked.drop("conv_id"), patients, protocols)
-    return done.select("trace_id", "route", "safety_status", "fallback", "requires_human_review", "verdict", "response", F.array_join("processing_steps", ">").alias("steps"))
+    return flow.run(asked.drop("conv_id"), patients, protocols, verdicts)
+
+
+@query(f"{_FLOW} SELECT 't-' || k AS trace_id, CASE WHEN NOT review THEN 'not_needed' WHEN k % 4 = 0 THEN 'approved' WHEN k % 4 = 1 THEN 'rejected' ELSE 'pending' END AS verdict, CASE WHEN NOT review OR k % 4 = 0 THEN CASE WHEN valid AND fallback <> 'no_context' THEN 'Sources: ' || coalesce('doc-' || src, '') END END AS response FROM w")
+def flow_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews that came in for half of the requests."""
+    k = F.expr("try_cast(substring(trace_id, 3) as long)") % 4
+    verdicts = requests(spark, sf_dir).filter(k <= 1).select("trace_id", F.when(k == 0, "approved").otherwise("rejected").alias("verdict"))
+    return _flow(spark, sf_dir, verdicts).select("trace_id", "verdict", "response")
+
+
+@query(
+    f"""{_FLOW} SELECT 't-' || k AS trace_id, CASE WHEN NOT valid THEN 'invalid' WHEN pid IS NOT NULL THEN 'clinical_question' ELSE 'protocol_question' END AS route, substr(sha256(pid), 1, 16) AS patient_id_hash,
+    coalesce('doc-' || src, '') AS sources, safety_status, review AS human_review FROM w"""
+)
+def flow_audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events at the end of the flow, but for their time."""
+    return flow.audit_log(_flow(spark, sf_dir)).withColumn("sources", F.array_join("sources", "|")).drop("timestamp")
+
+
+@query(f"{_FLOW} SELECT 't-' || k AS trace_id, unnest(list_concat(CASE WHEN ctx IS NULL THEN ['retrieve_patient'] ELSE [] END, CASE WHEN src IS NULL THEN ['retrieve_protocol'] ELSE [] END)) AS missing FROM w")
+def path_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that a request's way lacks."""
+    return evaluate.missing_steps(_flow(spark, sf_dir), ["validate_input", "retrieve_patient", "retrieve_protocol", "build_context", "format_response"])
+
+
+# --- readers and writers ----------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as CSV and read back by an explicit schema."""
+    rows, path = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), tables.scratch(spark, "records")
+    rows.write.option("header", "true").csv(path)
+    return tables.records(spark, path, rows.schema)
+
+
+@query("SELECT item_id, sha256(text || chr(10)) AS text_hash FROM benchmark")
+def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages written as a text file each, and loaded as whole documents."""
+    path = tables.scratch(spark, "passages")
+    table(spark, sf_dir, "benchmark").select("text", F.col("item_id").alias("item")).write.partitionBy("item").text(path)
+    found = tables.documents(spark, f"{path}/item=*")
+    return found.select(F.regexp_extract("origin", "item=([0-9]+)", 1).cast("long").alias("item_id"), F.sha2("text", 256).alias("text_hash"))
+
+
+@query(ORACLE["routing_accuracy"])
+def metric_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics written as CSV and read back."""
+    path, metrics = tables.scratch(spark, "metrics"), routing_accuracy(spark, sf_dir)
+    tables.write_metrics(metrics, path, "csv")
+    return tables.records(spark, path, metrics.schema)
+
+
+@query(f"SELECT doc_id, {_SPLIT.format(k='doc_id')} AS split FROM documents")
+def manifest_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split manifest written as JSON and read back."""
+    path = tables.scratch(spark, "manifest")
+    tables.write_manifest(curate.split(table(spark, sf_dir, "documents"), "doc_id"), path, "doc_id")
+    return tables.records(spark, path, spark.createDataFrame([], "doc_id long, split string").schema, "json")

@@ -22,12 +22,14 @@ def test_split_is_stable_and_groups_stay_together(spark):
     assert all(a[i] == a[i + 40] for i in range(400))
 
 
-def test_both_ways_of_finding_leaks_agree(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "zz four five zz"), (3, None), (4, "")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "wo three four five six seven ei"), (2, "four five"), (3, "nine one"), (4, "")], "item_id long, text string")
-    plain = sorted(map(tuple, curate.leaks(docs, items).collect()))
-    monkeypatch.setattr(curate, "BROADCAST_PASSAGES", 0)
-    assert plain == sorted(map(tuple, curate.leaks(docs, items).collect())) == [(1, 1), (1, 2), (2, 2)]
+def test_leaks_equal_a_plain_search(spark):
+    docs = [(1, "one two three four five six seven eight nine"), (2, "zz four five zz"), (3, None), (4, ""), (5, "xfour fivey  z"), (6, "é  é nine ten"), (7, "one two three four five six seven eight nine")]
+    items = [(1, "wo three four five six seven ei"), (2, "four five"), (3, "nine one"), (4, ""), (5, None), (6, "e"), (7, "é "), (8, "our fiv"), (9, "two three four"), (10, "o three four five s"), (11, "  z"), (12, "é  é"), (13, "nine")]
+    want = sorted((d, i) for d, t in docs for i, p in items if t and p and p in t)
+    got = curate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == want
+    assert curate.leaks(got.limit(0).selectExpr("doc_id", "'' as text"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert curate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
 def test_masks(spark):
@@ -90,10 +92,66 @@ def test_latest_record(spark):
     assert sorted(map(tuple, records.latest(p, r, "p", "q", ["at", "v"], ["v"]).collect())) == [(1, "c"), (2, None)]
 
 
+def test_odd_vectors_neither_ask_nor_are_found(spark):
+    rows = [(0, [1.0, 0.0], 1), (1, [0.9, 0.1], 1), (2, None, 1), (3, [], 1), (4, [1.0, None], 1), (5, [float("nan"), 1.0], 1), (6, [1.0, 0.0, 0.0], 1), (7, [float("inf"), 1.0], 1), (8, [0.0, 0.0], 1), (9, [0.0, 1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(2)
+    for find in (retrieve.topk, retrieve.approximate_topk):
+        got = {(r["query_id"], r["neighbour"]) for r in find(df, df, k=3).collect()}
+        assert got <= {(a, b) for g in ((0, 1, 8), (6, 9)) for a in g for b in g if a != b} and (0, 1) in got
+    assert retrieve.topk(df.filter("vec_id = 2"), df).count() == 0 and retrieve.topk(df, df.limit(0)).count() == 0
+
+
+def test_embedding_equals_a_plain_version(spark):
+    import hashlib
+    import math
+
+    rows = [(1, "a b a c"), (2, "b  c\nd"), (3, None), (4, " "), (5, "a")]
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 8
+    counts = {d: {} for d, _ in rows}
+    for d, t in rows:
+        for w in (t or "").split():
+            counts[d][place(w)] = counts[d].get(place(w), 0) + 1
+    df = {p: sum(p in c for c in counts.values()) for p in range(8)}
+    got = {r["doc_id"]: r["embedding"] for r in retrieve.embed(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()}
+    for d, c in counts.items():
+        x = [c.get(p, 0) * (math.log(6 / (1 + df[p])) + 1) for p in range(8)]
+        length = math.sqrt(sum(v * v for v in x)) or 1.0
+        assert got[d] == pytest.approx([v / length for v in x])
+
+
 def test_metrics(spark):
     r = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 1, False), (2, 2, False)], "query_id long, rank int, ok boolean")
-    m = evaluate.retrieval(r, F.col("ok"), k=2).first()
-    assert (m["n_queries"], m["hit_at_k"], m["precision_at_k"], m["mrr"]) == (2, 0.5, 0.25, 0.25)
+    totals = spark.createDataFrame([(1, 4), (2, 0)], "query_id long, n_relevant long")
+    m = evaluate.retrieval(r, F.col("ok"), totals, k=2).first()
+    assert (m["n_queries"], m["hit_at_k"], m["precision_at_k"], m["recall_at_k"], m["mrr"]) == (2, 0.5, 0.25, 0.125, 0.25)
+    answers = spark.createDataFrame([("a", ["p", "q"]), ("b", []), ("c", None), ("d", ["x"])], "trace_id string, sources array<string>")
+    expected = spark.createDataFrame([("a", "q"), ("b", "q"), ("c", "q")], "trace_id string, source string")
+    assert tuple(evaluate.correct_source(answers, expected).first()) == (3, 0.333333)
+    judged = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("b", 1.0)], "trace_id string, score double")
+    got = evaluate.groundedness(answers.withColumn("v", F.lit("base")), judged, "v").first()
+    assert tuple(got) == ("base", 4, 2, 0.75, 0.5)
+
+
+def test_readers_and_writers(spark, tmp_path):
+    from careflow.sources import tables
+
+    rows = spark.createDataFrame([(1, "é, x", 1.5), (2, None, None)], "id long, name string, value double")
+    for kind in ("csv", "json"):
+        tables.write_metrics(rows, f"{tmp_path}/{kind}", kind)
+        assert sorted(map(tuple, tables.records(spark, f"{tmp_path}/{kind}", rows.schema, kind).collect())) == sorted(map(tuple, rows.collect()))
+    (tmp_path / "bad.csv").write_text("id,name,value\nx,y,z\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        tables.records(spark, f"{tmp_path}/bad.csv", rows.schema).collect()
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.txt").write_text("one\ntwo é")
+    (tmp_path / "docs" / "b.txt").write_text("")
+    found = {r["origin"].rpartition("/")[2]: r for r in tables.documents(spark, f"{tmp_path}/docs").collect()}
+    assert found["a.txt"]["text"] == "one\ntwo é" and "b.txt" not in found and found["a.txt"]["version"] is not None
+    tables.write_lines(spark.createDataFrame([("l1",), ("l2",)], "line string"), f"{tmp_path}/lines")
+    tables.write_lines(spark.createDataFrame([("l3",)], "line string"), f"{tmp_path}/lines")
+    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/lines").collect()) == ["l1", "l2", "l3"]
+    tables.write_manifest(curate.split(rows, "id"), f"{tmp_path}/manifest", "id")
+    assert {r["id"] for r in spark.read.json(f"{tmp_path}/manifest").collect()} == {1, 2}
 
 
 def test_flow_paths(spark):
