@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import tidy
+from .words import slices
 
 #: Code points of a leaf when a tree is built; a leaf that has grown beyond GROWN times this has its tree built anew.
 LEAF, GROWN = 1_024, 8
@@ -129,19 +131,21 @@ class CountTree:
 
 
 def _plant(path: str, pattern: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoding(path, pattern)
-        for b in batches:
-            trees = [CountTree(t, enc) for t in b.column("text").to_pylist()]
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            trees = [CountTree(t.as_py(), enc) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([getattr(t, c) for t in trees], pa.list_(pa.int32())) for c in ("chars", "tokens"))], [*b.schema.names, "tree_chars", "tree_tokens"])
 
     return run
 
 
 def _apply(path: str, pattern: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoding(path, pattern)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             trees, before, n_edits = [], [], []
             for text, chars, tokens, edits in zip(*(b.column(c).to_pylist() for c in ("text", "tree_chars", "tree_tokens", "edits"))):
                 tree = CountTree(text, enc, chars, tokens)

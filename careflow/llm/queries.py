@@ -64,7 +64,36 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_grid_order, op2_quality, op3_byte_bpe, op4_edit_counts, op5_brown, op6_wrappers, op7_toxicity, op8_mixing, op9_token_blocks, op10_minhash)}
-
-#: Learned, iterative or byte-level results; SQL has no twin for them, tests/llm has plain versions.
-ORACLE: dict[str, str] = {}
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base statistics and rules of operator 2 alone."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.statistics(docs.select("doc_id", "text"), "text").select("doc_id", *quality.BASE, "base_failed")
+
+
+QUERIES = {f.__name__: f for f in (op1_grid_order, op2_quality, op3_byte_bpe, op4_edit_counts, op5_brown, op6_wrappers, op7_toxicity, op8_mixing, op9_token_blocks, op10_minhash, quality_base)}
+
+_WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Learned, iterative or byte-level results have no SQL twin; tests/llm has plain versions of them.
+ORACLE: dict[str, str] = {
+    "op1_grid_order": """WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), f AS (SELECT *, sqrt(list_inner_product(e, e)) AS l FROM e),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.l > 0 AND b.l > 0 WHERE list_inner_product(a.e, b.e) / (a.l * b.l) >= 0.93),
+    reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+    n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(r) AS component_id, min(r) = vec_id AS kept FROM reach LEFT JOIN n USING (vec_id) GROUP BY vec_id""",
+    "op10_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(t=_LOWER)} AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.both >= 85 * (x.n + y.n - p.both)),
+    reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, min(r) = doc_id AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "quality_base": f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
+    x AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: [i::VARCHAR, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]])) AS x FROM w WHERE len(w) >= 3),
+    r AS (SELECT doc_id, x[1]::BIGINT AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x[2]) AS c FROM x) WHERE c > 1),
+    c AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM r, (VALUES (0), (1), (2)) AS t(d) GROUP BY doc_id),
+    b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+        list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id))
+    SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b""",
+}
