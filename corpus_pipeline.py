@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. ``run`` applies
 them to ``documents``, each written to the shared folder and read again. What a stage keeps in the shared
-folder for itself is deleted when the next one begins.
+folder for itself is deleted when the next one begins, and its broadcast values are taken back.
+
+All stages pass on rows with their own columns whatever their names; an empty table gives an empty
+table, and repeated rows are rows like others until the near-duplicate stage keeps one of them.
 """
 
 from __future__ import annotations
@@ -14,31 +17,43 @@ from careflow.llm import bpe, common, minhash, mixing, quality, toxicity
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the robust outlier test reject."""
+    """Documents that neither the base rules nor the robust outlier test reject.
+
+    Null and empty texts fail the base rules and go; null languages and sources are groups of their own.
+    """
     with common.scope(docs):
         return quality.keep_clean(docs)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5; learns from the labels of the documents it gets."""
+    """Documents whose toxicity score is below 0.5; learns from the labels of the documents it gets.
+
+    Null ids are scored and never learned from; texts without words have the usual share of toxic ones as their score.
+    """
     with common.scope(docs):
         return toxicity.keep_civil(docs, common.table(spark, sf_dir, "labels"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, 80 % or more in common."""
+    """One document of each group of near-duplicates: five-word shingles, 80 % or more in common.
+
+    The least id stays, rows without id come last; texts without words are in no group and stay.
+    """
     with common.scope(docs):
         return minhash.keep_distinct(docs, width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture, written in ranges of it."""
+    """All documents in the order of the mixture, written in ranges of it; null sources are a source of their own."""
     with common.scope(docs):
         return mixing.in_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document that is left, with its slot and place in the mixture: orderBy("slot", "place")."""
+    """Token counts and digests of every document that is left, with its slot and place in the mixture: orderBy("slot", "place").
+
+    A null text counts as empty, a null id stays null.
+    """
     with common.scope(docs):
         mixed = mixing.mix(docs, carry=["text"]).withColumn("position", F.col("slot") * mixing.BLOCK + F.col("place"))
         mixed = common.stash(mixed, "pipeline-places")
