@@ -23,6 +23,39 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == counts[4]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
+def test_each_stage_equals_a_plain_version(spark):
+    """Quality and toxicity against their operators (which have plain twins of their own), the rest against brute force."""
+    import hashlib
+
+    import numpy as np
+    import public_tokenizers as P
+    import tiktoken
+
+    from careflow.llm import bpe, quality, toxicity
+    from test_minhash import brute
+
+    read, write = lambda df: {r["doc_id"]: r for r in df.collect()}, lambda df: corpus_pipeline.common.stash(df, "test")
+    docs = corpus_pipeline.common.table(spark, SF, "documents")
+    clean = write(corpus_pipeline.keep_quality(spark, docs, SF))
+    assert read(clean).keys() == {r["doc_id"] for r in quality.judge(docs).filter("kept").collect()}
+    civil = write(corpus_pipeline.keep_civil(spark, clean, SF))
+    labels = corpus_pipeline.common.table(spark, SF, "labels")
+    assert read(civil).keys() == {r["doc_id"] for r in toxicity.score(clean, labels).filter("predicted = 0").collect()}
+    distinct = write(corpus_pipeline.keep_distinct(spark, civil, SF))
+    groups = brute([(r["doc_id"], r["text"]) for r in civil.collect()], 5, 80)
+    assert read(distinct).keys() == {d for d, n, least, kept in groups if kept}
+    mixed = write(corpus_pipeline.mix_sources(spark, distinct, SF))
+    assert read(mixed) == read(distinct)
+    plain = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=bpe.encoding(P.path(bpe.RANKS), P.PATTERN)._mergeable_ranks, special_tokens={})
+    last = read(corpus_pipeline.encode(spark, mixed, SF))
+    assert last.keys() == read(mixed).keys()
+    for d, r in read(mixed).items():
+        ids = plain.encode_ordinary(r["text"] or "")
+        raw = (r["text"] or "").encode()
+        assert (last[d]["n_tokens"], last[d]["ids_sha256"], last[d]["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
 def test_rows_have_their_place_in_the_mixture(spark):
     got = corpus_pipeline.run(spark, SF).collect()
