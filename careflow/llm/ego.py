@@ -26,7 +26,9 @@ from .common import tidy
 from .components import connected
 
 #: Leading directions; vectors of a block; vectors of a part that isn't halved any more.
-DIRECTIONS, BLOCK, LEAF = 6, 512, 64
+DIRECTIONS, BLOCK, LEAF = 6, 2_048, 64
+#: Links of a block pair that are held before a forest takes their place.
+HELD = 1 << 18
 #: Intervals of a node of the sequence's tree.
 FAN = 16
 #: Slack for rounding in the bounds that skip blocks.
@@ -200,7 +202,7 @@ def _join(base, cosine: float):
                 pts_a = _points(a, base.value[dims])
                 pts_c = pts_a if same else _points(c, base.value[dims])
                 counts, links = np.zeros(len(a) + (0 if same else len(c)), np.int64), []
-                offset = 0 if same else len(a)
+                offset, held = 0 if same else len(a), 0
                 for x, y in _pairs(pts_a, pts_c, slice(0, len(a)), slice(0, len(c)), epsilon2):
                     if same and y.stop <= x.start:
                         continue  # seen from the other side
@@ -212,6 +214,10 @@ def _join(base, cosine: float):
                     if len(u):
                         counts += np.bincount(u, weights=mc[v], minlength=len(counts)).astype(np.int64) + np.bincount(v + offset, weights=ma[u], minlength=len(counts)).astype(np.int64)
                         links.append((u, v + offset))
+                        held += len(u)
+                        if held > HELD:
+                            links = [_spread(len(counts), 0, links)]
+                            held = len(links[0][0])
                 nodes = ia if same else np.concatenate([ia, ic])
                 full = np.flatnonzero(counts)
                 rows, roots = _spread(len(counts), 0, links)

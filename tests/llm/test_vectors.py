@@ -43,6 +43,7 @@ def brute(rows, cosine=0.93):
 def test_links_and_components_equal_brute_force(spark, with_clashes, monkeypatch, block, leaf):
     monkeypatch.setattr(ego, "BLOCK", block)
     monkeypatch.setattr(ego, "LEAF", leaf)
+    monkeypatch.setattr(ego, "HELD", 10 * block)
     rows = table()
     df = with_clashes(spark.createDataFrame(rows, KIND).repartition(4))
     assert sorted(map(tuple, ego.near_vectors(df).collect())) == brute(rows)
