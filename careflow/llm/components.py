@@ -6,8 +6,8 @@ with the logarithm of the longest path. Rounds are joins and aggregations on tab
 nothing is collected but two sums, by which a round without change is told.
 
 The centre of a star may have most of the links. Centres with a thousandth of all links or more
-(a few thousand at most) get their least neighbour by broadcast, so their links stay where they
-are; all others meet theirs in a shuffle.
+(a few thousand at most) get their least neighbour by broadcast, and their links are spread over
+tasks; all others meet theirs in a shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .common import stash
 
 #: A node with fewer links than this is never a centre that is treated apart.
 CENTRE = 256
+#: Parts that the links of a centre are dealt out in.
+SPREAD = 64
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -32,9 +34,10 @@ def _with_least(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
         return links.join(least.select("u", "m"), "u"), least.select("u", "m")
     many = max(CENTRE, total // 1_000)
     centres = F.broadcast(least.filter(F.col("n") >= many).select("u", F.col("m").alias("centre_m")))
-    told = links.join(centres, "u", "left")
-    rest = told.filter("centre_m is null").select("u", "v").join(least.filter(F.col("n") < many).select("u", "m"), "u")
-    return told.filter("centre_m is not null").select("u", "v", F.col("centre_m").alias("m")).unionByName(rest), least.select("u", "m")
+    # A centre's links are spread by their other ends; they find nothing in the shuffle and keep what they were told.
+    told = links.join(centres, "u", "left").withColumn("spread", F.when(F.col("centre_m").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(SPREAD))).cast("int"))
+    out = told.join(least.filter(F.col("n") < many).select("u", "m", F.lit(0).alias("spread")), ["u", "spread"], "left")
+    return out.select("u", "v", F.coalesce("centre_m", "m").alias("m")), least.select("u", "m")
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
