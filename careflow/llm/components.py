@@ -36,7 +36,8 @@ def _with_least(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     centres = F.broadcast(least.filter(F.col("n") >= many).select("u", F.col("m").alias("centre_m")))
     # A centre's links are spread by their other ends; they find nothing in the shuffle and keep what they were told.
     told = links.join(centres, "u", "left").withColumn("spread", F.when(F.col("centre_m").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(SPREAD))).cast("int"))
-    out = told.join(least.filter(F.col("n") < many).select("u", "m", F.lit(0).alias("spread")), ["u", "spread"], "left")
+    rest = least.filter(F.col("n") < many).select("u", "m", (F.col("n") < 0).cast("int").alias("spread"))  # 0, but no literal: both columns stay keys of the join
+    out = told.join(rest, ["u", "spread"], "left")
     return out.select("u", "v", F.coalesce("centre_m", "m").alias("m")), least.select("u", "m")
 
 
