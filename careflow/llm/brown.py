@@ -7,16 +7,17 @@ All other words of the vocabulary, however many, are then placed in Spark, each
 criterion on the class counts of its own neighbours (words outside the core count as one unit
 there). No word is left out and none is classed by its form.
 
-Transitions come from all pairs whose first word is in the core or a text's beginning, with any
-word behind it; they are absolutely discounted and back off to class frequencies. Within a class
+Transitions are counted over all neighbours in the training texts once every word has its class;
+they are absolutely discounted and back off to class frequencies. Within a class
 a word has its count less a discount, and what the discounts free is the class's share for unseen
 words, which count as one type, as in the base score. An unseen word takes its chance from all
 classes, and what follows it is expected as after a mixture of the classes by what they have freed; so the
 probabilities of all words and the unseen type sum to one after any word.
 
 Words travel as 64-bit hashes. Classes and counts of the ``KNOWN`` most frequent words are
-broadcast; the others' come by a join and are put back between their neighbours. That
-choice of plan changes no result.
+broadcast; the others' come by a join and are put back in their places. That
+choice of plan changes no result. Texts are read once for it: what goes on to the transitions and the
+scores is a byte a token, its class.
 """
 
 from __future__ import annotations
@@ -45,7 +46,11 @@ KNOWN = 250_000
 DISCOUNT, WORD_DISCOUNT = 0.5, 0.75
 FOLDS, HELD_OUT = 7, 2
 
-_DOC = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, gaps array<struct<pos:int,word:long,left:int,right:int>>"
+#: The class of a word that waits for the join; all others are less, so that a class is a byte.
+WAITING = 255
+
+_DOC = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, seq binary, gaps array<struct<pos:int,word:long>>"
+_SEQ = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, seq binary"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,60 +175,35 @@ def _contexts(model, classes: int):
 
 
 def _place(model):
-    """Classes of words from their contexts, which come word by word.
-
-    A row is (word, class, n), or with a cell the number of pairs of a known class before and the class of the word.
-    """
+    """Classes of words from their contexts, which come word by word; a row is (word, class, n)."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into, out_of, size = model.value  # by class before, by class behind: log10 of the chances for each class of the word
-        classes = len(into)
-        pairs = np.zeros((classes, into.shape[1]), np.int64)
         held = None  # the last word's sums, since its contexts may go on in the next batch
 
-        def choose(n: np.ndarray, gains: np.ndarray) -> np.ndarray:
-            return np.argmax(np.round(gains - n[:, None] * size, 6), axis=1)
-
-        def rows(words: np.ndarray, of: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(of.astype(np.int32)), pa.array(n), pa.nulls(len(of), pa.int32())], ["word", "class", "n", "cell"])
-
-        def last() -> pa.RecordBatch:
-            word, n, gains, before = held
-            of = choose(np.array([n]), gains[None])
-            pairs[:, of[0]] += before
-            return rows(np.array([word]), of, np.array([n]))
+        def rows(words: np.ndarray, n: np.ndarray, gains: np.ndarray) -> pa.RecordBatch:
+            of = np.argmax(np.round(gains - n[:, None] * size, 6), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(of.astype(np.int32)), pa.array(n)], ["word", "class", "n"])
 
         for b in batches:
             if not b.num_rows:
                 continue
             word, code, n = (b.column(c).to_numpy() for c in ("word", "code", "n"))
-            left, right = np.divmod(code.astype(np.int64), classes)
+            left, right = np.divmod(code.astype(np.int64), len(into))
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             words, total = word[first], np.add.reduceat(n.astype(np.int64), first)
             gains = np.add.reduceat(n[:, None] * (into[left] + out_of[right]), first, axis=0)
-            carried = np.zeros(classes, np.int64)
-            if held is not None and held[0] == words[0]:
-                total[0] += held[1]
-                gains[0] += held[2]
-                carried = held[3]
+            if held is not None and held[0][0] == words[0]:
+                total[0] += held[1][0]
+                gains[0] += held[2][0]
             elif held is not None:
-                yield last()
-            before = np.bincount(left[first[-1] :], weights=n[first[-1] :], minlength=classes).astype(np.int64)
+                yield rows(*held)
             if len(words) > 1:
-                of = choose(total[:-1], gains[:-1])
-                whole = first[-1]
-                cells = left[:whole] * into.shape[1] + np.repeat(of, np.diff(first))
-                pairs += np.bincount(cells, weights=n[:whole], minlength=pairs.size).astype(np.int64).reshape(pairs.shape)
-                pairs[:, of[0]] += carried
-                yield rows(words[:-1], of, total[:-1])
-            else:
-                before += carried
-            held = words[-1], total[-1], gains[-1].copy(), before
+                yield rows(words[:-1], total[:-1], gains[:-1])
+            held = words[-1:].copy(), total[-1:].copy(), gains[-1:].copy()
         if held is not None:
-            yield last()
-        cell = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(cell), pa.int64()), pa.nulls(len(cell), pa.int32()), pa.array(pairs.ravel()[cell]), pa.array(cell.astype(np.int32))], ["word", "class", "n", "cell"])
+            yield rows(*held)
 
     return run
 
@@ -242,65 +222,113 @@ def with_unseen(trans: np.ndarray, n_of: np.ndarray, kinds_of: np.ndarray) -> np
     return np.log10(out)
 
 
-def _score(model, vocabulary):
-    """Per text what needs no join, and its other words with their places and the classes beside them."""
+def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Bytes with the places where each row's begin (and the last one's end) as an array."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data, np.uint8))])
+
+
+def _classes(seq: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all tokens of an array of texts, and where each text's begin in them (and the last one's end)."""
+    if not len(seq):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(seq.buffers()[1], np.int32)[seq.offset : seq.offset + len(seq) + 1]
+    return np.frombuffer(seq.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], (at - at[0]).astype(np.int64)
+
+
+def _draw(model, vocabulary, end: int):
+    """Per text its classes and what needs no join, and its other words with their places."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, in_class, base_all, ends = model.value
+        in_class, base_all, ends = model.value
         known, counts, of = vocabulary.value
-        end, row = len(logs) - 2, TaskContext.get().partitionId() << 40
-        padded = np.pad(logs, ((0, 1), (0, 1)))  # nothing is added yet beside a word without class (-1)
+        row = TaskContext.get().partitionId() << 40
         for b in (part for whole in batches for part in slices(whole, 2)):
             h, at = hash_words(b.column(2))
             u = look_up(known, h)
-            seq, place, begin = _sequence(np.where(u >= 0, of[u], -1) if len(known) else np.full(len(h), -1), at, end)
-            beside = np.concatenate([[end], seq])
-            score = np.add.reduceat(padded[beside[:-1], beside[1:]], begin)
+            seq, place, begin = _sequence(np.where(u >= 0, of[u], WAITING) if len(known) else np.full(len(h), WAITING), at, end)
             n = np.diff(np.append(begin, len(seq)))
-            part, base, seen = np.zeros(len(seq)), np.zeros(len(seq)), np.zeros(len(seq), np.int64)
+            inner, base, seen = np.zeros(len(seq)), np.zeros(len(seq)), np.zeros(len(seq), np.int64)
             there = np.flatnonzero(u >= 0)
             c = counts[u[there]].astype(float) if len(there) else np.empty(0)
-            part[place[there]] = np.log10(c - WORD_DISCOUNT) - in_class[seq[place[there]]]
+            inner[place[there]] = np.log10(c - WORD_DISCOUNT) - in_class[seq[place[there]]]
             base[place[there]] = np.log10(c + 1)
             seen[place[there]] = 1
-            score += np.add.reduceat(part, begin)
             base = np.add.reduceat(base, begin) + np.log10(ends + 1.0) - n * base_all
             n_known = np.add.reduceat(seen, begin) + (ends > 0)
             rest = np.flatnonzero(u < 0)
             owner = np.repeat(np.arange(b.num_rows), np.diff(at))[rest]
             cut = pa.array(np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32))
-            spots = place[rest]
-            fields = [(spots - begin[owner]).astype(np.int32), h[rest].view(np.int64), beside[spots].astype(np.int32), beside[spots + 2].astype(np.int32)]
-            gaps = pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays([pa.array(x) for x in fields], ["pos", "word", "left", "right"]))
+            fields = [(place[rest] - begin[owner]).astype(np.int32), h[rest].view(np.int64)]
+            gaps = pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays([pa.array(x) for x in fields], ["pos", "word"]))
             rows = pa.array(np.arange(row, row + b.num_rows))
             row += b.num_rows
-            yield pa.RecordBatch.from_arrays([rows, b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), gaps], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "gaps"])
+            yield pa.RecordBatch.from_arrays(
+                [rows, b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(np.add.reduceat(inner, begin)), _binary(seq, np.append(begin, len(seq))), gaps],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "seq", "gaps"],
+            )
 
     return run
 
 
-def _finish(model):
-    """Adds what the joined words contribute; a text's own row comes first (pos -1), its words by place."""
+def _fill(model, end: int):
+    """Puts the joined words' classes and chances into their texts; a text's own row comes first (pos -1)."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, in_class, _, _ = model.value
-        for t, begin, _ in common.sorted_groups(batches, ["row"]):
-            pos, left, right = (t.column(c).to_numpy() for c in ("pos", "left", "right"))
-            n = t.column("n").fill_null(0).to_numpy()
-            own = t.column("class").fill_null(len(logs) - 1).to_numpy()  # the unseen type
-            word = pos >= 0
-            before = np.where(left >= 0, left, np.concatenate([[0], own[:-1]]))  # the word before is a joined one too
-            value = logs[before, own] + np.where(right >= 0, logs[own, right], 0.0)
-            value += np.where(n > 0, np.log10(np.maximum(n - WORD_DISCOUNT, 1e-9)) - in_class[np.minimum(own, len(in_class) - 1)], 0.0)
-            add = lambda x: np.add.reduceat(np.where(word, x, 0), begin)
-            head = t.take(pa.array(begin))
+        in_class, _, _ = model.value
+        for t, begin, stop in common.sorted_groups(batches, ["row"]):
+            pos, n = t.column("pos").to_numpy(), t.column("n").fill_null(0).to_numpy()
+            own = t.column("class").fill_null(end + 1).to_numpy()  # the unseen type
+            word = np.flatnonzero(pos >= 0)
+            head = t.take(pa.array(begin)).combine_chunks()
+            column = lambda c: pa.concat_arrays(head.column(c).chunks)  # noqa: B023, E731
+            seq, at = _classes(column("seq"))
+            seq = seq.copy()
+            seq[at[:-1].repeat(stop - begin)[word] + pos[word]] = own[word]
+            inner = np.where(n > 0, np.log10(np.maximum(n - WORD_DISCOUNT, 1e-9)) - in_class[np.minimum(own, len(in_class) - 1)], 0.0)
+            add = lambda x: np.add.reduceat(np.where(pos >= 0, x, 0), begin)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [head.column("doc_id").combine_chunks(), head.column("held_out").combine_chunks(), head.column("n_tokens").combine_chunks(),
-                 pa.array(head.column("n_known").to_numpy() + add(n > 0)), pa.array(head.column("base").to_numpy() + add(np.log10(n + 1.0))), pa.array(head.column("score").to_numpy() + add(value))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+                [column("doc_id"), column("held_out"), column("n_tokens"), pa.array(column("n_known").to_numpy() + add(n > 0)), pa.array(column("base").to_numpy() + add(np.log10(n + 1.0))), pa.array(column("inner").to_numpy() + add(inner)), _binary(seq, at)],
+                [c.split()[0] for c in _SEQ.split(", ")],
+            )
+
+    return run
+
+
+def _pairs(size: int):
+    """Counts of the classes' bigrams in a partition (class before * size + class)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(size * size, np.int64)
+        for b in batches:
+            seq, _ = _classes(b.column(0))
+            for low in range(0, len(seq), 1 << 20):
+                now = seq[low : low + (1 << 20)].astype(np.int64)
+                before = np.concatenate([[seq[low - 1] if low else size - 1], now[:-1]])  # an end comes before every text
+                cells += np.bincount(before * size + now, minlength=size * size)
+        full = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(cells[full])], ["cell", "n"])
+
+    return run
+
+
+def _score(model, end: int):
+    """Adds the transitions of each text's classes."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = model.value
+        for whole in batches:
+            seq, at = _classes(whole.column("seq"))
+            total, low = np.empty(whole.num_rows), 0
+            while low < whole.num_rows:  # about a million tokens (or one text) at once
+                high = max(low + 1, int(np.searchsorted(at, at[low] + (1 << 20), side="right")) - 1)
+                now = seq[at[low] : at[high]]
+                total[low:high] = np.add.reduceat(logs[np.concatenate([[end], now[:-1]]), now], at[low:high] - at[low])
+                low = high
+            score = pa.array(whole.column("inner").to_numpy() + total)
+            yield pa.RecordBatch.from_arrays([*whole.columns[:5], score], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -340,23 +368,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     logs = transitions(table)
     chances = (logs[:, :CLASSES].astype(np.float32), logs[:CLASSES].T.astype(np.float32).copy(), np.log10(np.maximum(table.sum(axis=0)[:CLASSES], 1)).astype(np.float32))
     contexts = training.mapInArrow(_contexts(common.spread(spark, (core, of)), classes), "word long, code short, n int").repartition("word").sortWithinPartitions("word")
-    placed = common.stash(contexts.mapInArrow(_place(common.spread(spark, chances)), "word long, class int, n long, cell int"), "brown-words")
-    rest = placed.filter("cell is null").select("word", "class", "n")
+    rest = common.stash(contexts.mapInArrow(_place(common.spread(spark, chances)), "word long, class int, n long"), "brown-words")
     sums = {r[0]: r[1:] for r in rest.groupBy("class").agg(F.sum("n"), F.count("*")).collect()}  # a row a class
     n_of, kinds_of = (np.array([sums.get(c, (0, 0))[i] for c in range(CLASSES)], float) for i in (0, 1))
     np.add.at(n_of, of[: len(core)], core_n)
     np.add.at(kinds_of, of[: len(core)], 1)
 
-    # Transitions after words of the core and after a text's beginning, by the classes of all words.
-    pairs = np.zeros(classes * CLASSES, np.int64)
-    for cell, n in placed.filter("cell is not null").groupBy("cell").agg(F.sum("n")).collect():  # at most classes * CLASSES rows
-        pairs[cell] = n
-    keep = [*range(CLASSES), classes - 1]
-    final = table[np.ix_(keep, keep)].copy()
-    final[:, :CLASSES] += pairs.reshape(classes, CLASSES)[keep]
-    full = with_unseen(transitions(final), n_of, kinds_of)
     base_all = float(np.log10(train_tokens + kinds + 1))
-    model = common.spread(spark, (full, np.append(np.log10(np.maximum(n_of, 1)), 0.0), base_all, ends))
+    model = common.spread(spark, (np.append(np.log10(np.maximum(n_of, 1)), 0.0), base_all, ends))
 
     # The most frequent words, by the finest frequency band that leaves at most KNOWN above it: no task has to sort them all.
     band = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
@@ -373,8 +392,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     order = np.argsort(known)
     vocabulary = common.spread(spark, (known[order], counts[order], class_of[order]))
 
-    drawn = common.stash(rows.mapInArrow(_score(model, vocabulary), _DOC), "brown-rows")
-    heads = drawn.select("row", F.lit(-1).alias("pos"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(None).cast("int").alias("class"), F.lit(None).cast("long").alias("n"), "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-    gaps = drawn.select("row", F.inline("gaps")).join(rest, "word", "left").select("row", "pos", "left", "right", "class", "n", *(F.lit(None).cast(t).alias(c) for c, t in heads.dtypes[6:]))
-    out = heads.unionByName(gaps).repartition("row").sortWithinPartitions("row", "pos").mapInArrow(_finish(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    # Every text as its words' classes.
+    drawn = common.stash(rows.mapInArrow(_draw(model, vocabulary, CLASSES), _DOC), "brown-rows")
+    heads = drawn.select("row", F.lit(-1).alias("pos"), F.lit(None).cast("int").alias("class"), F.lit(None).cast("long").alias("n"), "doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "seq")
+    gaps = drawn.select("row", F.inline("gaps")).join(rest, "word", "left").select("row", "pos", "class", "n", *(F.lit(None).cast(t).alias(c) for c, t in heads.dtypes[4:]))
+    texts = common.stash(heads.unionByName(gaps).repartition("row").sortWithinPartitions("row", "pos").mapInArrow(_fill(model, CLASSES), _SEQ), "brown-texts")
+
+    # Transitions from all neighbours in the training texts; after an end comes a text's beginning.
+    final = np.zeros((CLASSES + 1) ** 2, np.int64)
+    for cell, n in texts.filter("not held_out").select("seq").mapInArrow(_pairs(CLASSES + 1), "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():  # at most (CLASSES + 1)**2 rows
+        final[cell] = n
+    full = with_unseen(transitions(final.reshape(CLASSES + 1, -1)), n_of, kinds_of)
+    out = texts.mapInArrow(_score(common.spread(spark, full), CLASSES), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
