@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, edits, ego, minhash, mixing, quality, tokenfile, toxicity, wrapper
+from . import bpe, brown, digests, edits, ego, minhash, mixing, quality, tokenfile, toxicity, wrapper
 from .common import table
 
 
@@ -64,13 +64,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies among documents; of equal texts the row with the largest id stays."""
+    return digests.dedup(table(spark, sf_dir, "documents"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base statistics and rules of operator 2 alone."""
     docs = table(spark, sf_dir, "documents")
     return quality.statistics(docs.select("doc_id", "text"), "text").select("doc_id", *quality.BASE, "base_failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_grid_order, op2_quality, op3_byte_bpe, op4_edit_counts, op5_brown, op6_wrappers, op7_toxicity, op8_mixing, op9_token_blocks, op10_minhash, quality_base)}
+QUERIES = {f.__name__: f for f in (op1_grid_order, op2_quality, op3_byte_bpe, op4_edit_counts, op5_brown, op6_wrappers, op7_toxicity, op8_mixing, op9_token_blocks, op10_minhash, op12_digest_index, quality_base)}
 
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -89,6 +94,8 @@ ORACLE: dict[str, str] = {
     links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.both >= 85 * (x.n + y.n - p.both)),
     reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
     SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, min(r) = doc_id AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op12_digest_index": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "quality_base": f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
     x AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: [i::VARCHAR, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]])) AS x FROM w WHERE len(w) >= 3),
     r AS (SELECT doc_id, x[1]::BIGINT AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x[2]) AS c FROM x) WHERE c > 1),
