@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, digests, edits, ego, minhash, mixing, quality, tokenfile, toxicity, wrapper
+from . import bpe, brown, digests, edits, ego, minhash, mixing, quality, repair, tokenfile, toxicity, wrapper
 from .common import table
 
 
@@ -69,13 +69,18 @@ def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations: their faults, and the cheapest edits that make their roles grammatical."""
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base statistics and rules of operator 2 alone."""
     docs = table(spark, sf_dir, "documents")
     return quality.statistics(docs.select("doc_id", "text"), "text").select("doc_id", *quality.BASE, "base_failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_grid_order, op2_quality, op3_byte_bpe, op4_edit_counts, op5_brown, op6_wrappers, op7_toxicity, op8_mixing, op9_token_blocks, op10_minhash, op12_digest_index, quality_base)}
+QUERIES = {f.__name__: f for f in (op1_grid_order, op2_quality, op3_byte_bpe, op4_edit_counts, op5_brown, op6_wrappers, op7_toxicity, op8_mixing, op9_token_blocks, op10_minhash, op12_digest_index, op13_repair, quality_base)}
 
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
