@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, digests, edits, ego, minhash, mixing, quality, repair, tokenfile, toxicity, wrapper
+from . import bpe, brown, digests, edits, ego, minhash, mixing, quality, repair, spelling, tokenfile, toxicity, wrapper
 from .common import table
 
 
@@ -64,6 +64,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words and the form that a rarer spelling belongs to."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among documents; of equal texts the row with the largest id stays."""
     return digests.dedup(table(spark, sf_dir, "documents"))
@@ -80,7 +85,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.statistics(docs.select("doc_id", "text"), "text").select("doc_id", *quality.BASE, "base_failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_grid_order, op2_quality, op3_byte_bpe, op4_edit_counts, op5_brown, op6_wrappers, op7_toxicity, op8_mixing, op9_token_blocks, op10_minhash, op12_digest_index, op13_repair, quality_base)}
+QUERIES = {f.__name__: f for f in (op1_grid_order, op2_quality, op3_byte_bpe, op4_edit_counts, op5_brown, op6_wrappers, op7_toxicity, op8_mixing, op9_token_blocks, op10_minhash, op11_spelling, op12_digest_index, op13_repair, quality_base)}
 
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -99,6 +104,21 @@ ORACLE: dict[str, str] = {
     links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.both >= 85 * (x.n + y.n - p.both)),
     reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
     SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, min(r) = doc_id AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op11_spelling": r"""WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+    r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+    b AS (SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS bytes FROM r),
+    h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t.t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+    d AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+    w AS (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    g AS (SELECT word, n, unnest(list_transform(range(length(word)), lambda i: left(word, i) || '*' || substr(word, i + 2))) AS gap FROM w),
+    s AS (SELECT DISTINCT word, n, unnest(list_transform(range(length(word) + 1), lambda i: left(word, i) || '*' || substr(word, i + 1))) AS gap FROM w),
+    pairs AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM g a JOIN g b ON a.gap = b.gap AND a.word <> b.word),
+    longer AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM s a JOIN g b ON a.gap = b.gap),
+    near AS (SELECT * FROM pairs UNION ALL SELECT * FROM longer UNION ALL SELECT other, m, word, n FROM longer),
+    best AS (SELECT word, count(*) AS n_near, arg_max(other, (m, -r)) AS other, max(m) AS m FROM (SELECT *, row_number() OVER (ORDER BY other) AS r FROM near) GROUP BY word),
+    f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN other END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+    way AS (SELECT word, coalesce(form, word) AS goal, 0 AS k FROM f UNION ALL SELECT way.word, f.form, k + 1 FROM way JOIN f ON f.word = way.goal WHERE f.form IS NOT NULL)
+    SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(goal, k) AS root FROM way GROUP BY word) USING (word)""",
     "op12_digest_index": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "quality_base": f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
