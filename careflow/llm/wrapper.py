@@ -12,7 +12,7 @@ pages the aligned nodes vote:
 Then every page is read again: the text of its content element (of the article or main element
 around it, if there is one), less template, and varying text outside that isn't a menu, in page
 order, block by block. Only what votes can't tell is left to names: text that varies like the article but is
-something else (reader comments, adverts, notices, forms) goes by fixed lists of elements, roles and class names. Hosts with too few
+something else (reader comments, adverts, notices, forms) goes by fixed lists of elements, roles and whole class names. Hosts with too few
 different pages to vote take the content element that most hosts have, or a page's own
 article or main element, or its body, and the lists decide alone.
 
@@ -26,8 +26,10 @@ import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +44,10 @@ LEAST_PAGES, SURE_PAGES = 3, 10
 SAME, HOLDS = 0.9, 0.8
 #: Share of an element's varying text that is links in a menu.
 LINKED = 0.7
-#: Elements deeper than this count as blocks of the last one above, as browsers do.
+#: Elements deeper than this have no node of their own: their text is blocks of the last one above, until they all have ended.
 DEEPEST = 512
+#: Pairs of different subtrees up to which two lists of children are compared in full; cells of a table that is kept whole.
+PAIRS, SMALL = 1 << 16, 4_096
 #: Up to so many bytes of wrappers are broadcast; beyond, both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 #: A host with a thousandth of all pages, but no fewer than this, is dealt over ``SALTS`` tasks.
@@ -59,9 +63,12 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("html body table ul ol dl select article section div td th".split())
 JUNK_TAGS = frozenset("nav footer aside form script style noscript template button select textarea input iframe svg canvas object embed dialog menu head title link meta datalist audio video map".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-JUNK_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsors?|sponsored|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|sidebars?|menus?|navbars?|navs?|navigation|breadcrumbs?|footers?|headers?|masthead|topbar|comments?|disqus|repl(?:y|ies)|respond|discussion|shar(?:e|ing)|social|related|recommend(?:ed|ations?)?|widgets?|login|signup|register|search|toolbars?|pagination|pagers?|skip)(?:$|[\s_-])"
+JUNK_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner banners sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices alert alerts popup popups modal modals overlay overlays newsletter newsletters subscribe subscription sidebar sidebars menu menus navbar navbars nav navs navigation breadcrumb breadcrumbs footer footers masthead topbar comment comments disqus reply replies respond discussion share sharing social related recommend recommended recommendation recommendations widget widgets login signup register search toolbar toolbars pagination pager pagers skip".split()
 )
+#: What may stand beside these in a name; a name with any other word isn't one of them.
+BESIDE = frozenset("area bar block bottom box button buttons col column container footer form global group header icons inner item items label left links list main outer page panel post right row section site slot thread top unit user wrap wrapper".split())
+JUNK_HEADERS = frozenset("header headers site-header page-header main-header global-header top-header header-bar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z)))""", re.S)
@@ -77,6 +84,12 @@ class Node:
         self.tag, self.label, self.children, self.junk, self.main, self.text, self.linked = tag, label, [], junk, main, text, linked
 
 
+def junk_name(name: str) -> bool:
+    """Whether a whole class name or id is that of boilerplate: ``comment-list`` is, ``social-science`` or ``notice-of-award`` is not."""
+    words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
+    return name in JUNK_HEADERS or (any(w in JUNK_WORDS for w in words) and all(w in JUNK_WORDS or w in BESIDE for w in words))
+
+
 @functools.lru_cache(maxsize=20_000)
 def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """(label, junk, main) of an element."""
@@ -84,7 +97,7 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
     role = found.get("role", "")
     main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articlebody"
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    junk = tag in JUNK_TAGS or role in JUNK_ROLES or (not main and tag not in HEADINGS and tag not in ("html", "body") and bool(JUNK_NAMES.search(names)))
+    junk = tag in JUNK_TAGS or role in JUNK_ROLES or (not main and tag not in HEADINGS and tag not in ("html", "body") and any(map(junk_name, names.split())))
     label = re.sub(r"\d+", "0", f"{tag}.{found['class']}" if found.get("class") else tag)
     return label, junk, main
 
@@ -105,7 +118,8 @@ def parse(page: str | None) -> Node:
         linked = 0
 
     page, at = page or "", 0
-    inline: list[int] = []  # open inline elements that are junk: their text is left out
+    inline: list[str] = []  # open inline elements that are junk: their text is left out
+    deep, how_deep = [], Counter()  # open elements below DEEPEST: they have no node, but their ends are theirs
     while at < len(page):
         m = _TAG.search(page, at)
         if not inline:
@@ -123,6 +137,12 @@ def parse(page: str | None) -> Node:
         tag = tag.lower()
         if tag == "a":
             in_link = not m[1]
+        if m[1] and how_deep[tag]:
+            flush()
+            while (last := deep.pop()) != tag:
+                how_deep[last] -= 1
+            how_deep[tag] -= 1
+            continue
         if m[1]:
             if tag in BLOCKS or any(x.tag == tag for x in stack):
                 for i in range(len(stack) - 1, 0, -1):
@@ -153,6 +173,12 @@ def parse(page: str | None) -> Node:
         flush()
         inline.clear()
         shut = CLOSES.get(tag, set())
+        if deep:
+            if deep[-1] == "p" or deep[-1] in shut or (tag in HEADINGS and deep[-1] in HEADINGS):
+                how_deep[deep.pop()] -= 1
+            deep.append(tag)
+            how_deep[tag] += 1
+            continue
         for i in range(len(stack) - 1, 0, -1):
             open_tag = stack[i].tag
             if open_tag == "p" or open_tag in shut or (tag in HEADINGS and open_tag in HEADINGS):
@@ -160,6 +186,8 @@ def parse(page: str | None) -> Node:
             elif open_tag in SCOPES:
                 break
         if len(stack) > DEEPEST:
+            deep.append(tag)
+            how_deep[tag] += 1
             continue
         node = Node(tag, label, junk or (tag == "header" and not any(x.main for x in stack)), main)
         stack[-1].children.append(node)
@@ -227,11 +255,15 @@ def match(a: tuple[list[int], list[str]], b: tuple[list[int], list[str]]) -> lis
     """Simple tree matching: pairs of nodes of two trees, each given by depths and labels.
 
     Children with equal subtrees at both ends of two lists are matched at once, which is never worse than any
-    other match of these; the lists between take dynamic programming. Sizes are kept by shape, and no call is nested.
+    other match of these; the lists between take dynamic programming, a row at a time. Sizes are kept by shape, and no call is nested.
+    Two lists with more than ``PAIRS`` pairs of different subtrees of one label are matched by
+    the most that such a pair could have in common, its smaller size, and only the pairs that are matched are gone into:
+    order and labels stay exact there, and the work goes with the number of siblings and no longer with all that is below them.
     """
     numbers: dict = {}
     x, y = _Shapes(*a, numbers), _Shapes(*b, numbers)
     sizes: dict[tuple[int, int], int] = {}
+    labels = {v: k for k, v in enumerate({*x.label, *y.label})}
 
     def ends(i: int, j: int) -> tuple[list[int], list[int], int, int]:
         p, q = x.kids[i], y.kids[j]
@@ -243,17 +275,27 @@ def match(a: tuple[list[int], list[str]], b: tuple[list[int], list[str]]) -> lis
             high += 1
         return p, q, low, high
 
-    def gain(p: int, q: int) -> int:
+    def open_pairs(p: list[int], q: list[int]) -> list[tuple[int, int]] | None:
+        """Different subtrees of one label with children on both sides, one pair for each two shapes; None if there are more than ``PAIRS``."""
+        mine, theirs = ({t.shape[k]: k for k in reversed(side) if t.kids[k]} for t, side in ((x, p), (y, q)))
+        by_label: dict[str, list[int]] = {}
+        for k in theirs.values():
+            by_label.setdefault(y.label[k], []).append(k)
+        if sum(len(by_label.get(x.label[m], ())) for m in mine.values()) > PAIRS:
+            return None
+        return [(m, k) for m in mine.values() for k in by_label.get(x.label[m], ()) if x.shape[m] != y.shape[k]]
+
+    def gain(p: int, q: int, rough: bool) -> int:
         if x.label[p] != y.label[q]:
             return 0
         if x.shape[p] == y.shape[q]:
             return x.size[p]
         if not x.kids[p] or not y.kids[q]:
             return 1
-        return 1 + sizes[x.shape[p], y.shape[q]]
+        return min(x.size[p], y.size[q]) if rough else 1 + sizes[x.shape[p], y.shape[q]]
 
-    def table(p: list[int], q: list[int]) -> tuple[int, list[bytearray]]:
-        """Size of the largest match of two lists, and how each cell came about: 1 a match, 2 from above, 0 from the left."""
+    def small(p: list[int], q: list[int], trace: bool) -> tuple[int, list[tuple[int, int]]]:
+        """The same for short lists, with the whole table: 1 a match, 2 from above, 0 from the left."""
         above, how = [0] * (len(q) + 1), []
         for i in p:
             row, came, last = [0], bytearray(len(q) + 1), 0
@@ -261,57 +303,113 @@ def match(a: tuple[list[int], list[str]], b: tuple[list[int], list[str]]) -> lis
                 best, c = last, 0
                 if above[n + 1] > best:
                     best, c = above[n + 1], 2
-                g = gain(i, j)
+                g = gain(i, j, False)
                 if g and above[n] + g >= best:
                     best, c = above[n] + g, 1
                 row.append(best)
                 came[n + 1], last = c, best
             how.append(came)
             above = row
-        return above[-1], how
-
-    todo = [(len(a[0]), len(b[0]))]
-    while todo:
-        i, j = todo[-1]
-        key = x.shape[i], y.shape[j]
-        if key in sizes:
-            todo.pop()
-            continue
-        p, q, low, high = ends(i, j)
-        rest_p, rest_q = p[low : len(p) - high], q[low : len(q) - high]
-        by_label: dict[str, dict[int, int]] = {}
-        for k in rest_q:
-            if y.kids[k]:
-                by_label.setdefault(y.label[k], {})[y.shape[k]] = k
-        seen: set[tuple[int, int]] = set()
-        for m in rest_p:
-            if x.kids[m]:
-                for shape, k in by_label.get(x.label[m], {}).items():
-                    pair = x.shape[m], shape
-                    if pair[0] != shape and pair not in sizes and pair not in seen:
-                        seen.add(pair)
-                        todo.append((m, k))
-        if not seen:
+        pairs, m, n = [], len(p), len(q)
+        while trace and m and n:
+            if how[m - 1][n] == 1:
+                m, n = m - 1, n - 1
+                pairs.append((p[m], q[n]))
+            elif how[m - 1][n] == 2:
+                m -= 1
+            else:
+                n -= 1
+        return above[-1], pairs
+
+    def lists(p: list[int], q: list[int], rough: bool, trace: bool) -> tuple[int, list[tuple[int, int]]]:
+        """Size of the largest match of two lists and, if asked for, its pairs."""
+        if not p or not q:
+            return 0, []
+        if len(p) * len(q) <= SMALL and not rough:
+            return small(p, q, trace)
+        which: dict[int, int] = {}
+        column = np.array([which.setdefault(y.shape[k], len(which)) for k in q])
+        first = list({y.shape[k]: k for k in reversed(q)}.items())
+        first = [k for _, k in sorted(first, key=lambda s: which[s[0]])]  # a node for each different subtree
+        kept: dict[int, np.ndarray] = {}
+        label_of, size_of, has_kids = np.array([labels[y.label[k]] for k in first]), np.array([y.size[k] for k in first]), np.array([bool(y.kids[k]) for k in first])
+
+        def gains(i: int) -> np.ndarray:
+            """What matching a child is worth with each of the others."""
+            if rough:
+                most = np.minimum(size_of, x.size[i]) if x.kids[i] else np.ones(len(first), np.int64)
+                row = np.where(label_of == labels[x.label[i]], np.where(has_kids, most, 1), 0)
+                if x.shape[i] in which:
+                    row[which[x.shape[i]]] = x.size[i]
+                return row[column]
+            if x.shape[i] not in kept:
+                if len(kept) * len(first) > 16 * PAIRS:
+                    kept.clear()
+                kept[x.shape[i]] = np.array([gain(i, k, False) for k in first])
+            return kept[x.shape[i]][column]
+
+        def below_(row: np.ndarray, i: int) -> np.ndarray:
+            out = row.copy()
+            np.maximum(row[1:], row[:-1] + gains(i), out=out[1:])
+            return np.maximum.accumulate(out)
+
+        # Every so many rows one is kept; those between are made again on the way back.
+        every, row, marks = int(len(p) ** 0.5) + 1, np.zeros(len(q) + 1, np.int64), []
+        for r, i in enumerate(p):
+            if r % every == 0:
+                marks.append(row)
+            row = below_(row, i)
+        pairs, n = [], len(q)
+        for b in reversed(range(len(marks))) if trace else ():
+            rows, part = [marks[b]], p[b * every : (b + 1) * every]
+            for i in part:
+                rows.append(below_(rows[-1], i))
+            r = len(part)
+            while r and n:
+                g = gain(part[r - 1], q[n - 1], rough)
+                if g and rows[r - 1][n - 1] + g == rows[r][n]:
+                    r, n = r - 1, n - 1
+                    pairs.append((part[r], q[n]))
+                elif rows[r - 1][n] > rows[r][n - 1]:
+                    r -= 1
+                else:
+                    n -= 1
+        return int(row[-1]), pairs
+
+    rough: set[tuple[int, int]] = set()
+
+    def measure(i: int, j: int) -> None:
+        """Sizes of two subtrees' match and of all that it needs."""
+        todo = [(i, j)]
+        while todo:
+            i, j = todo[-1]
+            key = x.shape[i], y.shape[j]
+            if key in sizes:
+                todo.pop()
+                continue
+            p, q, low, high = ends(i, j)
+            rest_p, rest_q = p[low : len(p) - high], q[low : len(q) - high]
+            met = open_pairs(rest_p, rest_q)
+            if met is None:
+                rough.add(key)
+            new = [(m, k) for m, k in met or () if (x.shape[m], y.shape[k]) not in sizes]
+            if new:
+                todo += new
+                continue
             todo.pop()
             same = sum(x.size[k] for k in p[:low]) + sum(x.size[k] for k in p[len(p) - high :])
-            sizes[key] = same + table(rest_p, rest_q)[0]
+            sizes[key] = same + lists(rest_p, rest_q, key in rough, False)[0]
 
     pairs, todo = [], [(len(a[0]), len(b[0]))]
     while todo:
         i, j = todo.pop()
+        key = x.shape[i], y.shape[j]
         p, q, low, high = ends(i, j)
         found = [*zip(p[:low], q[:low]), *zip(p[len(p) - high :], q[len(q) - high :])]
         p, q = p[low : len(p) - high], q[low : len(q) - high]
-        how = table(p, q)[1]
-        m, n = len(p), len(q)
-        while m and n:
-            if how[m - 1][n] == 1:
-                m, n = m - 1, n - 1
-                found.append((p[m], q[n]))
-            elif how[m - 1][n] == 2:
-                m -= 1
-            else:
-                n -= 1
+        if key not in sizes:  # the roots, or below a pair that was matched by sizes alone
+            measure(i, j)
+        found += lists(p, q, key in rough, True)[1]
         pairs += found
         todo += [(m, n) for m, n in found if x.kids[m] and y.kids[n]]
     return pairs

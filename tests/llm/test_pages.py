@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -124,7 +125,9 @@ def plain_match(a, b):
     return lists(*trees)
 
 
-def test_matching_equals_the_textbook():
+@pytest.mark.parametrize("small", [W.SMALL, 0])
+def test_matching_equals_the_textbook(monkeypatch, small):
+    monkeypatch.setattr(W, "SMALL", small)
     rng = random.Random(5)
     for _ in range(300):
         both = []
@@ -153,3 +156,33 @@ def test_broken_markup():
     assert W.extract("<div class='x><article><p>in</p></article>", None) == "in"
     assert W.extract("<article><script>x</article>", None) == ""
     assert W.extract("<p>" * 3000 + "deep" + "<div>" * 3000 + "er", None) == "deep\n\ner"
+
+
+@pytest.mark.parametrize("deep", [100, W.DEEPEST, 600, 5000])
+def test_text_behind_deep_elements_stays(deep):
+    page = "<html><body><div class='x'><article><p>before</p>" + "<div>" * deep + "in<p>two" + "</div>" * deep + "<p>after</p></article></div><div>outside</div></body></html>"
+    assert W.extract(page, None) == "before\n\nin\n\ntwo\n\nafter"
+
+
+def test_names_decide_whole_and_never_by_a_fragment():
+    for name in ("social-science", "search-results-2024", "notice-of-award", "entry-header", "header-of-state", "ad-hoc", "shared", "recommendations-for-adults"):
+        assert W.extract(f"<article><p>a</p><div class='{name}'><p>b</p></div><section id='{name}'>c</section></article>", None) == "a\n\nb\n\nc", name
+    for name in ("ad", "ad_banner", "comment-list", "cookie-notice", "sidebar-2", "site-header", "post_comments", "share-buttons", "x related-posts newsletter"):
+        assert W.extract(f"<article><p>a</p><div class='{name}'><p>b</p></div></article>", None) == "a", name
+
+
+def test_many_unlike_siblings_align_fast():
+    rng = random.Random(1)
+    pages = []
+    for n in (10_000, 9_000):
+        depth, label = [], []
+        for i in range(n):
+            for d, x in [(0, "div"), (1, rng.choice("pqrs")), *((2, rng.choice("abcdefgh")) for _ in range(rng.randrange(4)))]:
+                depth.append(d)
+                label.append(x)
+        pages.append((depth, label))
+    began = time.process_time()
+    pairs = W.match(*pages)
+    assert time.process_time() - began < 8  # about two seconds on a free machine
+    assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) > 9_000
+    assert all(pages[0][1][i] == pages[1][1][j] and pages[0][0][i] == pages[1][0][j] for i, j in pairs)
