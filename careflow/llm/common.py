@@ -10,7 +10,6 @@ import os
 import re
 import tempfile
 import uuid
-import weakref
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -61,20 +60,8 @@ class Kept:
         self.paths, self.values = [], []
 
 
-#: What the call that is running keeps, and by session what the last stage of a pipeline has kept.
+#: What the innermost ``scope`` that is open keeps.
 _running: contextvars.ContextVar[Kept | None] = contextvars.ContextVar("running", default=None)
-_last: weakref.WeakKeyDictionary[SparkSession, Kept] = weakref.WeakKeyDictionary()
-
-
-def _reads(df: DataFrame) -> list[str]:
-    """The folders that a frame's own plan reads (their names only, no files are listed)."""
-    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
-            roots = leaf.relation().location().rootPaths()
-            out += [roots.apply(k).toString() for k in range(roots.size())]
-    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -84,30 +71,32 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def scope(docs: DataFrame) -> Iterator[None]:
-    """What is stashed or broadcast within belongs to one stage of a pipeline.
+def scope(spark: SparkSession) -> Iterator[Kept]:
+    """What is stashed or broadcast within is freed at the end, and nothing else.
 
-    What the stage before has kept is freed first, unless ``docs`` still reads it: a stage's
-    result is written before the next stage begins.
+    Frames made within must have been written by then (``keep`` writes one so that it outlives the scope). Outside
+    of any scope nothing is freed: a frame stays good as long as the shared folder does.
     """
-    spark = docs.sparkSession
-    before, own = _last.get(spark), Kept(spark)
-    if before is not None:
-        used = {p.rpartition("/")[2] for p in _reads(docs)}
-        if used & {p.rpartition("/")[2] for p in before.paths}:
-            own.paths, own.values = before.paths, before.values
-        else:
-            before.free()
-    _last[spark] = own
+    own = Kept(spark)
     token = _running.set(own)
     try:
-        yield
+        yield own
+    finally:
+        _running.reset(token)
+        own.free()
+
+
+def keep(df: DataFrame, name: str, where: Kept) -> DataFrame:
+    """``stash`` of a frame that is freed with ``where``, not with the scope that is open."""
+    token = _running.set(where)
+    try:
+        return stash(df, name)
     finally:
         _running.reset(token)
 
 
 def spread(spark: SparkSession, value):
-    """A broadcast value of a proven size; within a stage it is taken back when the next one begins."""
+    """A broadcast value of a proven size; within a scope it is taken back at its end."""
     found = spark.sparkContext.broadcast(value)
     if (own := _running.get()) is not None:
         own.values.append(found)

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. ``run`` applies
 them to ``documents``, each written to the shared folder and read again. What a stage keeps in the shared
-folder for itself is deleted when the next one begins, and its broadcast values are taken back.
+folder for itself belongs to the run: it is deleted, and its broadcast values are taken back, when the stage's rows have been
+written. A stage that is called alone deletes nothing; wrap it in ``common.scope`` to have its tables deleted.
 
 All stages pass on rows with their own columns whatever their names; an empty table gives an empty
 table, and repeated rows are rows like others until the near-duplicate stage keeps one of them.
@@ -21,8 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts fail the base rules and go; null languages and sources are groups of their own.
     """
-    with common.scope(docs):
-        return quality.keep_clean(docs)
+    return quality.keep_clean(docs)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,7 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null ids are scored and never learned from; texts without words have the usual share of toxic ones as their score.
     """
-    with common.scope(docs):
-        return toxicity.keep_civil(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.keep_civil(docs, common.table(spark, sf_dir, "labels"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +38,12 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The least id stays, rows without id come last; texts without words are in no group and stay.
     """
-    with common.scope(docs):
-        return minhash.keep_distinct(docs, width=5, percent=80)
+    return minhash.keep_distinct(docs, width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture, written in ranges of it; null sources are a source of their own."""
-    with common.scope(docs):
-        return mixing.in_order(docs)
+    return mixing.in_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +51,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty, a null id stays null.
     """
-    with common.scope(docs):
-        mixed = mixing.mix(docs, carry=["text"]).withColumn("position", F.col("slot") * mixing.BLOCK + F.col("place"))
-        mixed = common.stash(mixed, "pipeline-places")
-        encoded = bpe.encode_documents(mixed, id_col="position").withColumnRenamed("doc_id", "position")
-        places = mixed.select("position", F.col("mixed_id").alias("doc_id"), "slot", "place")
-        return encoded.join(places, "position").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "slot", "place")
+    mixed = mixing.mix(docs, carry=["text"]).withColumn("position", F.col("slot") * mixing.BLOCK + F.col("place"))
+    mixed = common.stash(mixed, "pipeline-places")
+    encoded = bpe.encode_documents(mixed, id_col="position").withColumnRenamed("doc_id", "position")
+    places = mixed.select("position", F.col("mixed_id").alias("doc_id"), "slot", "place")
+    return encoded.join(places, "position").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "slot", "place")
 
 
 STAGES = [
@@ -76,7 +72,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), common.Kept(spark)
     for i, (_, stage) in enumerate(STAGES):
-        docs = common.stash(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        after = common.Kept(spark)
+        with common.scope(spark):
+            docs = common.keep(stage(spark, docs, sf_dir), f"pipeline-{i}", after)
+        before.free()
+        before = after
     return docs

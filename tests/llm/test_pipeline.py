@@ -72,3 +72,17 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], kind).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
+def test_a_lazy_result_outlives_another_stage_and_a_run_leaves_its_rows_only(spark):
+    docs = corpus_pipeline.common.table(spark, SF, "documents")
+    a, b = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+    first = corpus_pipeline.mix_sources(spark, a, SF).select("doc_id")
+    second = corpus_pipeline.keep_distinct(spark, b, SF)
+    assert second.count() and {r[0] for r in first.collect()} == {r[0] for r in a.select("doc_id").collect()}
+    folder = corpus_pipeline.common.shared_dir(spark)
+    before = set(os.listdir(folder))
+    got = corpus_pipeline.run(spark, SF)
+    assert {x.partition("-")[0] for x in set(os.listdir(folder)) - before} == {"pipeline"} and len(set(os.listdir(folder)) - before) == 1
+    assert got.count()
