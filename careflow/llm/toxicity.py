@@ -174,7 +174,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """(broadcast model, curve) learned from the labelled rows outside the held-out fold.
 
-    At most ``SAMPLE`` documents of each class are read; without both classes the curve is flat at
+    At most ``SAMPLE`` documents of each class are read, of these no text of more than ``LONGEST`` code points (such a text
+    is scored like all others, but never learned from), and no more once a class has ``CHARS`` code points; without both classes the curve is flat at
     the share of toxic labels. Of an id with several texts the least one is learned from.
     """
     spark = docs.sparkSession
