@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-#: Queries up to so many are broadcast against the vectors (a few hundred bytes each); beyond, both sides are dealt out in blocks.
-BROADCAST_QUERIES = 20_000
+#: Queries up to so many, and up to so many bytes of them, are broadcast against the vectors; more come in several blocks.
+BROADCAST_QUERIES, BROADCAST_BYTES = 20_000, 64 << 20
 
 
 def chunks(df: DataFrame, size: int = 200, step: int = 160, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,7 +40,7 @@ def embed(df: DataFrame, dims: int = 64, key: str = "doc_id", text: str = "text"
     return keys.join(entries, key, "left").select(key, values.alias("embedding"))
 
 
-def _whole(vector: Column) -> Column:
+def whole(vector: Column) -> Column:
     """Whether a vector may be compared: not null, not empty, without null or non-finite components."""
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~odd, F.lit(False))
@@ -54,50 +54,26 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id"
     order can't decide a tie. Null and empty vectors and those with null or non-finite components neither ask
     nor are found; a query only meets vectors of its own length.
     """
-    return _best_of(queries, vectors, k, key, vector)
-
-
-def _first(own: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k highest scores, ties by id; only what reaches the k-th score is sorted."""
-    m = min(k, score.shape[1])
-    least = -np.partition(-score, m - 1, axis=1)[:, m - 1 : m]
-    rows, cols = np.nonzero((score >= least) & (score > -np.inf))
-    order = np.lexsort((own[cols], -score[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    return rows[place < m], cols[place < m]
-
-
-def _best_of(queries: DataFrame, vectors: DataFrame, k: int, key: str, vector: str, codes_for=None) -> DataFrame:
-    """``topk`` of the vectors that share one of a query's codes (``codes_for``: from a length to a function of vectors; None: of all)."""
     spark = vectors.sparkSession
-    q = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v")).filter(_whole(F.col("v")))
-    all_ = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(_whole(F.col("v")))
+    q = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v")).filter(whole(F.col("v")))
+    all_ = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(whole(F.col("v")))
     out = None
     for size, n in sorted(map(tuple, q.groupBy(F.size("v")).count().collect())):  # a row for each length
-        codes = codes_for(size) if codes_for else None
-        blocks = max(1, -(-n // BROADCAST_QUERIES))
+        blocks = max(1, -(-n // min(BROADCAST_QUERIES, max(1, BROADCAST_BYTES // (8 * size)))))
         for i in range(blocks):
             part = q.filter((F.size("v") == size) & (F.pmod(F.xxhash64("q"), F.lit(blocks)) == i))
-            found = part.toArrow()  # at most about BROADCAST_QUERIES rows
+            found = part.toArrow()  # at most about BROADCAST_QUERIES rows and BROADCAST_BYTES bytes
             sent = spark.sparkContext.broadcast((found.column("q").to_numpy(), np.array(found.column("v").to_pylist(), dtype=float).reshape(len(found), -1)))
 
-            def best(batches, sent=sent, codes=codes):
+            def best(batches, sent=sent):
                 ids, matrix = sent.value
-                asked = codes(matrix) if codes and len(ids) else None
                 for pdf in batches:
                     if not len(pdf) or not len(ids):
                         continue
                     own, rows = pdf["id"].to_numpy(), np.array(pdf["v"].tolist(), dtype=float)
-                    coded = codes(rows) if codes else None
                     for low in range(0, len(ids), 256):
                         score = np.round(matrix[low : low + 256] @ rows.T, 9)
                         score[ids[low : low + 256, None] == own[None, :]] = -np.inf
-                        if codes:
-                            met = np.zeros(score.shape, bool)
-                            for a, b in zip(asked[low : low + 256].T, coded.T):
-                                met |= a[:, None] == b[None, :]
-                            score[~met] = -np.inf
                         r, c = _first(own, score, k)
                         yield pd.DataFrame({"query_id": ids[low + r], "neighbour": own[c], "score": score[r, c]})
 
@@ -109,24 +85,15 @@ def _best_of(queries: DataFrame, vectors: DataFrame, k: int, key: str, vector: s
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbour", "score")
 
 
-def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, planes: int = 4, tables: int = 24, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Like ``topk`` by random hyperplanes: only vectors that share one of ``tables`` codes with the query are ranked.
-
-    Codes are compared in Arrow batches; every batch keeps its best k for each query, and the
-    pairs that share a code are never moved. The defaults find 0.9 or more of the true five
-    neighbours where these have cosines of about 0.3, at the price of ranking three quarters of all pairs.
-    """
-
-    def codes_for(size: int):
-        normals = np.random.default_rng(seed).normal(size=(size, tables * planes))
-
-        def codes(rows):
-            bits = (rows @ normals >= 0).reshape(len(rows), tables, planes)
-            return bits @ (1 << np.arange(planes))
-
-        return codes
-
-    return _best_of(queries, vectors, k, key, vector, codes_for)
+def _first(own: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k highest scores, ties by id; only what reaches the k-th score is sorted."""
+    m = min(k, score.shape[1])
+    least = -np.partition(-score, m - 1, axis=1)[:, m - 1 : m]
+    rows, cols = np.nonzero((score >= least) & (score > -np.inf))
+    order = np.lexsort((own[cols], -score[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < m], cols[place < m]
 
 
 def mmr(queries: DataFrame, vectors: DataFrame, k: int = 5, pool: int = 20, weight: float = 0.5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from careflow.functions.identity import bucket, pseudonymize, split_of
 from careflow.functions.text import MARKERS
-from careflow.operators import audit, curate, evaluate, flow, records, retrieve, safety
+from careflow.operators import audit, curate, evaluate, flow, index, records, retrieve, safety
 from careflow.sources import tables
 from careflow.sources.tables import table
 
@@ -197,8 +197,9 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors by an inverted-file index that is built and searched."""
     vectors = table(spark, sf_dir, "embeddings")
-    return retrieve.approximate_topk(_asked(vectors), vectors)
+    return index.build(vectors, tables.scratch(spark, "index")).search(_asked(vectors))
 
 
 def _mmr_sql(picks: int = 5, pool: int = 20) -> str:

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from careflow.operators import curate, evaluate, flow, records, retrieve
+from careflow.operators import curate, evaluate, flow, index, records, retrieve
 from careflow.plans import catalog
 from careflow.settings import Settings
+from careflow.sources import tables
 
 
 def test_dedup_keeps_the_least_id(spark):
@@ -60,14 +61,6 @@ def test_topk_is_exact_whatever_the_block(spark, monkeypatch):
             assert [r["neighbour"] for r in got if r["query_id"] == q] == brute(v, q, 5)
 
 
-def test_approximate_topk_finds_most(spark):
-    v, df = vectors(spark, 400)
-    got = retrieve.approximate_topk(df.filter("vec_id % 50 = 0"), df, planes=4, tables=24).collect()
-    found = {(r["query_id"], r["neighbour"]) for r in got}
-    want = {(q, n) for q in range(0, 400, 50) for n in brute(v, q, 5)}
-    assert len(found & want) / len(want) >= 0.9
-
-
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data here")
 def test_registered_approximate_query_reaches_its_recall(spark):
     pairs = lambda name: {(r["query_id"], r["neighbour"]) for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect()}
@@ -95,8 +88,9 @@ def test_latest_record(spark):
 def test_odd_vectors_neither_ask_nor_are_found(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [0.9, 0.1], 1), (2, None, 1), (3, [], 1), (4, [1.0, None], 1), (5, [float("nan"), 1.0], 1), (6, [1.0, 0.0, 0.0], 1), (7, [float("inf"), 1.0], 1), (8, [0.0, 0.0], 1), (9, [0.0, 1.0, 0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(2)
-    for find in (retrieve.topk, retrieve.approximate_topk):
-        got = {(r["query_id"], r["neighbour"]) for r in find(df, df, k=3).collect()}
+    built = index.build(df, tables.scratch(spark, "odd"), lists=2, parts=2)
+    for find in (retrieve.topk(df, df, k=3), built.search(df, k=3)):
+        got = {(r["query_id"], r["neighbour"]) for r in find.collect()}
         assert got <= {(a, b) for g in ((0, 1, 8), (6, 9)) for a in g for b in g if a != b} and (0, 1) in got
     assert retrieve.topk(df.filter("vec_id = 2"), df).count() == 0 and retrieve.topk(df, df.limit(0)).count() == 0
 
