@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from careflow.functions.identity import bucket, pseudonymize, split_of
 from careflow.functions.text import MARKERS
-from careflow.operators import audit, curate, evaluate, flow, index, records, retrieve, safety
+from careflow.operators import audit, curate, evaluate, flow, index, records, retrieve, safety, temporal
 from careflow.sources import tables
 from careflow.sources.tables import table
 
@@ -319,6 +319,43 @@ def exact_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.exact_rate(want, got, "o_custkey", "value")
 
 
+_AT = "ts - INTERVAL 25 YEAR"  # the events lie 25 years behind the orders
+_HOUR = 3_600_000_000
+
+
+def _earlier_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("o_custkey"), F.expr(_AT).alias("at"))
+
+
+@query(
+    f"""WITH p AS (SELECT event_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM events JOIN orders ON o_custkey = user_id AND o_orderdate <= {_AT} GROUP BY event_id)
+    SELECT event_id, user_id AS o_custkey, o_orderkey, o_totalprice, o_orderpriority FROM events LEFT JOIN p USING (event_id) LEFT JOIN orders USING (o_orderkey)"""
+)
+def patient_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the newest order of its user at that time."""
+    found = temporal.as_of(_earlier_events(spark, sf_dir), table(spark, sf_dir, "orders"), ["o_custkey"], "at", "o_orderdate", ["o_orderkey", "o_totalprice", "o_orderpriority"], ["o_orderkey"])
+    return found.drop("at")
+
+
+@query(f"SELECT event_id, o_orderkey FROM events JOIN orders ON o_custkey = user_id AND o_orderdate < {_AT} + INTERVAL 1 HOUR AND {_AT} < o_orderdate + INTERVAL 60 DAY")
+def encounters_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of an hour that overlap the 60 days of an order of their user."""
+    events = _earlier_events(spark, sf_dir).withColumn("until", F.expr("at + INTERVAL 1 HOUR"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.expr("o_orderdate + INTERVAL 60 DAY").alias("o_until"))
+    return temporal.overlaps(events, orders, ["o_custkey"], ("at", "until"), ("o_orderdate", "o_until"), 60 * 24 * _HOUR).select("event_id", "o_orderkey")
+
+
+@query(
+    f"""WITH p AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+    s AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR epoch_us(ts) - epoch_us(before) > {6 * _HOUR}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM p)
+    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n FROM s GROUP BY user_id, s"""
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users' events by gaps of more than six hours."""
+    found = temporal.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 6 * _HOUR)
+    return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 # --- flow and routing -------------------------------------------------------------------------
 
 
