@@ -6,10 +6,12 @@ import contextlib
 import contextvars
 import ctypes
 import functools
+import gc
 import os
 import re
 import tempfile
 import uuid
+import weakref
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -60,6 +62,8 @@ class Kept:
         self.paths, self.values = [], []
 
 
+#: Tables that were stashed, by session, each with a weak reference to what Spark reads it by.
+_made: weakref.WeakKeyDictionary[SparkSession, list[tuple[str, object]]] = weakref.WeakKeyDictionary()
 #: What the innermost ``scope`` that is open keeps.
 _running: contextvars.ContextVar[Kept | None] = contextvars.ContextVar("running", default=None)
 
@@ -75,7 +79,7 @@ def scope(spark: SparkSession) -> Iterator[Kept]:
     """What is stashed or broadcast within is freed at the end, and nothing else.
 
     Frames made within must have been written by then (``keep`` writes one so that it outlives the scope). Outside
-    of any scope nothing is freed: a frame stays good as long as the shared folder does.
+    of any scope only ``sweep`` frees anything.
     """
     own = Kept(spark)
     token = _running.set(own)
@@ -95,6 +99,21 @@ def keep(df: DataFrame, name: str, where: Kept) -> DataFrame:
         _running.reset(token)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes the stashed tables that no frame reads any more.
+
+    A frame, and every frame derived from it, holds on to the table's list of files in the JVM; once that is
+    collected nobody can read the table again. Keep the frame (not only an RDD of it) as long as it is needed.
+    """
+    gc.collect()  # frames in reference cycles, such as those of a traceback
+    spark._jvm.System.gc()
+    made = _made.get(spark, [])
+    for path, reads in list(made):
+        if reads.get() is None:
+            remove(spark, path)
+            made.remove((path, reads))
+
+
 def spread(spark: SparkSession, value):
     """A broadcast value of a proven size; within a scope it is taken back at its end."""
     found = spark.sparkContext.broadcast(value)
@@ -120,7 +139,10 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     if (own := _running.get()) is not None:
         own.paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _made.setdefault(spark, []).append((path, spark._jvm.java.lang.ref.WeakReference(files)))
+    return out
 
 
 def shuffle_partitions(df: DataFrame) -> int:

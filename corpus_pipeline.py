@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. ``run`` applies
 them to ``documents``, each written to the shared folder and read again. What a stage keeps in the shared
 folder for itself belongs to the run: it is deleted, and its broadcast values are taken back, when the stage's rows have been
-written. A stage that is called alone deletes nothing; wrap it in ``common.scope`` to have its tables deleted.
+written. Stages that are called one by one first delete the tables of those before that no frame reads any more.
 
 All stages pass on rows with their own columns whatever their names; an empty table gives an empty
 table, and repeated rows are rows like others until the near-duplicate stage keeps one of them.
@@ -22,6 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts fail the base rules and go; null languages and sources are groups of their own.
     """
+    common.sweep(spark)
     return quality.keep_clean(docs)
 
 
@@ -30,6 +31,7 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null ids are scored and never learned from; texts without words have the usual share of toxic ones as their score.
     """
+    common.sweep(spark)
     return toxicity.keep_civil(docs, common.table(spark, sf_dir, "labels"))
 
 
@@ -38,11 +40,13 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The least id stays, rows without id come last; texts without words are in no group and stay.
     """
+    common.sweep(spark)
     return minhash.keep_distinct(docs, width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture, written in ranges of it; null sources are a source of their own."""
+    common.sweep(spark)
     return mixing.in_order(docs)
 
 
@@ -51,6 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty, a null id stays null.
     """
+    common.sweep(spark)
     mixed = mixing.mix(docs, carry=["text"]).withColumn("position", F.col("slot") * mixing.BLOCK + F.col("place"))
     mixed = common.stash(mixed, "pipeline-places")
     encoded = bpe.encode_documents(mixed, id_col="position").withColumnRenamed("doc_id", "position")

@@ -82,6 +82,17 @@ def test_a_lazy_result_outlives_another_stage_and_a_run_leaves_its_rows_only(spa
     second = corpus_pipeline.keep_distinct(spark, b, SF)
     assert second.count() and {r[0] for r in first.collect()} == {r[0] for r in a.select("doc_id").collect()}
     folder = corpus_pipeline.common.shared_dir(spark)
+    held = set(os.listdir(folder))
+    derived = second.filter("doc_id > 10").select("doc_id")
+    del first, second
+    corpus_pipeline.common.sweep(spark)
+    freed = held - set(os.listdir(folder))
+    n = derived.count()
+    assert freed and n
+    del derived
+    corpus_pipeline.common.sweep(spark)
+    left = {x.rpartition("-")[0] for x in set(os.listdir(folder)) & held}
+    assert held - set(os.listdir(folder)) > freed, left
     before = set(os.listdir(folder))
     got = corpus_pipeline.run(spark, SF)
     assert {x.partition("-")[0] for x in set(os.listdir(folder)) - before} == {"pipeline"} and len(set(os.listdir(folder)) - before) == 1
