@@ -42,7 +42,10 @@ def standard(text: Column) -> Column:
 
 
 def mask(text: Column) -> Column:
-    """E-mail addresses, IPv4 addresses and 16-digit numbers replaced by a mark."""
-    text = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")
+    """E-mail addresses, IPv4 addresses and 16-digit numbers replaced by a mark.
+
+    A local part is tried from its first character only and as a whole, so a long run without ``@`` is passed over once.
+    """
+    text = F.regexp_replace(text, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")
     text = F.regexp_replace(text, r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", "<ip>")
     return F.regexp_replace(text, r"\b[0-9]{4}([ -]?[0-9]{4}){3}\b", "<number>")

@@ -18,9 +18,9 @@ def dedup_exact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def valid(df: DataFrame, labels: DataFrame, least_chars: int = 50, key: str = "doc_id") -> DataFrame:
-    """Rows with a text of at least ``least_chars`` code points and no label of low quality."""
+    """Rows with a text of at least ``least_chars`` code points and no label of low quality; of several labels of an id the lowest counts."""
     long_enough = df.filter((F.length("text") >= least_chars) & (F.trim("text") != ""))
-    return long_enough.join(labels.select(key, "quality"), key, "left").filter(F.coalesce("quality", F.lit(1)) == 1).drop("quality")
+    return long_enough.join(labels.groupBy(key).agg(F.min("quality").alias("quality")), key, "left").filter(F.coalesce("quality", F.lit(1)) == 1).drop("quality")
 
 
 def standardise(df: DataFrame, text: str = "text") -> DataFrame:

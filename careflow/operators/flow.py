@@ -75,3 +75,27 @@ def run(requests: DataFrame, patients: DataFrame, protocols: DataFrame, verdicts
     df = classify_request(validate_input(requests))
     df = validate_answer(generate_answer(build_context(df, patients, protocols)))
     return format_response(human_review(df, verdicts))
+
+
+def review_actions(asked: DataFrame, verdicts: DataFrame, remind: int, expire: int) -> DataFrame:
+    """(trace_id, action, at, verdict, n): what reviews of (trace_id, asked_at) with verdicts (trace_id, given_at, verdict) come to.
+
+    ``remind`` and ``expire`` are microseconds after the request. Actions: ask; remind if there is no verdict by then; resume with the first verdict
+    in time (ties: the least), else expire; every other verdict is repeated (behind a resume), late, or unknown (no request before it).
+    ``n`` counts rows that are alike. Of repeated requests the earliest counts; null ids and times are left out.
+    """
+    later = lambda c, us: F.timestamp_micros(F.unix_micros(c) + us)
+    first = asked.filter("trace_id is not null and asked_at is not null").groupBy("trace_id").agg(F.min(F.col("asked_at").cast("timestamp")).alias("asked"))
+    given = verdicts.filter("trace_id is not null and given_at is not null").groupBy("trace_id", F.col("given_at").cast("timestamp").alias("at"), "verdict").agg(F.count("*").alias("n"))
+    given = given.join(first, "trace_id", "left").withColumn("known", F.coalesce(F.col("at") >= F.col("asked"), F.lit(False)))
+    in_time = F.col("known") & (F.col("at") <= later(F.col("asked"), expire))
+    taken = given.filter(in_time).groupBy("trace_id").agg(F.min(F.struct("at", F.coalesce("verdict", F.lit("")).alias("least"), "verdict")).alias("t"))
+    state = first.join(taken, "trace_id", "left")
+    step = lambda name, at, when=F.lit(True), verdict=F.lit(None).cast("string"): F.when(when, F.struct(F.lit(name).alias("action"), at.alias("at"), verdict.alias("verdict"), F.lit(1).cast("long").alias("n")))
+    reminded, expired = later(F.col("asked"), remind), later(F.col("asked"), expire)
+    steps = F.array(step("ask", F.col("asked")), step("remind", reminded, F.col("t").isNull() | (F.col("t.at") > reminded)), step("expire", expired, F.col("t").isNull()), step("resume", F.col("t.at"), F.col("t").isNotNull(), F.col("t.verdict")))
+    own = state.select("trace_id", F.inline(F.filter(steps, lambda s: s.isNotNull())))
+    is_taken = F.col("t").isNotNull() & (F.col("at") == F.col("t.at")) & F.col("verdict").eqNullSafe(F.col("t.verdict"))
+    rest = given.join(taken, "trace_id", "left").withColumn("n", F.col("n") - is_taken.cast("int")).filter("n > 0")
+    action = F.when(~F.col("known"), "unknown").when(F.col("t").isNotNull(), "repeated").otherwise("late")
+    return own.unionByName(rest.select("trace_id", action.alias("action"), "at", "verdict", "n"))

@@ -7,12 +7,14 @@ whose id is divisible by 50 against all vectors.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careflow.functions.identity import bucket, pseudonymize, split_of
 from careflow.functions.text import MARKERS
-from careflow.operators import audit, curate, evaluate, flow, index, records, retrieve, safety, temporal
+from careflow.operators import audit, curate, evaluate, flow, index, linked, records, retrieve, safety, temporal
 from careflow.sources import tables
 from careflow.sources.tables import table
 
@@ -158,6 +160,22 @@ def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split", "bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
+_SHARD = "source || '/' || CAST(doc_id // 20 AS VARCHAR)"
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, text, coalesce({_SHARD}, 'text:' || coalesce(sha256(text), '')) AS g FROM documents),
+    e AS (SELECT DISTINCT a.g AS a, b.g AS b FROM d a JOIN d b ON a.text = b.text AND a.g <> b.g),
+    r AS (SELECT DISTINCT g, g AS c FROM d UNION SELECT r.g, e.b FROM r JOIN e ON e.a = r.c),
+    c AS (SELECT g, min(c) AS component FROM r GROUP BY g)
+    SELECT doc_id, component, {_SPLIT.format(k='component')} AS split FROM d JOIN c USING (g)"""
+)
+def split_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of a source (20 ids each) stay whole, and shards that share a text stay together."""
+    docs = table(spark, sf_dir, "documents").withColumn("shard", F.concat("source", F.lit("/"), F.expr("CAST(doc_id div 20 AS STRING)")))
+    return linked.linked_split(docs, "shard", "text").select("doc_id", "component", "split")
+
+
 @query(f"WITH s AS (SELECT doc_id, lower({_STANDARD.format(t='text')}) AS t, {_SPLIT.format(k='doc_id')} AS split FROM documents) SELECT doc_id FROM s WHERE split = 'test' AND t IN (SELECT t FROM s WHERE split = 'train')")
 def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.overlap(table(spark, sf_dir, "documents"))
@@ -309,6 +327,26 @@ def variant_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.by_variant(found.withColumn("variant", F.col("c_mktsegment")), "variant", F.col("o_totalprice")).withColumn("score", F.round("score", 4))
 
 
+def _paired_sql(rounds: int = 96) -> str:
+    """Both variants' scores, and each round's weighted mean difference from the same hashes."""
+    weight = " + ".join(f"(u >= {p})::INT" for p in evaluate.POISSON)
+    mmr = _mmr_sql()
+    return f"""{mmr[: mmr.rindex(') SELECT')]}), s1 AS (SELECT query_id, avg((a.label IS NOT DISTINCT FROM b.label)::INT::DOUBLE) AS first FROM near JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = neighbour WHERE rank <= 5 GROUP BY 1),
+    s2 AS (SELECT query_id, avg((a.label IS NOT DISTINCT FROM b.label)::INT::DOUBLE) AS second FROM t5 JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = neighbour GROUP BY 1),
+    q AS (SELECT * FROM s1 JOIN s2 USING (query_id)), w AS (SELECT r, second - first AS d, ('0x' || substr(sha256(query_id || ':' || (r // 16)), (r % 16 * 4 + 1)::BIGINT, 4))::INT AS u FROM q, range({rounds}) AS t(r)),
+    b AS (SELECT r, sum(d * ({weight})) / nullif(sum({weight}), 0) AS d FROM w GROUP BY r)
+    SELECT count(*) AS n, round(avg(first), 6) AS first, round(avg(second), 6) AS second, round(avg(second - first), 6) AS difference, (SELECT round(quantile_cont(d, 0.025), 6) FROM b) AS low, (SELECT round(quantile_cont(d, 0.975), 6) FROM b) AS high FROM q"""
+
+
+@query(_paired_sql())
+def variant_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of neighbours with the query's label, exact search against MMR, with an interval of the difference."""
+    vectors = table(spark, sf_dir, "embeddings")
+    labels = [vectors.select(F.col("vec_id").alias(c), F.col("label").alias(f"{c}_label")) for c in ("query_id", "neighbour")]
+    share = lambda found, name: found.join(labels[0], "query_id").join(labels[1], "neighbour").groupBy("query_id").agg(F.avg(F.col("query_id_label").eqNullSafe(F.col("neighbour_label")).cast("double")).alias(name))
+    return evaluate.paired_difference(share(_nearest(spark, sf_dir), "first").join(share(retrieve.mmr(_asked(vectors), vectors), "second"), "query_id"), "query_id", "first", "second")
+
+
 @query(
     """WITH newest AS (SELECT o_custkey, max_by(o_orderpriority, o_orderkey) AS got FROM orders GROUP BY 1), first AS (SELECT o_custkey, min_by(o_orderpriority, o_orderkey) AS want FROM orders GROUP BY 1)
     SELECT count(*) AS n, round(avg((want IS NOT DISTINCT FROM got)::INT::DOUBLE), 6) AS exact_rate FROM first LEFT JOIN newest USING (o_custkey)"""
@@ -379,6 +417,16 @@ def routing_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.confusion(docs, F.when((F.col("doc_id") % 10).isin(0, 1, 2), "human_review").otherwise("allow"), F.col("decision"))
 
 
+@query(
+    f"""WITH {_DOCS}, r AS (SELECT CASE WHEN doc_id % 10 IN (0, 1, 2) THEN 'human_review' ELSE 'allow' END AS expected, {_DECISION} AS got, lang, source FROM folded)
+    SELECT expected, lang, source, grouping(expected, lang, source)::BIGINT AS grouping, count(*) AS n, round(avg((expected = got)::INT::DOUBLE), 6) AS accuracy FROM r GROUP BY CUBE (expected, lang, source)"""
+)
+def routing_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing accuracy over category, language and source, and all their combinations."""
+    docs = safety.assess(_docs(spark, sf_dir)).withColumn("expected", F.when((F.col("doc_id") % 10).isin(0, 1, 2), "human_review").otherwise("allow"))
+    return evaluate.metric_cube(docs, ["expected", "lang", "source"], F.col("expected") == F.col("decision"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as requests; two of three have a patient, every fifth of those an unknown one."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
@@ -422,6 +470,28 @@ def flow_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flow(spark, sf_dir, verdicts).select("trace_id", "verdict", "response")
 
 
+_REVIEWS = """a AS (SELECT 't-' || k AS trace_id, TIMESTAMP '2026-01-01' + to_minutes(k::INT) AS asked, k FROM w WHERE review),
+    g AS (SELECT trace_id, asked + to_hours((k % 7)::INT) AS moment, 'approved' AS verdict FROM a WHERE k % 4 = 0 UNION ALL SELECT trace_id, asked + to_hours(2), 'rejected' FROM a WHERE k % 4 = 1
+        UNION ALL SELECT trace_id, asked + to_hours(3), 'approved' FROM a WHERE k % 4 = 1 UNION ALL SELECT 'x' || trace_id, asked, 'approved' FROM a WHERE k % 4 = 3),
+    f AS (SELECT trace_id, min((moment, verdict)) AS f FROM g JOIN a USING (trace_id) WHERE moment >= asked AND moment <= asked + INTERVAL 4 HOUR GROUP BY trace_id), s AS (SELECT a.*, f[1] AS taken, f[2] AS taken_verdict FROM a LEFT JOIN f USING (trace_id)),
+    o AS (SELECT trace_id, 'ask' AS action, asked AS moment, NULL AS verdict FROM s UNION ALL SELECT trace_id, 'remind', asked + INTERVAL 1 HOUR, NULL FROM s WHERE taken IS NULL OR taken > asked + INTERVAL 1 HOUR
+        UNION ALL SELECT trace_id, 'expire', asked + INTERVAL 4 HOUR, NULL FROM s WHERE taken IS NULL UNION ALL SELECT trace_id, 'resume', taken, taken_verdict FROM s WHERE taken IS NOT NULL
+        UNION ALL SELECT g.trace_id, CASE WHEN s.trace_id IS NULL OR g.moment < asked THEN 'unknown' WHEN taken IS NULL THEN 'late' ELSE 'repeated' END, g.moment, g.verdict FROM g LEFT JOIN s USING (trace_id) WHERE taken IS NULL OR (g.moment, g.verdict) IS DISTINCT FROM (taken, taken_verdict))"""
+
+
+@query(f"{_FLOW.replace('s AS (', 's0 AS (').replace('FROM s)', 'FROM s0)')}, {_REVIEWS} SELECT trace_id, action, epoch_us(moment) AS at_us, verdict, 1::BIGINT AS n FROM o")
+def flow_review_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of the flow's requests: asked, reminded after an hour, expired after four, resumed by verdicts, of which some are late, repeated or unknown."""
+    k = F.expr("try_cast(substring(trace_id, 3) as long)")
+    asked = _flow(spark, sf_dir).filter("requires_human_review").select("trace_id", k.alias("k")).withColumn("asked_at", F.expr("timestamp'2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, k)"))
+    later = lambda hours: F.expr(f"asked_at + make_interval(0, 0, 0, 0, {hours})")
+    given = lambda when, id_, at, verdict: asked.filter(when).select(id_.alias("trace_id"), at.alias("given_at"), F.lit(verdict).alias("verdict"))
+    own = F.col("trace_id")
+    verdicts = [given("k % 4 = 0", own, later("cast(k % 7 as int)"), "approved"), given("k % 4 = 1", own, later(2), "rejected"), given("k % 4 = 1", own, later(3), "approved"), given("k % 4 = 3", F.concat(F.lit("x"), own), F.col("asked_at"), "approved")]
+    found = flow.review_actions(asked, reduce(DataFrame.unionByName, verdicts), _HOUR, 4 * _HOUR)
+    return found.select("trace_id", "action", F.unix_micros("at").alias("at_us"), "verdict", "n")
+
+
 @query(
     f"""{_FLOW} SELECT 't-' || k AS trace_id, CASE WHEN NOT valid THEN 'invalid' WHEN pid IS NOT NULL THEN 'clinical_question' ELSE 'protocol_question' END AS route, substr(sha256(pid), 1, 16) AS patient_id_hash,
     coalesce('doc-' || src, '') AS sources, safety_status, review AS human_review FROM w"""

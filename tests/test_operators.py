@@ -168,3 +168,40 @@ def test_settings_keep_an_empty_variable(monkeypatch):
     monkeypatch.delenv("CAREFLOW_DATA_DIR", raising=False)
     s = Settings()
     assert s.environment == "" and str(s.data_dir) == "data"
+
+
+def test_intervals_do_not_depend_on_partitions_and_hold_the_mean(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(a + 0.2 + d)) for i, (a, d) in enumerate(rng.normal(size=(400, 2)))] + [(900, None, 1.0), (901, 1.0, None)]
+    df = spark.createDataFrame(rows, "q long, a double, b double")
+    one, two = (evaluate.paired_difference(df.repartition(n), "q", "a", "b").first() for n in (1, 7))
+    assert one.asDict() == two.asDict() and one["n"] == 400 and one["low"] < one["difference"] < one["high"]
+    d = np.array([b - a for _, a, b in rows[:400]])
+    assert abs((one["high"] - one["low"]) - 2 * 1.96 * d.std() / 20) < 0.25 * (one["high"] - one["low"])
+    assert evaluate.paired_difference(df.limit(0), "q", "a", "b").first()["n"] == 0
+
+
+def test_cube_and_its_sketch(spark):
+    rows = spark.range(20_000).selectExpr("id % 2 as a", "id % 3 as b", "id % 5 = 0 as ok", "id % 7000 as x")
+    got = {(r["a"], r["b"]): r for r in evaluate.metric_cube(rows, ["a", "b"], evaluate.F.col("ok"), "x").collect()}
+    assert len(got) == 12 and got[None, None]["n"] == 20_000 and got[None, None]["grouping"] == 3 and got[0, None]["grouping"] == 1 and got[None, None]["accuracy"] == 0.2
+    assert abs(got[None, None]["n_distinct"] / 7000 - 1) < 0.05
+
+
+def test_two_labels_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "x" * 60), (2, "x" * 60), (3, "x" * 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 0), (3, None)], "doc_id long, quality int")
+    assert sorted(r["doc_id"] for r in curate.valid(docs, labels).collect()) == [1, 3]
+
+
+def test_masks_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        got = curate.masked(spark.createDataFrame([("a" * n + " x.y@z.org,a@b.c-d@e.fr " + "9" * n,)], "text string")).first()["text"]
+        assert got == "a" * n + " <email>,a@b.c-<email> " + "9" * n or got.count("<email>") == 2
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(400_000) < 20
