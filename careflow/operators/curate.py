@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from careflow.functions.identity import split_of
@@ -81,3 +81,27 @@ def chat_rows(turns: DataFrame) -> DataFrame:
     line = F.concat(F.lit("<"), F.coalesce("role", F.lit("")), F.lit("> "), F.coalesce("text", F.lit("")))
     said = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("said"))
     return said.select("conv_id", F.array_join(F.col("said.line"), "\n").alias("chat"), F.size("said").cast("long").alias("n_turns"))
+
+
+def shared_runs(docs: DataFrame, passages: DataFrame, least: int = 8, key: str = "doc_id", item: str = "item_id") -> DataFrame:
+    """(key, item, doc_at, item_at, n_words): the longest run of words that a document shares with a passage, if it has ``least`` words.
+
+    Words are ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case; places count words from 0; of runs of equal length that first in the document,
+    then in the passage counts. Runs of ``least`` words meet by two hashes of them (96 bits); hits that follow each other on one diagonal (place in the
+    document less place in the passage) chain into runs. Null keys and texts share nothing, rows of one key count together.
+    """
+    low = lambda c: F.translate(F.coalesce(c, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def hits(df: DataFrame, name: str, at: str) -> DataFrame:
+        words = df.filter(F.col(name).isNotNull()).select(name, F.filter(F.split(low(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_w"))
+        grams = F.transform(F.sequence(F.lit(1), F.size("_w") - least + 1), lambda i: F.array_join(F.slice("_w", i, least), " "))
+        both = F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("a"), F.hash(g).alias("b")))
+        rows = words.filter(F.size("_w") >= least).select(name, F.posexplode(both).alias(at, "_h"))
+        return rows.select(name, at, F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b")).distinct()
+
+    met = hits(docs, key, "_d").join(hits(passages, item, "_p"), ["_a", "_b"]).select(key, item, "_d", (F.col("_d") - F.col("_p")).alias("_diagonal")).distinct()
+    order = Window.partitionBy(key, item, "_diagonal").orderBy("_d")
+    runs = met.withColumn("_run", F.col("_d") - F.row_number().over(order)).groupBy(key, item, "_diagonal", "_run").agg(F.min("_d").alias("doc_at"), (F.count("*") + least - 1).alias("n_words"))
+    runs = runs.withColumn("item_at", F.col("doc_at") - F.col("_diagonal"))
+    best = runs.groupBy(key, item).agg(F.min(F.struct((-F.col("n_words")).alias("less"), "doc_at", "item_at")).alias("_r"))
+    return best.select(key, item, F.col("_r.doc_at").cast("long").alias("doc_at"), F.col("_r.item_at").cast("long").alias("item_at"), (-F.col("_r.less")).alias("n_words"))

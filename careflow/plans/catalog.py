@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from careflow.functions.identity import bucket, pseudonymize, split_of
 from careflow.functions.text import MARKERS
-from careflow.operators import audit, curate, evaluate, flow, index, linked, records, retrieve, safety, temporal
-from careflow.sources import tables
+from careflow.operators import audit, curate, evaluate, flow, index, lexical, linked, records, retrieve, safety, temporal
+from careflow.sources import fhir, tables
 from careflow.sources.tables import table
 
 QUERIES: dict = {}
@@ -186,6 +186,20 @@ def leakage_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+    g AS (SELECT doc_id, i - 1 AS d, array_to_string(w[i:i + 7], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+    h AS (SELECT item_id, i - 1 AS p, array_to_string(w[i:i + 7], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - 6)) AS i FROM b WHERE len(w) >= 8)),
+    m AS (SELECT doc_id, item_id, d, d - p AS g, d - row_number() OVER (PARTITION BY doc_id, item_id, d - p ORDER BY d) AS r FROM g JOIN h USING (t)),
+    r AS (SELECT doc_id, item_id, min(d) AS doc_at, min(d) - g AS item_at, count(*) + 7 AS n_words FROM m GROUP BY doc_id, item_id, g, r)
+    SELECT doc_id, item_id, doc_at, item_at, n_words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, doc_at, item_at) AS k FROM r) WHERE k = 1"""
+)
+def leakage_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest runs of eight words or more that documents share with evaluation passages."""
+    return curate.shared_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("SELECT conv_id, sha256(string_agg('<' || coalesce(role, '') || '> ' || coalesce(text, ''), chr(10) ORDER BY turn)) AS chat_hash, count(*) AS n_turns FROM conversations GROUP BY conv_id")
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.chat_rows(table(spark, sf_dir, "conversations")).select("conv_id", F.sha2("chat", 256).alias("chat_hash"), "n_turns")
@@ -302,6 +316,35 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("embedding").alias("place", "weight")).filter("weight <> 0").withColumn("weight", F.round("weight", 6))
 
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_BM25 = f"""w AS (SELECT doc_id, {_TERMS} AS w FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY ALL),
+    f AS (SELECT term, ln(1.0::DOUBLE + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS weight FROM c, (SELECT count(*) AS n FROM documents) GROUP BY term, n),
+    a AS (SELECT item_id AS query_id, term FROM (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+    x AS (SELECT query_id, doc_id, round(sum(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(w) / mean)) * weight), 6) AS score FROM a JOIN c USING (term) JOIN f USING (term) JOIN w USING (doc_id), (SELECT avg(len(w)) AS mean FROM w) GROUP BY ALL),
+    bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM x) WHERE rank <= 10)"""
+
+
+@query(f"WITH {_BM25} SELECT query_id, rank, doc_id, score FROM bm")
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents with the highest BM25 for each passage, by an index that is built and searched."""
+    built = lexical.build(table(spark, sf_dir, "documents"), tables.scratch(spark, "lexical"))
+    return built.search(table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    f"""WITH {_BM25}, v AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS s FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+    vk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM v) WHERE rank <= 10),
+    u AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM vk) GROUP BY ALL)
+    SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM u) WHERE rank <= 10"""
+)
+def fused_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage's BM25 ranking fused with that of the vector of its id (vectors stand in for documents of their ids)."""
+    vectors, passages = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
+    asked = vectors.join(passages.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    near = retrieve.topk(asked, vectors, 10).withColumnRenamed("neighbour", "doc_id")
+    return lexical.fuse([lexical_topk(spark, sf_dir), near])
+
+
 # --- records ----------------------------------------------------------------------------------
 
 
@@ -541,3 +584,18 @@ def manifest_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tables.scratch(spark, "manifest")
     tables.write_manifest(curate.split(table(spark, sf_dir, "documents"), "doc_id"), path, "doc_id")
     return tables.records(spark, path, spark.createDataFrame([], "doc_id long, split string").schema, "json")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS patient_id, c_mktsegment AS family, o_orderstatus AS status, epoch_us(o_orderdate) AS start_us FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def fhir_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as FHIR bundles, a patient each, and read back as tables."""
+    order = F.struct(F.lit("Encounter").alias("resourceType"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"), F.struct(F.concat(F.lit("Patient/"), F.col("o_custkey").cast("string")).alias("reference")).alias("subject"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start")).alias("period"))
+    visits = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.to_json(F.struct(order.alias("resource")))).alias("visits"))
+    person = F.struct(F.lit("Patient").alias("resourceType"), F.col("c_custkey").cast("string").alias("id"), F.array(F.struct(F.col("c_mktsegment").alias("family"))).alias("name"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.to_json(F.struct(person.alias("resource"))).alias("person"))
+    all_ = F.array_join(F.array_compact(F.concat(F.array("person"), F.coalesce("visits", F.array().cast("array<string>")))), ",")
+    path = tables.scratch(spark, "bundles")
+    visits.join(people, "o_custkey", "full").select(F.concat(F.lit('{"resourceType":"Bundle","entry":['), all_, F.lit("]}")).alias("value")).write.text(path)
+    found = fhir.entries(fhir.read(spark, path))
+    who = fhir.table(found, "patients").select(F.col("id").alias("patient_id"), "family")
+    return fhir.table(found, "encounters").join(who, "patient_id", "left").select("id", "patient_id", "family", "status", F.unix_micros("start").alias("start_us"))
