@@ -40,7 +40,7 @@ class Sessions(StatefulProcessor):
         for at, n in zip(found["at_us"].astype("int64"), found["n"].astype("int64")):
             at, n = int(at), int(n)
             near = [s for s in now if s[0] - self.gap <= at <= s[1] + self.gap]
-            if not near and self._due(at) <= over:
+            if not near and at < 1_000 * over:
                 late.append((key[0], "late", at, at, n))
                 continue
             now = [s for s in now if s not in near] + [(min(at, *(s[0] for s in near)) if near else at, max(at, *(s[1] for s in near)) if near else at, n + sum(s[2] for s in near))]
@@ -65,9 +65,9 @@ class Sessions(StatefulProcessor):
 
 
 def sessions(events: DataFrame, by: str, at: str, gap: int, delay: str = "10 minutes") -> DataFrame:
-    """A stream of ``OUT`` from events: ``session`` rows once no event can join any more, ``late`` rows for events behind that.
+    """A stream of ``OUT`` from events: ``session`` rows once no event in time can join any more, ``late`` rows for events behind the watermark.
 
-    ``gap`` is in microseconds; an event of a session that is still open joins it however late it comes. Null keys and times are left out.
+    ``gap`` is in microseconds; an event that would be late joins a session that is still open near it. Null keys and times are left out.
     """
     rows = events.select(F.col(by).cast("string").alias("key"), F.col(at).cast("timestamp").alias("clock")).filter("key is not null and clock is not null")
     # Time goes on by a column that the operator doesn't see, so that late rows come through to it.
