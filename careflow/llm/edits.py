@@ -1,11 +1,13 @@
 """Edit-aware token counts (operator 4).
 
 A document's tree has a leaf for every run of pre-tokens of about ``LEAF`` code points; a node
-holds the code points and the tokens of its subtree. Leaves are cut before a space between two
-characters that aren't white space, where the pre-token pattern has a boundary whatever stands
-around, so a document's count is the sum of its leaves'. An edit descends to the leaves that
-it touches; if it spoils the cut at either side, the neighbour is taken in as context; only
+holds the code points and the tokens of its subtree. Leaves are cut at boundaries of the
+pre-token pattern behind a character that isn't white space: the pattern looks only ahead, so a piece that ends there is split in the
+same way with or without what follows, and a document's count is the sum of its leaves'. An edit descends to the leaves that
+it touches; where it comes so near to the cut on the left that this one might move, the neighbour is taken in as context, and on the
+right leaves are taken in until the new split meets an old cut again; only
 this region is encoded again, spread over the same leaves, and the sums above are updated.
+Only a single pre-token longer than a leaf makes a longer one.
 """
 
 from __future__ import annotations
@@ -25,15 +27,31 @@ from .words import slices
 
 #: Code points of a leaf when a tree is built; a leaf that has grown beyond GROWN times this has its tree built anew.
 LEAF, GROWN = 1_024, 8
+#: A boundary wherever it stands, found without splitting: before a space between two characters that aren't white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def cut(text: str, size: int) -> list[str]:
-    """Leaves of at least ``size`` code points (but the last), cut at sure boundaries."""
-    out, at = [], 0
+def _cut_from(text: str, at: int, least: int, pattern: str) -> int:
+    """The first boundary from ``least`` on behind a character that isn't white space, by splitting from the boundary ``at``; the text's end without one."""
+    reach = max(least + 64, at + (least - at) * 5 // 4)
+    while True:
+        part = text[at:reach]
+        for e in bpe.boundaries(part, pattern):
+            if at + e >= least and not part[e - 1].isspace() and (reach >= len(text) or e <= len(part) - bpe.UNSURE):
+                return at + e
+        if reach >= len(text):
+            return len(text)
+        reach = at + 2 * (reach - at)
+
+
+def cut(text: str, size: int, pattern: str, ahead: str = "") -> list[str]:
+    """Leaves of at least ``size`` code points (but the last); the text begins and ends at cuts, ``ahead`` is what follows it."""
+    out, at, whole = [], 0, text + ahead
     while at < len(text):
-        m = _CUT.search(text, at + size)
-        to = m.start() if m else len(text)
+        to = len(text)
+        if at + size < len(text):
+            m = _CUT.search(whole, at + size, at + 2 * size + 2)
+            to = min(to, m.start() if m else _cut_from(whole, at, at + size, pattern))
         out.append(text[at:to])
         at = to
     return out or [""]
@@ -43,7 +61,7 @@ class CountTree:
     """A segment tree of (code points, tokens) over a text's leaves, as two arrays in heap order."""
 
     def __init__(self, text: str, enc: tiktoken.Encoding, chars: list[int] | None = None, tokens: list[int] | None = None):
-        self.enc, self.encoded = enc, 0
+        self.enc, self.encoded, self.pattern = enc, 0, enc._pat_str
         if chars is None or tokens is None:
             self._build(text)
             self.encoded = 0
@@ -55,7 +73,7 @@ class CountTree:
             at += n
 
     def _build(self, text: str) -> None:
-        self.leaves = cut(text, LEAF)
+        self.leaves = cut(text, LEAF, self.pattern)
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.leaves += [""] * (self.size - len(self.leaves))
         self.chars = [0] * self.size + [len(x) for x in self.leaves]
@@ -101,13 +119,18 @@ class CountTree:
         last, _ = self._leaf(max(at + delete - 1, at)) if delete else (first, 0)
         region = "".join(self.leaves[first : last + 1])
         region = region[:inner] + insert + region[inner + delete :]
-        # Boundary context: until both sides of the region are sure cuts again.
-        while (left := self._beside(first, -1)) is not None and not (re.match(r" \S", region) and not self.leaves[left][-1].isspace()):
-            region, first = "".join(self.leaves[left:first]) + region, left
-        while (right := self._beside(last, 1)) is not None and not (region and not region[-1].isspace() and re.match(r" \S", self.leaves[right])):
-            region, last = region + "".join(self.leaves[last + 1 : right + 1]), right
+        # Boundary context: on the left until what decides on the cut there is as it was, on the right until the split meets a cut again.
+        while inner < bpe.UNSURE and (left := self._beside(first, -1)) is not None:
+            region, inner, first = "".join(self.leaves[left:first]) + region, inner + self.chars[self.size + left], left
+        take = 1
+        while (right := self._beside(last, 1)) is not None and not self._meets(region, right):
+            for _ in range(take):
+                region, last = region + self.leaves[right], right
+                if (right := self._beside(last, 1)) is None:
+                    break
+            take *= 2
         n = last - first + 1
-        parts = cut(region, max(1, len(region) // n))
+        parts = cut(region, max(1, len(region) // n), self.pattern, self._ahead(last))
         parts = parts[: n - 1] + ["".join(parts[n - 1 :])] + [""] * (n - 1 - len(parts)) if len(parts) > n - 1 else parts + [""] * (n - len(parts))
         if max(map(len, parts)) > GROWN * LEAF:
             self._build("".join(self.leaves[:first] + parts + self.leaves[last + 1 :]))
@@ -122,6 +145,22 @@ class CountTree:
                 self._sum(i)
             low, high = low // 2, high // 2
 
+    def _ahead(self, last: int, least: int = 64) -> str:
+        """What follows a leaf: so many code points at least, if there are."""
+        out = ""
+        while len(out) < least and (right := self._beside(last, 1)) is not None:
+            out, last = out + self.leaves[right], right
+        return out
+
+    def _meets(self, region: str, right: int) -> bool:
+        """Whether the split of a region, which begins at a cut, has one where the leaf ``right`` begins."""
+        if not region or region[-1].isspace():
+            return not region
+        if re.match(r" \S", self.leaves[right]):
+            return True
+        ahead = self.leaves[right] + self._ahead(right)
+        return len(region) in bpe.boundaries(region + ahead, self.pattern)
+
     def _beside(self, leaf: int, step: int) -> int | None:
         """The nearest leaf with text on one side."""
         leaf += step

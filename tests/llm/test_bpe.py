@@ -77,3 +77,26 @@ def test_edit_tables(spark, with_clashes):
     want = [(1, "oh hello-world", n("hello world"), 2, n("oh hello-world")), (2, "x", 0, 1, n("x")), (None, "abc", n("abc"), 0, n("abc")), (4, "", 0, 0, 0), (4, "a b", n("a b"), 1, n("a b")), (4, "a", n("a b"), 1, n("a"))]
     assert got == sorted(want, key=str)
     assert edits.apply(edits.plant(df.limit(0), edits_col="edits")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["chinese", "lines", "tabs", "code", "digits", "spaces"])
+def test_texts_without_single_blanks_have_leaves_too(name):
+    rng = random.Random(name)
+    make = {
+        "chinese": lambda: "".join(rng.choice("漢字仮名交文書") for _ in range(rng.randrange(3, 30))) + rng.choice("。，、！"),
+        "lines": lambda: "word" * rng.randrange(1, 4) + "\n" * rng.choice([1, 1, 2]),
+        "tabs": lambda: f"{rng.randrange(10**6)}\tcell{rng.randrange(99)}\t" + rng.choice(["", "\n"]),
+        "code": lambda: rng.choice(["if(x){", "}\n\n\n", "    y='s'+\"don't\";\n", "// 'll 've\r\n", "a[b]->c++"]),
+        "digits": lambda: f"{rng.random()};",
+        "spaces": lambda: rng.choice(["  ", "   \n ", "a  b", "'  s", "　", "x"]),
+    }[name]
+    text = "".join(make() for _ in range(6_000))
+    tree = edits.CountTree(text, ENC)
+    assert len([x for x in tree.leaves if x]) > len(text) / (4 * edits.LEAF) and tree.n_tokens == len(ENC.encode_ordinary(text))
+    for _ in range(40):
+        at, delete, insert = rng.randrange(len(text) + 1), rng.choice([0, 0, 1, 3, 3000]), rng.choice(["", "x", "'", " ", "\n", make(), make() * 3])
+        before = tree.encoded
+        tree.edit(at, delete, insert)
+        text = text[:at] + insert + text[at + delete :]
+        assert tree.text == text and tree.n_tokens == len(ENC.encode_ordinary(text)), (at, delete, insert)
+        assert tree.encoded - before < 10 * edits.LEAF
