@@ -5,8 +5,8 @@ one from here on, with a number of copies. They are projected on the leading pri
 directions, put into grid cells of width epsilon, sorted by label and all cells in order, and cut into
 sequence intervals (blocks). The sequence is joined with itself recursively, from few
 long intervals down to blocks: pairs of intervals whose bounding boxes, in label, leading coordinates and
-the norm of the rest, are provably distant go no further. The vectors of the remaining block pairs
-are halved again in the same way before cosines are computed in double precision. A block pair gives
+the norm of the rest, are provably distant go no further. Of the remaining block pairs only vectors that come within epsilon of
+the other block's box move, and are halved again in the same way before cosines are computed in double precision. A block pair gives
 each vector's number of links and a spanning forest of the links, never the pairs, so
 what is moved grows with the vectors.
 """
@@ -136,6 +136,35 @@ def _cut(base):
     return run
 
 
+_SIDES = "block_a long, block_b long, side int, dims int, nodes binary, copies binary, vectors binary"
+
+
+def _sides(base, epsilon2: float):
+    """Of each block, for each one that it meets, the vectors within epsilon of the other's box; nothing where there are none."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                block, dims = b.column("block")[i].as_py(), b.column("dims")[i].as_py()
+                if block != last:  # the rows of a block come one after the other
+                    vectors = np.frombuffer(b.column("vectors")[i].as_py()).reshape(-1, dims)
+                    nodes, copies = (np.frombuffer(b.column(c)[i].as_py(), "<i8") for c in ("nodes", "copies"))
+                    points, last = _points(vectors, base.value[dims]), block
+                low, high = (np.array(b.column(c)[i].as_py())[2 : 2 + points.shape[1]] for c in ("low", "high"))
+                gap = np.maximum(0.0, np.maximum(low - points, points - high))
+                met = np.einsum("ij,ij->i", gap, gap) <= epsilon2 + SLACK
+                if met.any():
+                    out.append((*(b.column(c)[i].as_py() for c in ("block_a", "block_b", "side")), dims, *(x[met].tobytes() for x in (nodes, copies, vectors))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], [c.split()[0] for c in _SIDES.split(", ")])
+
+    return run
+
+
 def _near(a: tuple, b: tuple, epsilon2: float) -> bool:
     """Whether two boxes (least, greatest) come within epsilon."""
     gap = np.maximum(0.0, np.maximum(a[0] - b[1], b[0] - a[1]))
@@ -292,10 +321,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
 
     n = blocks.count()
     if n:
-        met = _meeting(blocks, n, epsilon2)
+        met = common.stash(_meeting(blocks, n, epsilon2), "ego-met")
         data = blocks.select("block", "dims", "nodes", "copies", "vectors")
-        met = met.join(data, "block").join(data.toDF("block_b", "dims_b", "nodes_b", "copies_b", "vectors_b"), "block_b")
-        met = met.select("dims", (F.col("block") == F.col("block_b")).alias("same"), "nodes", "copies", "vectors", "nodes_b", "copies_b", "vectors_b")
+        # Labels are compared as they are: as coordinates of boxes very large ones may round alike.
+        boxes = blocks.select("block", "label", "low", "high")
+        there = boxes.toDF("block_b", "label_b", "low_b", "high_b")
+        pairs = met.filter("block < block_b").join(boxes, "block").join(there, "block_b").filter("label = label_b")
+        sides = pairs.select(F.col("block").alias("block_a"), "block_b", F.inline(F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("side"), F.col("low_b").alias("low"), F.col("high_b").alias("high")), F.struct(F.col("block_b").alias("block"), F.lit(1).alias("side"), F.col("low"), F.col("high")))))
+        # A block's vectors move once; of these only what is near another block moves again, to meet there.
+        sides = common.stash(data.join(sides.hint("merge"), "block").mapInArrow(_sides(base, epsilon2), _SIDES), "ego-sides")
+        one = lambda side, mark: sides.filter(F.col("side") == side).select("block_a", "block_b", *(F.col(c).alias(c + mark) for c in ("dims", "nodes", "copies", "vectors")))
+        met = one(0, "").join(one(1, "_b"), ["block_a", "block_b"]).select("dims", F.lit(False).alias("same"), "nodes", "copies", "vectors", "nodes_b", "copies_b", "vectors_b")
+        own = data.select("dims", F.lit(True).alias("same"), "nodes", "copies", "vectors", *(F.lit(None).cast("binary").alias(c) for c in ("nodes_b", "copies_b", "vectors_b")))
+        met = met.unionByName(own)
         found = common.stash(met.mapInArrow(_join(base, cosine), "node long, n long, other long"), "ego-links")
     else:
         found = spark.createDataFrame([], "node long, n long, other long")

@@ -63,3 +63,11 @@ def test_empty_table_and_null_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1)], KIND)
     assert ego.near_vectors(df.limit(0)).count() == 0
     assert sorted(map(tuple, ego.near_vectors(df).collect()), key=str) == [(1, 0, 1, True), (None, 0, None, True)]
+
+
+def test_labels_that_round_alike_stay_apart(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 8))
+    rows = [(i, [float(x) for x in v[i % 20]], 2**53 + i // 20) for i in range(60)]
+    got = ego.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
