@@ -55,6 +55,8 @@ BLOCK_IDS, END = 65_536, 0
 KEPT, KEPT_BYTES = 400_000, 48
 #: Bytes of text that are encoded at once.
 AT_ONCE = 8 << 20
+#: Bytes of text of a shard, about.
+SHARD = 256 << 20
 #: Stands for a null id; such documents come first.
 NULL_ID = -(2**63)
 MAGIC = b"BPS1"
@@ -434,12 +436,15 @@ def _join_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, folder: str | None = None) -> tuple[str, DataFrame]:
     """Writes all documents' ids to files; their folder, and the table of the files (shard, name, n_blocks, n_ids).
 
-    The files lie in ``folder`` (a new one in the shared folder, if none is given).
+    The files lie in ``folder`` (a new one in the shared folder, if none is given), one a shard; a shard is a range of ids, as many
+    as the session has shuffle partitions, or more where one would hold more than about ``SHARD`` bytes of text.
     """
     spark, path = docs.sparkSession, path or public_tokenizers.path(VOCABULARY)
     folder = folder or common.folder(spark, "token-files")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shards = shards or common.shuffle_partitions(docs)
+    if shards is None:  # as many as there are partitions, more if that makes them too large
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(common.shuffle_partitions(docs), -(-size // SHARD))
     # Bounds of the shards: quantiles of the ids, so that a range's rows can be told where a text is encoded.
     found = rows.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else None
     coded = rows.mapInArrow(_encode(path, sorted(set(found or []))), "shard int, doc_id long, ids binary")

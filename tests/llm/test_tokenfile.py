@@ -71,3 +71,11 @@ def test_files_of_lost_attempts_are_deleted(spark, tmp_path):
     folder, files = T.write(df, folder=f"file://{tmp_path}", shards=3)
     assert sorted(p.name for p in tmp_path.glob("*.bps")) == sorted(r[0] for r in files.select("name").collect())
     assert T.read(folder, files).count() == 50
+
+
+def test_shards_go_with_the_bytes_of_text(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text of document {i} " * 20) for i in range(60)], "doc_id long, text string")
+    usual = sorted(map(tuple, T.store(df).collect()))
+    monkeypatch.setattr(T, "SHARD", 2_000)
+    assert T.write(df)[1].count() > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, T.store(df).collect())) == usual
