@@ -391,3 +391,30 @@ def test_rows_follow_a_plain_schedule(spark):
 def test_many_sources(spark):
     df = spark.createDataFrame([(i, "t", "en", f"s{i % 300}") for i in range(900)] + [(None, f"n{i}", "en", "s1") for i in range(40)], KIND)
     assert mixing.mix(df, block=1, carry=["text"]).select("slot").distinct().count() == 940
+
+
+def test_exchange_ends_where_no_single_move_helps():
+    """The likelihood of class bigrams by its definition, for the result and for every move of one unit."""
+    rng = np.random.default_rng(11)
+    for _ in range(5):
+        free, fixed, classes = 14, brown.FIXED, 4 + brown.FIXED
+        size = free + fixed
+        counts = rng.poisson(rng.gamma(0.5, 6, size=(size, size)))
+
+        def likelihood(of):
+            table = np.zeros((classes, classes))
+            for i in range(size):
+                for k in range(size):
+                    table[of[i], of[k]] += counts[i, k]  # noqa: B023
+            total, rows, cols = table.sum(), table.sum(axis=1), table.sum(axis=0)
+            # log P(class | class before) + log P(unit | class), up to what the units' own counts add
+            return sum(table[a, b] * (np.log(table[a, b]) - np.log(rows[a]) - np.log(cols[b])) for a in range(classes) for b in range(classes) if table[a, b]) + 0 * total
+
+        of = brown.exchange(counts, classes, passes=100)
+        best = likelihood(of)
+        assert list(of[free:]) == list(range(classes - fixed, classes))
+        for u in range(free):
+            for c in range(classes - fixed):
+                moved = of.copy()
+                moved[u] = c
+                assert likelihood(moved) <= best + 1e-6
