@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from careflow.functions.identity import split_of
@@ -43,16 +43,14 @@ def overlap(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return same.filter("split = 'test'").join(train, "_t", "left_semi").select(key)
 
 
-def _grams(d: DataFrame, key: str, run: int) -> DataFrame:
-    """(key, _h): hashes of a document's different runs of ``run`` words, or of -``run`` characters."""
+def _hashes(run: int) -> Column:
+    """(_run, _h): hashes of a document's different runs of ``run`` words, or of -``run`` characters."""
     if run > 0:
-        d, n = d.withColumn("_w", F.split("_d", " ")), F.size("_w")
-        part = lambda i: F.array_join(F.slice("_w", i, run), " ")
+        n, part = F.size("_w"), lambda i: F.array_join(F.slice("_w", i, run), " ")
     else:
-        n = F.length("_d")
-        part = lambda i: F.substring("_d", i, F.lit(-run))
-    runs = F.transform(F.sequence(F.lit(1), n - abs(run) + 1), lambda i: F.xxhash64(part(i)))
-    return d.filter(n >= abs(run)).select(key, F.explode(F.array_distinct(runs)).alias("_h"))
+        n, part = F.length("_d"), lambda i: F.substring("_d", i, F.lit(-run))
+    hashes = F.array_distinct(F.transform(F.sequence(F.lit(1), n - abs(run) + 1), lambda i: F.xxhash64(part(i))))
+    return F.when(n >= abs(run), F.transform(hashes, lambda h: F.struct(F.lit(run).alias("_run"), h.alias("_h")))).otherwise(F.array().cast("array<struct<_run: int, _h: bigint>>"))
 
 
 def leaks(docs: DataFrame, passages: DataFrame, key: str = "doc_id", item: str = "item_id") -> DataFrame:
@@ -67,12 +65,10 @@ def leaks(docs: DataFrame, passages: DataFrame, key: str = "doc_id", item: str =
     p = p.withColumn("_run", F.when(inner > 0, F.least(inner, F.lit(RUN))).otherwise(-F.least(F.length("_p"), F.lit(HEAD))))
     part = F.when(F.col("_run") > 0, F.array_join(F.slice(F.split("_p", " "), F.lit(2), F.greatest("_run", F.lit(1))), " ")).otherwise(F.substring("_p", F.lit(1), F.abs("_run")))
     anchors = p.select(item, "_run", F.xxhash64(part).alias("_h"))
-    met = None
-    for (run,) in sorted(map(tuple, anchors.select("_run").distinct().collect())):  # at most RUN + HEAD rows
-        found = _grams(d, key, run).join(anchors.filter(F.col("_run") == run).select(item, "_h"), "_h").select(key, item)
-        met = found if met is None else met.unionByName(found)
-    if met is None:
+    runs = sorted(r[0] for r in anchors.select("_run").distinct().collect())  # at most RUN + HEAD rows
+    if not runs:
         return d.join(p, F.lit(False)).select(key, item)
+    met = d.withColumn("_w", F.split("_d", " ")).select(key, F.inline(F.concat(*map(_hashes, runs)))).join(anchors, ["_run", "_h"]).select(key, item)
     return met.distinct().join(d, key).join(p.select(item, "_p"), item).filter(F.contains("_d", F.col("_p"))).select(key, item)
 
 
