@@ -263,7 +263,6 @@ def match(a: tuple[list[int], list[str]], b: tuple[list[int], list[str]]) -> lis
     numbers: dict = {}
     x, y = _Shapes(*a, numbers), _Shapes(*b, numbers)
     sizes: dict[tuple[int, int], int] = {}
-    labels = {v: k for k, v in enumerate({*x.label, *y.label})}
 
     def ends(i: int, j: int) -> tuple[list[int], list[int], int, int]:
         p, q = x.kids[i], y.kids[j]
@@ -277,6 +276,8 @@ def match(a: tuple[list[int], list[str]], b: tuple[list[int], list[str]]) -> lis
 
     def open_pairs(p: list[int], q: list[int]) -> list[tuple[int, int]] | None:
         """Different subtrees of one label with children on both sides, one pair for each two shapes; None if there are more than ``PAIRS``."""
+        if not p or not q:
+            return []
         mine, theirs = ({t.shape[k]: k for k in reversed(side) if t.kids[k]} for t, side in ((x, p), (y, q)))
         by_label: dict[str, list[int]] = {}
         for k in theirs.values():
@@ -327,18 +328,19 @@ def match(a: tuple[list[int], list[str]], b: tuple[list[int], list[str]]) -> lis
             return 0, []
         if len(p) * len(q) <= SMALL and not rough:
             return small(p, q, trace)
+        labels: dict[str, int] = {}
         which: dict[int, int] = {}
         column = np.array([which.setdefault(y.shape[k], len(which)) for k in q])
         first = list({y.shape[k]: k for k in reversed(q)}.items())
         first = [k for _, k in sorted(first, key=lambda s: which[s[0]])]  # a node for each different subtree
         kept: dict[int, np.ndarray] = {}
-        label_of, size_of, has_kids = np.array([labels[y.label[k]] for k in first]), np.array([y.size[k] for k in first]), np.array([bool(y.kids[k]) for k in first])
+        label_of, size_of, has_kids = np.array([labels.setdefault(y.label[k], len(labels)) for k in first]), np.array([y.size[k] for k in first]), np.array([bool(y.kids[k]) for k in first])
 
         def gains(i: int) -> np.ndarray:
             """What matching a child is worth with each of the others."""
             if rough:
                 most = np.minimum(size_of, x.size[i]) if x.kids[i] else np.ones(len(first), np.int64)
-                row = np.where(label_of == labels[x.label[i]], np.where(has_kids, most, 1), 0)
+                row = np.where(label_of == labels.get(x.label[i], -1), np.where(has_kids, most, 1), 0)
                 if x.shape[i] in which:
                     row[which[x.shape[i]]] = x.size[i]
                 return row[column]
