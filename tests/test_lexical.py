@@ -119,3 +119,16 @@ def test_no_row_for_each_posting_is_shuffled(spark):
     postings = sum(len(set((t or "").lower().split())) for _, t in docs)
     got = shuffled(spark, lambda: lexical.build(spark.createDataFrame(docs, DOCS), tables.scratch(spark, "lexical")).search(spark.createDataFrame(items, ITEMS), 3).collect())
     assert 0 < got < 0.5 * postings
+
+
+def test_parts_of_queries_batches_and_held_candidates_leave_the_result(spark, monkeypatch):
+    docs, items = corpus(seed=2)
+    for name, n in (("FIRST", 1), ("QUERIES", 5), ("ASKED", 20), ("HELD", 1)):
+        monkeypatch.setattr(lexical, name, n)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # blocks lie over several batches
+    try:
+        built = lexical.build(spark.createDataFrame(docs, DOCS).repartition(3), tables.scratch(spark, "lexical"))
+        got = sorted((*r[:3], round(r[3], 5)) for r in map(tuple, built.search(spark.createDataFrame(items, ITEMS), 3).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(*r[:3], round(r[3], 5)) for r in plain(docs, items, 3)]
