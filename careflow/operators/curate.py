@@ -10,6 +10,8 @@ from careflow.functions.text import mask, standard
 
 #: Words of the longest run by which documents and passages meet, and characters of a short passage's beginning.
 RUN, HEAD = 5, 3
+#: Runs of passages that are broadcast at most; more meet the documents' runs in a shuffle.
+BROADCAST_RUNS = 1_000_000
 
 
 def dedup_exact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,7 +86,8 @@ def shared_runs(docs: DataFrame, passages: DataFrame, least: int = 8, key: str =
 
     Words are ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case; places count words from 0; of runs of equal length that first in the document,
     then in the passage counts. Runs of ``least`` words meet by two hashes of them (96 bits); hits that follow each other on one diagonal (place in the
-    document less place in the passage) chain into runs. Null keys and texts share nothing, rows of one key count together.
+    document less place in the passage) chain into runs. Up to ``BROADCAST_RUNS`` runs of passages go to the documents, so that only hits are shuffled.
+    Null keys and texts share nothing, rows of one key count together.
     """
     low = lambda c: F.translate(F.coalesce(c, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -93,9 +96,12 @@ def shared_runs(docs: DataFrame, passages: DataFrame, least: int = 8, key: str =
         grams = F.transform(F.sequence(F.lit(1), F.size("_w") - least + 1), lambda i: F.array_join(F.slice("_w", i, least), " "))
         both = F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("a"), F.hash(g).alias("b")))
         rows = words.filter(F.size("_w") >= least).select(name, F.posexplode(both).alias(at, "_h"))
-        return rows.select(name, at, F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b")).distinct()
+        return rows.select(name, at, F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b"))
 
-    met = hits(docs, key, "_d").join(hits(passages, item, "_p"), ["_a", "_b"]).select(key, item, "_d", (F.col("_d") - F.col("_p")).alias("_diagonal")).distinct()
+    asked = hits(passages, item, "_p").distinct()
+    if asked.count() <= BROADCAST_RUNS:
+        asked = F.broadcast(asked)
+    met = hits(docs, key, "_d").join(asked, ["_a", "_b"]).select(key, item, "_d", (F.col("_d") - F.col("_p")).alias("_diagonal")).distinct()
     order = Window.partitionBy(key, item, "_diagonal").orderBy("_d")
     runs = met.withColumn("_run", F.col("_d") - F.row_number().over(order)).groupBy(key, item, "_diagonal", "_run").agg(F.min("_d").alias("doc_at"), (F.count("*") + least - 1).alias("n_words"))
     runs = runs.withColumn("item_at", F.col("doc_at") - F.col("_diagonal"))

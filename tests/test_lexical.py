@@ -132,3 +132,13 @@ def test_parts_of_queries_batches_and_held_candidates_leave_the_result(spark, mo
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == [(*r[:3], round(r[3], 5)) for r in plain(docs, items, 3)]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_only_runs_that_passages_share_are_shuffled(spark, monkeypatch, most):
+    monkeypatch.setattr(curate, "BROADCAST_RUNS", most)
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(100)) + (" p q r s" if i % 50 == 0 else "")) for i in range(200)]
+    found = []
+    rows = shuffled(spark, lambda: found.extend(map(tuple, curate.shared_runs(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, "q p q r s t")], ITEMS), 4).collect())))
+    assert sorted(found) == [(i, 1, 100, 1, 4) for i in range(0, 200, 50)]
+    assert most == 0 or 0 < rows < 0.1 * 200 * 97
